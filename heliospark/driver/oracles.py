@@ -353,24 +353,19 @@ def _arima_sql() -> str:
     def back(alias: str, k: int, source: str) -> str:
         return (
             f"LEFT JOIN {source} {alias} ON {alias}.plant_id = r.plant_id "
-            f"AND {alias}.slot = r.slot - INTERVAL {k} HOUR"
+            f"AND {alias}.slot = r.slot - INTERVAL {3 * k} HOUR"
         )
 
-    lags = "\n".join(back(f"l{k}", k, "gen") for k in (1, 2, 3))
-    return f"""{gen(False, _HOUR)},
-lagged AS (
-  SELECT r.plant_id, r.slot, r."power (kW)" AS y, l1."power (kW)" AS a1,
-         l2."power (kW)" AS a2, l3."power (kW)" AS a3
-  FROM gen r {lags}),
-whole AS (SELECT * FROM lagged WHERE a1 + a2 + a3 IS NOT NULL),
+    lags = "\n".join(back(f"l{k}", k, "gen") for k in (1, 2, 3, 4))
+    values = ", ".join(f'l{k}."power (kW)" AS a{k}' for k in (1, 2, 3, 4))
+    return f"""{gen(step="180 MINUTE")},
+lagged AS (SELECT r.plant_id, r."power (kW)" AS y, {values} FROM gen r {lags}),
+whole AS (SELECT * FROM lagged WHERE a1 + a2 + a3 + a4 IS NOT NULL),
 {_least_squares("whole", ["1.0", "a1", "a2", "a3"], "y", "long")},
-noise AS (
-  SELECT w.plant_id, w.slot, w.y, w.a1,
-         w.y - (f.b0 + f.b1 * w.a1 + f.b2 * w.a2 + f.b3 * w.a3) AS e
-  FROM whole w JOIN long_fit f ON w.plant_id = f.plant_id),
 paired AS (
-  SELECT r.plant_id, r.y, r.a1, l1.e AS e1 FROM noise r JOIN noise l1
-    ON l1.plant_id = r.plant_id AND l1.slot = r.slot - INTERVAL 1 HOUR),
+  SELECT w.plant_id, w.y, w.a1,
+         w.a1 - (f.b0 + f.b1 * w.a2 + f.b2 * w.a3 + f.b3 * w.a4) AS e1
+  FROM whole w JOIN long_fit f ON w.plant_id = f.plant_id),
 {_least_squares("paired", ["1.0", "a1", "e1"], "y", "short")}"""
 
 

@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Means of values with two decimals often end in a bare 5 at the seventh place,
+# where the engines round to different sides.
+TIE_NUDGE = 1e-9
+
+
 def _plain(field: T.StructField) -> Column:
     col = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        # Adding zero turns -0.0 into 0.0.
-        col = F.round(col.cast("double"), 6) + F.lit(0.0)
+        # The nudge decides exact ties; adding zero turns -0.0 into 0.0.
+        col = F.round(col.cast("double") + F.lit(TIE_NUDGE), 6) + F.lit(0.0)
     elif isinstance(field.dataType, T.IntegralType):
         col = col.cast("long")
     elif isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType, T.DateType)):
@@ -24,7 +29,7 @@ def present(df: DataFrame) -> DataFrame:
 
 
 _SQL_PLAIN = {
-    "f": "ROUND(CAST({c} AS DOUBLE), 6) + 0.0",
+    "f": f"ROUND(CAST({{c}} AS DOUBLE) + {TIE_NUDGE!r}, 6) + 0.0",
     "i": "CAST({c} AS BIGINT)",
     "t": "CAST({c} AS VARCHAR)",
     "s": "{c}",

@@ -465,8 +465,9 @@ def fit_random_forest(spark, sf_dir):
 
 @query("fit_arima")
 def fit_arima(spark, sf_dir):
+    step = "3 hours"
     model = arima.fit_arima(
-        t.power(spark, sf_dir, many=False, step=HOUR), p=1, d=0, q=1, long_ar=3, step=HOUR
+        t.power(spark, sf_dir, step=step), p=1, d=0, q=1, long_ar=3, step=step
     )
     return model.select(
         PLANT,

@@ -13,7 +13,6 @@ from heliospark.functions.calendar import with_fecha
 from heliospark.functions.timegrid import seconds_of
 from heliospark.operators.align import align_generation, align_weather, homogenise
 from heliospark.schema import (
-    DEFAULT_PLANT,
     E_TODAY,
     E_TOTAL,
     FECHA,
@@ -43,9 +42,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _plant(many: bool, owner: str = "user_id") -> Column:
-    if many:
-        return F.concat(F.lit("P"), (F.col(owner) % 4).cast("string"))
-    return F.lit(DEFAULT_PLANT)
+    """Four plants or one, told from the owner in both cases: a constant key
+    would be folded away and leave joins on it without a condition."""
+    return F.concat(F.lit("P"), (F.col(owner) % (4 if many else 1)).cast("string"))
 
 
 def power_readings(spark: SparkSession, sf_dir: str, many: bool = True) -> DataFrame:

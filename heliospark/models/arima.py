@@ -2,9 +2,9 @@
 
 A long autoregression gives the innovations, a second regression on lagged
 values and lagged innovations gives the model (Hannan and Rissanen, 1982).
-Series are cut into blocks with copied edges, so that a long series is fitted
-by many tasks; only the recursion that forecasts is sequential, and it sees no
-more than a series' last few slots.
+Innovations are linear in the lags, so the products of all lags, summed in one
+pass over the data, serve both regressions. Series are cut into blocks with
+copied edges: tasks reduce blocks of bounded size, however long a series is.
 """
 
 from __future__ import annotations
@@ -14,12 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliospark.functions.timegrid import seconds_of
-from heliospark.models.linear import dot, least_squares
 from heliospark.operators.lags import halo_blocks
 from heliospark.schema import KEYS, POWER, SLOT, STEP
 
@@ -40,10 +39,14 @@ class ArimaOrder:
         if self.q and self.long_ar < max(self.p, self.q):
             raise ValueError("long_ar must be at least max(p, q)")
 
+    @property
+    def lags(self) -> int:
+        return self.q + self.long_ar if self.q else self.p
+
     @property
     def memory(self) -> int:
         """Slots before a row that its regression row reaches back to."""
-        return self.d + max(self.p, self.q + self.long_ar if self.q else 0)
+        return self.d + self.lags
 
 
 def _indexed(df: DataFrame, target: str, order: ArimaOrder, keys: Sequence[str]) -> DataFrame:
@@ -52,33 +55,60 @@ def _indexed(df: DataFrame, target: str, order: ArimaOrder, keys: Sequence[str])
     return df.select(*keys, index.alias("_i"), F.col(target).cast("double").alias("_y")).dropna()
 
 
-def _differenced(blocks: DataFrame, order: ArimaOrder, series: Window) -> DataFrame:
-    rows = blocks.withColumn("_w", F.col("_y"))
-    for _ in range(order.d):
-        adjacent = F.lag("_i", 1).over(series) == F.col("_i") - 1
-        rows = rows.withColumn("_w", F.when(adjacent, F.col("_w") - F.lag("_w", 1).over(series)))
-    return rows
-
-
-def _lags(name: str, count: int, series: Window) -> list[Column]:
-    return [F.lag(name, k).over(series) for k in range(1, count + 1)]
-
-
-def _unbroken(count: int, series: Window) -> Column:
-    """The ``count`` slots before this one are all there."""
-    return F.lag("_i", count).over(series) == F.col("_i") - count
-
-
-def _with_lags(rows: DataFrame, value: str, prefix: str, count: int, series: Window) -> DataFrame:
-    if count == 0:
-        return rows
-    unbroken = _unbroken(count, series)
-    return rows.withColumns(
-        {
-            f"{prefix}{k}": F.when(unbroken, lag)
-            for k, lag in enumerate(_lags(value, count, series), start=1)
-        }
-    )
+def _block_products(keys: Sequence[str], order: ArimaOrder, block_slots: int):
+    """Reduce a block to the products of (1, w, w one slot before, and so on)."""
+    lags = order.lags
+
+    def reduce(group: pd.DataFrame) -> pd.DataFrame:
+        index = group["_i"].to_numpy()
+        first = index.min()
+        w = np.full(index.max() - first + 1, np.nan)
+        w[index - first] = group["_y"].to_numpy()
+        for _ in range(order.d):
+            w = np.diff(w)
+            first += 1
+        start = int(group["_block"].iloc[0]) * block_slots
+        products = np.zeros((lags + 2, lags + 2))
+        rows = 0
+        if len(w) > lags:
+            windows = np.lib.stride_tricks.sliding_window_view(w, lags + 1)
+            whole = ~np.isnan(windows).any(axis=1)
+            # Rows of the copied edge belong to the block before.
+            whole &= np.arange(len(windows)) + first + lags >= start
+            x = windows[whole][:, ::-1]
+            rows = len(x)
+            x = np.hstack([np.ones((rows, 1)), x])
+            products = x.T @ x
+        out = {k: [group[k].iloc[0]] for k in keys}
+        return pd.DataFrame({**out, "n": [rows], "products": [products.ravel().tolist()]})
+
+    return reduce
+
+
+def _two_stages(products: np.ndarray, order: ArimaOrder) -> tuple[np.ndarray, np.ndarray]:
+    """The long autoregression and the model, from one series' products."""
+    size = len(products)
+    unit = np.eye(size)
+    # Variable 0 is the constant, 1 + k the value k slots before.
+    ar = np.empty(0)
+    innovations = []
+    if order.q:
+        past = [0, *range(2, 2 + order.long_ar)]
+        ar = _solve(products[np.ix_(past, past)], products[past, 1])
+        for j in range(1, order.q + 1):
+            e = unit[1 + j] - ar[0] * unit[0]
+            for k in range(1, order.long_ar + 1):
+                e = e - ar[k] * unit[1 + j + k]
+            innovations.append(e)
+    terms = np.array([unit[0], *[unit[1 + k] for k in range(1, order.p + 1)], *innovations])
+    return ar, _solve(terms @ products @ terms.T, terms @ products[:, 1])
+
+
+def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.solve(a, b)
+    except np.linalg.LinAlgError:
+        return np.linalg.lstsq(a, b, rcond=None)[0]
 
 
 def fit_arima(
@@ -92,39 +122,50 @@ def fit_arima(
     step: str = STEP,
     block_slots: int = BLOCK_SLOTS,
 ) -> DataFrame:
-    """One row per series: ``n``, ``const``, ``phi``, ``theta``, ``ar`` and ``sigma2``.
+    """One row per series: ``n``, ``const``, ``phi``, ``theta`` and ``ar``.
 
     ``ar`` holds the long autoregression, constant first; it is empty when q is
-    0. Slots next to a gap, which lack a full set of lags, are left out.
+    0. Slots next to a gap, which lack a full set of lags, are left out, and so
+    is a series that has fewer such slots than coefficients.
     """
     order = ArimaOrder(p, d, q, long_ar, step)
-    halo = order.memory
-    blocks = halo_blocks(_indexed(df, target, order, keys), "_i", max(block_slots, halo), halo)
-    series = Window.partitionBy(*keys, "_block").orderBy("_i")
-    rows = _differenced(blocks, order, series)
-    if q:
-        rows = _with_lags(rows, "_w", "_a", long_ar, series)
-        xs = [F.lit(1.0), *[F.col(f"_a{k}") for k in range(1, long_ar + 1)]]
-        own = rows.where(~F.col("_halo"))
-        first = least_squares(own, keys, xs, F.col("_w")).select(*keys, F.col("coef").alias("ar"))
-        rows = rows.join(first, list(keys)).withColumn("_e", F.col("_w") - dot(F.col("ar"), xs))
-        rows = _with_lags(rows, "_e", "_e", q, series)
-    rows = _with_lags(rows, "_w", "_p", p, series).where(~F.col("_halo"))
-    xs = [
-        F.lit(1.0),
-        *[F.col(f"_p{k}") for k in range(1, p + 1)],
-        *[F.col(f"_e{k}") for k in range(1, q + 1)],
-    ]
-    second = least_squares(rows, keys, xs, F.col("_w"))
-    fitted = second.join(first, list(keys)) if q else second.withColumn("ar", F.array().cast("array<double>"))
-    return fitted.select(
+    block_slots = max(block_slots, order.memory)
+    blocks = halo_blocks(_indexed(df, target, order, keys), "_i", block_slots, order.memory)
+    fields = [blocks.schema[k] for k in keys]
+    schema = T.StructType(
+        [
+            *fields,
+            T.StructField("n", T.LongType()),
+            T.StructField("products", T.ArrayType(T.DoubleType())),
+        ]
+    )
+    reduced = (
+        blocks.select(*keys, "_block", "_i", "_y")
+        .groupBy(*keys, "_block")
+        .applyInPandas(_block_products([*keys], order, block_slots), schema)
+    )
+    cells = reduced.select(*keys, "n", F.posexplode("products").alias("_cell", "_v"))
+    summed = cells.groupBy(*keys, "_cell").agg(F.sum("n").alias("n"), F.sum("_v").alias("_v"))
+    cell = F.struct("_cell", "_v")
+    # One list per series, of the matrix's fixed size.
+    series = summed.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.sort_array(F.collect_list(cell))["_v"].alias("products")
+    )
+
+    @F.pandas_udf("ar array<double>, coef array<double>")
+    def fit(products: pd.Series) -> pd.DataFrame:
+        side = order.lags + 2
+        fits = [_two_stages(np.asarray(m).reshape(side, side), order) for m in products]
+        return pd.DataFrame({"ar": [a.tolist() for a, _ in fits], "coef": [c.tolist() for _, c in fits]})
+
+    enough = series.where(F.col("n") > order.lags + 1).withColumn("_fit", fit("products"))
+    return enough.select(
         *keys,
         "n",
-        F.col("coef")[0].alias("const"),
-        F.slice("coef", 2, p).alias("phi"),
-        F.slice("coef", 2 + p, q).alias("theta"),
-        "ar",
-        "sigma2",
+        F.col("_fit.coef")[0].alias("const"),
+        F.slice("_fit.coef", 2, p).alias("phi"),
+        F.slice("_fit.coef", 2 + p, q).alias("theta"),
+        "_fit.ar",
     )
 
 

@@ -16,35 +16,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def moments(rows: DataFrame, keys: Sequence[str], xs: Sequence[Column], y: Column) -> DataFrame:
-    """Per key: ``n`` and ``xy``, the upper triangle of the products of (xs, y).
+def moments(rows: DataFrame, keys: Sequence[str], terms: Column, size: int) -> DataFrame:
+    """Per key: ``n`` and ``products``, row by row the products of the terms.
 
-    Rows where any term is NULL are left out whole.
+    ``terms`` is an array of ``size`` values, the explained one last; rows
+    where one is NULL are left out whole. A row is spread over the lines of
+    its product matrix, so that an aggregate holds ``size`` sums, not their
+    square, and stays within generated code.
     """
-    names = [f"_x{i}" for i in range(len(xs) + 1)]
-    terms = rows.select(*keys, *[c.alias(n) for c, n in zip([*xs, y], names)]).dropna(subset=names)
-    sums = [
-        F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]
-    ]
-    return terms.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("xy"))
+    z = rows.select(*keys, terms.alias("_z"))
+    total = F.col("_z")[0]
+    for i in range(1, size):
+        total = total + F.col("_z")[i]
+    # A sum is NULL as soon as one of its terms is.
+    lines = z.where(total.isNotNull()).select(*keys, "_z", F.posexplode("_z").alias("_line", "_v"))
+    sums = [F.sum(F.col("_v") * F.col("_z")[j]).alias(f"_s{j}") for j in range(size)]
+    summed = lines.groupBy(*keys, "_line").agg(F.count(F.lit(1)).alias("n"), *sums)
+    line = F.struct("_line", F.array(*[f"_s{j}" for j in range(size)]).alias("_sums"))
+    # One short list per key: as many lines as there are terms.
+    return summed.groupBy(*keys).agg(
+        F.max("n").alias("n"), F.flatten(F.sort_array(F.collect_list(line))["_sums"]).alias("products")
+    )
 
 
 def solve(sums: DataFrame, keys: Sequence[str], size: int, ridge: Sequence[float] | None = None) -> DataFrame:
-    """Per key: ``n``, ``coef`` in the order of xs, and ``sigma2``.
+    """Per key: ``n``, ``coef`` of the first ``size`` terms, and ``sigma2``.
 
     ``ridge`` adds n times its value to each diagonal entry. A system without a
     unique solution gets the smallest one.
     """
     penalty = np.zeros(size) if ridge is None else np.asarray(ridge, dtype=float)
-    upper = np.triu_indices(size + 1)
 
     @F.pandas_udf("coef array<double>, sigma2 double")
-    def fit(n: pd.Series, xy: pd.Series) -> pd.DataFrame:
+    def fit(n: pd.Series, products: pd.Series) -> pd.DataFrame:
         coefs, variances = [], []
-        for count, packed in zip(n, xy):
-            full = np.zeros((size + 1, size + 1))
-            full[upper] = packed
-            full = full + np.triu(full, 1).T
+        for count, flat in zip(n, products):
+            full = np.asarray(flat, dtype=float).reshape(size + 1, size + 1)
             a = full[:size, :size] + np.diag(penalty * count)
             b = full[:size, size]
             try:
@@ -56,7 +63,7 @@ def solve(sums: DataFrame, keys: Sequence[str], size: int, ridge: Sequence[float
             variances.append(max(sse, 0.0) / max(count - size, 1))
         return pd.DataFrame({"coef": coefs, "sigma2": variances})
 
-    fitted = sums.withColumn("_fit", fit("n", "xy"))
+    fitted = sums.withColumn("_fit", fit("n", "products"))
     return fitted.select(*keys, "n", "_fit.coef", "_fit.sigma2")
 
 
@@ -67,7 +74,8 @@ def least_squares(
     y: Column,
     ridge: Sequence[float] | None = None,
 ) -> DataFrame:
-    return solve(moments(rows, keys, xs, y), keys, len(xs), ridge)
+    sums = moments(rows, keys, F.array(*xs, y), len(xs) + 1)
+    return solve(sums, keys, len(xs), ridge)
 
 
 def dot(coef: Column, xs: Sequence[Column]) -> Column:

@@ -55,7 +55,7 @@ def halo_blocks(
     if not 0 <= halo <= block:
         raise ValueError("halo must not exceed block")
     home = F.floor(F.col(index) / block)
-    reaches_next = F.col(index) % block >= block - halo
+    reaches_next = F.pmod(F.col(index), F.lit(block)) >= block - halo
     copies = F.when(
         reaches_next,
         F.array(

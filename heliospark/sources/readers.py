@@ -28,6 +28,11 @@ def _read_json(spark, path, schema, plant_id, multi_line) -> DataFrame:
         .option("columnNameOfCorruptRecord", CORRUPT)
         .json(path)
     )
+    return with_source(raw, plant_id)
+
+
+def with_source(raw: DataFrame, plant_id: str) -> DataFrame:
+    """Add plant, file path and file time to raw documents."""
     # A folder laid out as plant_id=<id>/ names its own plants.
     if PLANT not in raw.columns:
         raw = raw.withColumn(PLANT, F.lit(plant_id))
