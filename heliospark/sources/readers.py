@@ -75,8 +75,16 @@ def good_rows(df: DataFrame) -> DataFrame:
 
 
 def corrupt_rows(df: DataFrame) -> DataFrame:
-    """Text of documents that are no JSON, with the file they came from."""
-    return df.where(F.col(CORRUPT).isNotNull()).select(PLANT, *SOURCE_COLUMNS, CORRUPT)
+    """Text of documents that are no JSON, with the file they came from.
+
+    ``fields`` counts what was read before the fault; it also makes the reader
+    parse those fields, without which it could not tell a fault.
+    """
+    fields = [c for c in df.columns if c not in (PLANT, CORRUPT, *SOURCE_COLUMNS)]
+    read = sum((F.col(c).isNotNull().cast("int") for c in fields), F.lit(0))
+    return df.where(F.col(CORRUPT).isNotNull()).select(
+        PLANT, *SOURCE_COLUMNS, CORRUPT, read.alias("fields")
+    )
 
 
 def _entries(series: Column) -> Column:
