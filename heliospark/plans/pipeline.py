@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heliospark.functions.calendar import minute_of_day
+from heliospark.functions.timegrid import seconds_of
 from heliospark.models import additive, arima, forest
 from heliospark.operators import clean
 from heliospark.operators.align import align_generation, align_weather, homogenise
-from heliospark.operators.evaluate import compare_models, lead_day, metrics, select_final
+from heliospark.operators.evaluate import (
+    compare_models,
+    horizon_decay,
+    lead_day,
+    metrics,
+    select_final,
+)
+from heliospark.operators.forecast import slot_pattern
 from heliospark.operators.splits import Fold, fold_bounds
 from heliospark.operators.views import recent
 from heliospark.schema import DEFAULT_PLANT, KEYS, PLANT, POWER, RAW_PERIOD_END, SLOT, STEP, WEATHER
@@ -89,31 +97,40 @@ def train_final(
     return forest.save_model(model, model_path)
 
 
-def _arima_predictions(train: DataFrame, test: DataFrame, fold: Fold, step: str, keys, **options) -> DataFrame:
+def _arima_predictions(train, test, fold: Fold, step, keys, options) -> DataFrame:
     order = arima.ArimaOrder(step=step, **options)
     model = arima.fit_arima(train, keys=keys, step=step, **options)
-    steps = int((fold.test_to - fold.origin) / _length(step))
+    steps = int((fold.test_to - fold.origin).total_seconds()) // seconds_of(step)
     path = arima.forecast_arima(train, model, order, steps, keys=keys)
-    return test.select(*keys, SLOT, F.col(POWER).alias("actual")).join(path, [*keys, SLOT])
+    rows = test.select(*keys, SLOT, F.col(POWER).alias("actual")).join(path, [*keys, SLOT])
+    return rows.withColumn("clima", F.lit("ninguno"))
 
 
-def _length(step: str) -> dt.timedelta:
-    count, unit = step.split()
-    return dt.timedelta(**{unit.rstrip("s") + "s": int(count)})
-
-
-def _additive_predictions(train: DataFrame, test: DataFrame, keys, **options) -> DataFrame:
+def _additive_predictions(train, tests: DataFrame, keys, options) -> DataFrame:
     rows = train.dropna(subset=[POWER, *options.get("regressors", ())])
     spec = additive.training_spec(rows, **options)
     model = additive.fit_additive(rows, spec, keys=keys)
-    out = additive.predict_additive(test, model, spec, keys)
-    return out.select(*keys, SLOT, F.col(POWER).alias("actual"), "prediccion")
+    out = additive.predict_additive(tests, model, spec, keys)
+    return out.select(*keys, SLOT, "clima", F.col(POWER).alias("actual"), "prediccion")
 
 
-def _forest_predictions(train: DataFrame, test: DataFrame, keys, params, seed) -> DataFrame:
+def _forest_predictions(train, tests: DataFrame, keys, params, seed) -> DataFrame:
     model = forest.fit_rf(train, seed=seed, params=params)
-    out = model.transform(test.dropna())
-    return out.select(*keys, SLOT, F.col(forest.TARGET).alias("actual"), "prediccion")
+    out = model.transform(tests.dropna())
+    return out.select(*keys, SLOT, "clima", F.col(forest.TARGET).alias("actual"), "prediccion")
+
+
+def _both_weathers(test: DataFrame, train: DataFrame, keys) -> DataFrame:
+    """The test rows twice: with the weather that came, and with the recent
+    mean at that time of day, which is all that a forecast has."""
+    usual = slot_pattern(train, WEATHER, keys=keys)
+    kept = [c for c in test.columns if c not in WEATHER]
+    guessed = test.select(*kept, minute_of_day().alias("_minute")).join(
+        usual, [*keys, "_minute"], "left"
+    )
+    return test.withColumn("clima", F.lit("observado")).unionByName(
+        guessed.drop("_minute").withColumn("clima", F.lit("reciente"))
+    )
 
 
 def evaluate_candidates(
@@ -134,37 +151,41 @@ def evaluate_candidates(
     """Fit every model on every fold and store the predictions of the test slots.
 
     Inputs are stored once; each fold then reads its own time range of them.
-    The model loop runs on the driver, one Spark job after another. Returns
-    the folder of the predictions.
+    The model loop runs on the driver, one Spark job after another. Models that
+    use weather answer twice, told apart by ``clima``: ``observado`` bounds what
+    they could do, ``reciente`` is what a forecast would get. Returns the folder
+    of the predictions.
     """
     unknown = set(models) - set(MODELS)
     if unknown:
         raise ValueError(f"unknown models {sorted(unknown)}")
     spark = dataset.sparkSession
     work = work or new_folder(spark, "evaluation")
-    observed = dataset.select(*keys, SLOT, POWER, *WEATHER)
-    writers.write_stage(observed, "observed", work)
+    writers.write_stage(dataset.select(*keys, SLOT, POWER, *WEATHER), "observed", work)
     observed = readers.read_stage(spark, "observed", work)
     writers.write_stage(forest.model_inputs(dataset, horizon_days, keys=keys), "inputs", work)
     inputs = readers.read_stage(spark, "inputs", work)
     latest = observed.agg(F.max(SLOT)).first()[0]
     arima_options = dict(arima_options or {"p": 2, "d": 0, "q": 1})
-    additive_options = dict(additive_options or {"regressors": tuple(WEATHER[:6])})
+    additive_options = dict(additive_options or {"regressors": tuple(WEATHER[:-1])})
     out = f"{work}/predictions"
     for strategy in strategies:
         for fold in fold_bounds(latest, k, horizon_days, strategy, window_days):
             train, test = fold.train(observed), fold.test(observed)
             for name in models:
                 if name == "arima":
-                    rows = _arima_predictions(train, test, fold, step, keys, **arima_options)
+                    rows = _arima_predictions(train, test, fold, step, keys, arima_options)
                 elif name == "additive":
-                    rows = _additive_predictions(train, test, keys, **additive_options)
+                    tests = _both_weathers(test, train, keys)
+                    rows = _additive_predictions(train, tests, keys, additive_options)
                 else:
+                    tests = _both_weathers(fold.test(inputs), train, keys)
                     rows = _forest_predictions(
-                        fold.train(inputs), fold.test(inputs), keys, forest_params, seed
+                        fold.train(inputs), tests, keys, forest_params, seed
                     )
                 rows.select(
                     F.lit(name).alias("model"),
+                    "clima",
                     F.lit(strategy).alias("strategy"),
                     F.lit(fold.number).alias("fold"),
                     F.lit(fold.origin.isoformat(sep=" ")).cast("timestamp_ntz").alias("origin"),
@@ -176,13 +197,18 @@ def evaluate_candidates(
     return out
 
 
-def comparison(predictions: DataFrame) -> DataFrame:
-    return compare_models(metrics(predictions, ("model", "strategy", "fold")))
+def under(predictions: DataFrame, clima: str) -> DataFrame:
+    """Predictions under one kind of weather, with the models that use none."""
+    return predictions.where(F.col("clima").isin(clima, "ninguno"))
+
+
+def comparison(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
+    return compare_models(metrics(under(predictions, clima), ("model", "strategy", "fold")))
 
 
-def choose(predictions: DataFrame) -> DataFrame:
-    return select_final(comparison(predictions))
+def choose(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
+    return select_final(comparison(predictions, clima))
 
 
-def decay(predictions: DataFrame) -> DataFrame:
-    return metrics(lead_day(predictions), ("model", "lead_day"))
+def decay(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
+    return horizon_decay(lead_day(under(predictions, clima)))
