@@ -23,7 +23,6 @@ from heliospark.schema import (
 )
 
 NOMINAL_POWER = 500.0
-_K = F.get_json_object("props", "$.k").cast("double")
 
 # Which event type stands for which weather variable.
 _WEATHER_SOURCE = {
@@ -54,7 +53,8 @@ def power_readings(spark: SparkSession, sf_dir: str, many: bool = True) -> DataF
 
 def weather_readings(spark: SparkSession, sf_dir: str, many: bool = True) -> DataFrame:
     events = table(spark, sf_dir, "events").where(F.col("event_type") != "purchase")
-    values = {"value": F.col("value"), "k": _K, "k_degrees": _K * 3.6}
+    k = F.get_json_object("props", "$.k").cast("double")
+    values = {"value": F.col("value"), "k": k, "k_degrees": k * 3.6}
     columns = [
         F.when(F.col("event_type") == kind, values[value]).alias(name)
         for name, (kind, value) in _WEATHER_SOURCE.items()
