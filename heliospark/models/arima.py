@@ -19,10 +19,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliospark.functions.timegrid import seconds_of
+from heliospark.models.linear import combine, products_schema
 from heliospark.operators.lags import halo_blocks
+from heliospark.operators.views import recent
 from heliospark.schema import KEYS, POWER, SLOT, STEP
 
 BLOCK_SLOTS = 4096
+SILENT_DAYS = 7
 
 
 @dataclass(frozen=True)
@@ -131,26 +134,14 @@ def fit_arima(
     order = ArimaOrder(p, d, q, long_ar, step)
     block_slots = max(block_slots, order.memory)
     blocks = halo_blocks(_indexed(df, target, order, keys), "_i", block_slots, order.memory)
-    fields = [blocks.schema[k] for k in keys]
-    schema = T.StructType(
-        [
-            *fields,
-            T.StructField("n", T.LongType()),
-            T.StructField("products", T.ArrayType(T.DoubleType())),
-        ]
-    )
     reduced = (
         blocks.select(*keys, "_block", "_i", "_y")
         .groupBy(*keys, "_block")
-        .applyInPandas(_block_products([*keys], order, block_slots), schema)
-    )
-    cells = reduced.select(*keys, "n", F.posexplode("products").alias("_cell", "_v"))
-    summed = cells.groupBy(*keys, "_cell").agg(F.sum("n").alias("n"), F.sum("_v").alias("_v"))
-    cell = F.struct("_cell", "_v")
-    # One list per series, of the matrix's fixed size.
-    series = summed.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.sort_array(F.collect_list(cell))["_v"].alias("products")
+        .applyInPandas(
+            _block_products([*keys], order, block_slots), products_schema(blocks, keys)
+        )
     )
+    series = combine(reduced, keys)
 
     @F.pandas_udf("ar array<double>, coef array<double>")
     def fit(products: pd.Series) -> pd.DataFrame:
@@ -170,10 +161,15 @@ def fit_arima(
 
 
 def _tail(df: DataFrame, target: str, order: ArimaOrder, keys: Sequence[str]) -> DataFrame:
-    """The last slots of each series, as many as the recursion starts from."""
-    rows = _indexed(df, target, order, keys)
-    last = rows.groupBy(*keys).agg(F.max("_i").alias("_last"))
+    """The last slots of each series, as many as the recursion starts from.
+
+    Series that fell silent long before the others are left out, so that only
+    the last days of the data are scanned.
+    """
     needed = order.memory + 1
+    days = SILENT_DAYS + -(-needed * seconds_of(order.step) // 86400)
+    rows = _indexed(recent(df, days), target, order, keys)
+    last = rows.groupBy(*keys).agg(F.max("_i").alias("_last"))
     return rows.join(last, list(keys)).where(F.col("_i") > F.col("_last") - needed)
 
 

@@ -1,42 +1,85 @@
 """Least squares per series from summed products.
 
-The products of every pair of columns are summed as ordinary aggregates, so
-rows are reduced where they lie and only one small row per series is shuffled,
+Each task sums the products of every pair of terms over its own rows, in Arrow
+batches, and passes on one small matrix per series: rows are never shuffled,
 however long a series is. The remaining systems, one per series, are solved in
-Arrow batches.
+Arrow batches too.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+# Series whose sums a task holds before it passes them on.
+_HELD = 2048
+
+
+def products_schema(rows: DataFrame, keys: Sequence[str]) -> T.StructType:
+    return T.StructType(
+        [
+            *[rows.schema[k] for k in keys],
+            T.StructField("n", T.LongType()),
+            T.StructField("products", T.ArrayType(T.DoubleType())),
+        ]
+    )
 
 
 def moments(rows: DataFrame, keys: Sequence[str], terms: Column, size: int) -> DataFrame:
     """Per key: ``n`` and ``products``, row by row the products of the terms.
 
     ``terms`` is an array of ``size`` values, the explained one last; rows
-    where one is NULL are left out whole. A row is spread over the lines of
-    its product matrix, so that an aggregate holds ``size`` sums, not their
-    square, and stays within generated code.
+    where one is NULL are left out whole.
     """
     z = rows.select(*keys, terms.alias("_z"))
     total = F.col("_z")[0]
     for i in range(1, size):
         total = total + F.col("_z")[i]
     # A sum is NULL as soon as one of its terms is.
-    lines = z.where(total.isNotNull()).select(*keys, "_z", F.posexplode("_z").alias("_line", "_v"))
-    sums = [F.sum(F.col("_v") * F.col("_z")[j]).alias(f"_s{j}") for j in range(size)]
-    summed = lines.groupBy(*keys, "_line").agg(F.count(F.lit(1)).alias("n"), *sums)
-    line = F.struct("_line", F.array(*[f"_s{j}" for j in range(size)]).alias("_sums"))
-    # One short list per key: as many lines as there are terms.
-    return summed.groupBy(*keys).agg(
-        F.max("n").alias("n"), F.flatten(F.sort_array(F.collect_list(line))["_sums"]).alias("products")
-    )
+    whole = z.where(total.isNotNull())
+    names = [*keys]
+
+    def passed_on(held: dict, types: list[pa.DataType]) -> pa.RecordBatch:
+        columns = [pa.array(list(ids), kind) for ids, kind in zip(zip(*held), types)]
+        columns.append(pa.array([n for n, _ in held.values()], pa.int64()))
+        columns.append(pa.array([m.ravel() for _, m in held.values()], pa.list_(pa.float64())))
+        return pa.RecordBatch.from_arrays(columns, [*names, "n", "products"])
+
+    def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            values = batch.column("_z").flatten().to_numpy(zero_copy_only=False)
+            matrix = values.reshape(-1, size)
+            ids = batch.select(names).to_pandas()
+            for key, at in ids.groupby(names, sort=False, dropna=False).indices.items():
+                part = matrix[at]
+                key = key if isinstance(key, tuple) else (key,)
+                n, sums = held.get(key, (0, 0.0))
+                held[key] = (n + len(part), sums + part.T @ part)
+            types = [batch.schema.field(k).type for k in names]
+            if len(held) > _HELD:
+                yield passed_on(held, types)
+                held = {}
+        if held:
+            yield passed_on(held, types)
+
+    return combine(whole.mapInArrow(reduce, products_schema(rows, keys)), keys)
+
+
+def combine(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add up matrices of the same series, cell by cell."""
+    cells = partial.select(*keys, "n", F.posexplode("products").alias("_cell", "_v"))
+    summed = cells.groupBy(*keys, "_cell").agg(F.sum("n").alias("n"), F.sum("_v").alias("_v"))
+    # One list per series, of the matrix's fixed size.
+    listed = F.sort_array(F.collect_list(F.struct("_cell", "_v")))["_v"]
+    return summed.groupBy(*keys).agg(F.max("n").alias("n"), listed.alias("products"))
 
 
 def solve(sums: DataFrame, keys: Sequence[str], size: int, ridge: Sequence[float] | None = None) -> DataFrame:

@@ -89,7 +89,7 @@ def train_final(
     work = work or new_folder(dataset.sparkSession, "training")
     # Lagged inputs of the first day reach back before the window.
     reach = recent(dataset, window_days + horizon_days)
-    rows = recent(forest.model_inputs(reach, horizon_days, keys=keys), window_days, of=reach)
+    rows = recent(forest.model_inputs(reach, horizon_days, keys=keys), window_days, of=dataset)
     writers.write_stage(rows, "inputs", work)
     model = forest.fit_rf(
         readers.read_stage(dataset.sparkSession, "inputs", work), seed=seed, params=params
@@ -161,9 +161,13 @@ def evaluate_candidates(
         raise ValueError(f"unknown models {sorted(unknown)}")
     spark = dataset.sparkSession
     work = work or new_folder(spark, "evaluation")
-    writers.write_stage(dataset.select(*keys, SLOT, POWER, *WEATHER), "observed", work)
+    writers.write_stage(
+        dataset.select(*keys, SLOT, POWER, *WEATHER), "observed", work, by_day=True
+    )
     observed = readers.read_stage(spark, "observed", work)
-    writers.write_stage(forest.model_inputs(dataset, horizon_days, keys=keys), "inputs", work)
+    writers.write_stage(
+        forest.model_inputs(dataset, horizon_days, keys=keys), "inputs", work, by_day=True
+    )
     inputs = readers.read_stage(spark, "inputs", work)
     latest = observed.agg(F.max(SLOT)).first()[0]
     arima_options = dict(arima_options or {"p": 2, "d": 0, "q": 1})

@@ -18,10 +18,14 @@ def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     so that row-group statistics prune by plant and slot, and the calendar
     columns are stored so that an hour filter reaches the scan.
     """
-    ready = with_fecha(features_all(df))
-    order = [c for c in (FECHA, PLANT, SLOT) if c in ready.columns]
+    _write_by_day(features_all(df), path, mode)
+
+
+def _write_by_day(df: DataFrame, path: str, mode: str) -> None:
+    dated = with_fecha(df)
+    order = [c for c in (FECHA, PLANT, SLOT) if c in dated.columns]
     (
-        ready.hint("rebalance", FECHA)
+        dated.hint("rebalance", FECHA)
         .sortWithinPartitions(*order)
         .write.mode(mode)
         .partitionBy(FECHA)
@@ -29,10 +33,16 @@ def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
-def write_stage(df: DataFrame, name: str, root: str | None = None) -> str:
-    """Store a stage's rows, which also ends their lineage."""
+def write_stage(df: DataFrame, name: str, root: str | None = None, by_day: bool = False) -> str:
+    """Store a stage's rows, which also ends their lineage.
+
+    ``by_day`` suits stages of which later jobs read a time range each.
+    """
     path = stage_path(df.sparkSession, name, root)
-    df.write.mode("overwrite").parquet(path)
+    if by_day:
+        _write_by_day(df, path, "overwrite")
+    else:
+        df.write.mode("overwrite").parquet(path)
     return path
 
 
