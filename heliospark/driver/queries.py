@@ -51,6 +51,22 @@ def query(name: str):
     return register
 
 
+# Files that later queries read again, by session, tables and name.
+_stored: dict[tuple[str, str, str], str] = {}
+_stored_lock = threading.RLock()
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], object]) -> str:
+    """Path of files written once per session and tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    with _stored_lock:
+        if key not in _stored:
+            path = new_folder(spark, name)
+            write(path)
+            _stored[key] = path
+        return _stored[key]
+
+
 # --- Sources. Files are first written from the tables, then read back. ---
 
 
@@ -67,14 +83,11 @@ def _generation_files(spark: SparkSession, sf_dir: str) -> str:
         F.max(E_TOTAL).alias("eTotal"),
         F.map_from_entries(F.collect_list(record)).alias(RAW_SERIES),
     )
-    path = new_folder(spark, "generation")
-    (
-        documents.select(PLANT, F.to_json(F.struct(*RAW_SCALARS, RAW_SERIES)).alias("value"))
-        .write.partitionBy(PLANT)
-        .option("maxRecordsPerFile", 1)
-        .text(path)
-    )
-    return path
+    text = F.to_json(F.struct(*RAW_SCALARS, RAW_SERIES)).alias("value")
+    # Spread over tasks: a task writes its files one after another.
+    lines = documents.select(PLANT, text).repartition(spark.sparkContext.defaultParallelism)
+    writer = lines.write.partitionBy(PLANT).option("maxRecordsPerFile", 1)
+    return _once(spark, sf_dir, "generation", writer.text)
 
 
 def _weather_files(spark: SparkSession, sf_dir: str) -> str:
@@ -82,9 +95,8 @@ def _weather_files(spark: SparkSession, sf_dir: str) -> str:
     rows = t.weather(spark, sf_dir)
     end = F.date_format(F.col(SLOT) + F.expr("interval 5 minutes"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     document = F.to_json(F.struct(end.alias("period_end"), *WEATHER))
-    path = new_folder(spark, "weather")
-    rows.select(PLANT, document.alias("value")).write.partitionBy(PLANT).text(path)
-    return path
+    writer = rows.select(PLANT, document.alias("value")).write.partitionBy(PLANT)
+    return _once(spark, sf_dir, "weather", writer.text)
 
 
 @query("src_generation_json")
@@ -113,15 +125,11 @@ def src_broadcast_scalars(spark, sf_dir):
     return readers.with_scalars(raw).select(PLANT, "time", "pac", *RAW_SCALARS)
 
 
-def _stored_dataset(spark: SparkSession, sf_dir: str) -> str:
-    path = new_folder(spark, "dataset")
-    writers.write_dataset(t.homogenised(spark, sf_dir), path)
-    return path
-
-
 @query("src_homogenised")
 def src_homogenised(spark, sf_dir):
-    stored = readers.load_dataset(spark, _stored_dataset(spark, sf_dir))
+    rows = t.homogenised(spark, sf_dir)
+    path = _once(spark, sf_dir, "dataset", lambda out: writers.write_dataset(rows, out))
+    stored = readers.load_dataset(spark, path)
     return stored.select(PLANT, SLOT, *FEATURES)
 
 
@@ -137,7 +145,9 @@ def src_intermediate(spark, sf_dir):
 
 @query("sink_homogenised")
 def sink_homogenised(spark, sf_dir):
-    stored = readers.load_dataset(spark, _stored_dataset(spark, sf_dir))
+    path = new_folder(spark, "dataset")
+    writers.write_dataset(t.homogenised(spark, sf_dir), path)
+    stored = readers.load_dataset(spark, path)
     return views.filter_dates(stored, START, END).select(PLANT, FECHA, SLOT, E_TODAY, "hora")
 
 
@@ -424,37 +434,30 @@ def profile_monthly(spark, sf_dir):
 # --- Modelling and evaluation ---
 
 
-_models: dict[tuple[str, str], str] = {}
-_models_lock = threading.Lock()
-
-
-def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return forest.model_inputs(t.homogenised(spark, sf_dir, step=HOUR), horizon_days=1)
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored hourly dataset that training and forecasts start from."""
+    rows = t.homogenised(spark, sf_dir, step=HOUR)
+    path = _once(spark, sf_dir, "hourly", lambda out: writers.write_dataset(rows, out))
+    return readers.load_dataset(spark, path)
 
 
 def _saved_model(spark: SparkSession, sf_dir: str) -> str:
-    """Path of a forest trained on these tables, fitted once per session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    with _models_lock:
-        if key not in _models:
-            work = new_folder(spark, "training")
-            model = pipeline.train_final(
-                t.homogenised(spark, sf_dir, step=HOUR),
-                f"{work}/model",
-                horizon_days=1,
-                window_days=60,
-                params=RF_PARAMS,
-                work=work,
-            )
-            _models[key] = model
-        return _models[key]
+    """Path of a forest trained on these tables."""
+    history = _history(spark, sf_dir)
+    return _once(
+        spark,
+        sf_dir,
+        "model",
+        lambda out: pipeline.train_final(history, out, horizon_days=1, params=RF_PARAMS),
+    )
 
 
 @query("fit_random_forest")
 def fit_random_forest(spark, sf_dir):
     """Predictions for the last days by a forest that never saw them."""
     work = new_folder(spark, "training")
-    writers.write_stage(_training_rows(spark, sf_dir), "inputs", work)
+    inputs = forest.model_inputs(_history(spark, sf_dir), horizon_days=1)
+    writers.write_stage(inputs, "inputs", work)
     rows = readers.read_stage(spark, "inputs", work)
     latest = rows.agg(F.max(SLOT)).first()[0]
     fold = splits.fold_bounds(latest, 1, HOLDOUT_DAYS, "holdout")[0]
@@ -569,7 +572,7 @@ def model_save(spark, sf_dir):
 def model_load(spark, sf_dir):
     """The loaded model's answers for the rows it can answer."""
     model = forest.load_model(_saved_model(spark, sf_dir))
-    rows = _training_rows(spark, sf_dir)
+    rows = forest.model_inputs(_history(spark, sf_dir), horizon_days=1)
     return model.transform(rows).select(PLANT, SLOT, forest.TARGET, "prediccion")
 
 
@@ -583,15 +586,16 @@ def future_horizon(spark, sf_dir):
 
 @query("inference_inputs")
 def inference_inputs(spark, sf_dir):
-    history = t.homogenised(spark, sf_dir, step=HOUR)
-    return fc.inputs(history, fc.horizon(history, 2, HOUR), 2)
+    history = _history(spark, sf_dir)
+    at = views.read_latest(history)
+    return fc.inputs(history, fc.live_horizon(history, 2, HOUR, at=at), 2, at=at)
 
 
 @query("forecast")
 def forecast(spark, sf_dir):
-    history = t.homogenised(spark, sf_dir, step=HOUR)
+    history = _history(spark, sf_dir)
     model = forest.load_model(_saved_model(spark, sf_dir))
-    return fc.forecast(history, model, 1, HOUR)
+    return fc.forecast(history, model, 1, HOUR, at=views.read_latest(history))
 
 
 @query("forecast_fallback")
@@ -602,14 +606,14 @@ def forecast_fallback(spark, sf_dir):
 @query("forecast_or_fallback")
 def forecast_or_fallback(spark, sf_dir):
     """No model lies at this path, so the recent pattern answers."""
-    history = t.homogenised(spark, sf_dir, step=HOUR)
+    history = _history(spark, sf_dir)
     return fc.forecast_safe(history, new_folder(spark, "no-model"), 2, HOUR).predictions
 
 
 @query("model_status")
 def model_status(spark, sf_dir):
     """Both outcomes: a stored model, and a path without one."""
-    history = t.homogenised(spark, sf_dir, step=HOUR)
+    history = _history(spark, sf_dir)
     good = fc.forecast_safe(history, _saved_model(spark, sf_dir), 1, HOUR).status()
     bad = fc.forecast_safe(history, new_folder(spark, "no-model"), 1, HOUR).status()
     return good.unionByName(bad)

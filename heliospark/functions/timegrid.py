@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from heliospark.schema import STEP
+from heliospark.schema import SLOT, STEP
 
 # An ISO offset at the end of a time of day: Z, +hh, +hhmm or +hh:mm.
 OFFSET_PATTERN = r"\d{1,2}:\d{2}.*(Z|[+-]\d{2}(:?\d{2})?)\s*$"
@@ -29,8 +29,8 @@ def local_time(text: str | Column, site_tz: str | None = None) -> Column:
     if site_tz is None:
         instant = F.raise_error("times with an offset need site_tz").cast("timestamp_ntz")
     else:
-        wall = F.try_to_timestamp(col).cast("timestamp_ntz")
-        instant = F.convert_timezone(F.current_timezone(), F.lit(site_tz), wall)
+        utc = from_epoch(F.unix_micros(F.try_to_timestamp(col)) / F.lit(1_000_000))
+        instant = F.convert_timezone(F.lit("UTC"), F.lit(site_tz), utc)
     return F.when(col.rlike(OFFSET_PATTERN), instant).otherwise(col.try_cast("timestamp_ntz"))
 
 
@@ -51,6 +51,19 @@ def seconds_of(step: str) -> int:
     return int(count) * lengths[unit.rstrip("s")]
 
 
+def wall_seconds(ts: str | Column = SLOT) -> Column:
+    """Whole seconds of a wall-clock time since 1970, whatever the session's zone."""
+    day = F.unix_date(F.to_date(ts)).cast("long")
+    return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def from_epoch(seconds: Column) -> Column:
+    """The inverse of :func:`wall_seconds`; keeps microseconds."""
+    zero = F.lit(0)
+    length = F.make_dt_interval(zero, zero, zero, seconds.cast("decimal(18,6)"))
+    return F.lit("1970-01-01").cast("timestamp_ntz") + length
+
+
 def days_before(ts: Column, days: int) -> Column:
     return ts - F.expr(f"interval {int(days)} days")
 

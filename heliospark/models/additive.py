@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliospark.functions.timegrid import wall_seconds
 from heliospark.models.linear import dot, least_squares
 from heliospark.schema import KEYS, POWER, SLOT
 
@@ -41,7 +42,7 @@ class AdditiveSpec:
     def terms(self, ts: str = SLOT) -> dict[str, Column]:
         """Name to expression, the intercept first."""
         epoch = self.start.replace(tzinfo=dt.timezone.utc).timestamp()
-        seconds = F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(1e6) - F.lit(epoch)
+        seconds = wall_seconds(ts) - F.lit(epoch)
         trend = seconds / F.lit((self.end - self.start).total_seconds())
         out = {"const": F.lit(1.0), "trend": trend}
         for j in range(1, self.changepoints + 1):

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heliospark.functions.timegrid import seconds_of
+from heliospark.functions.timegrid import from_epoch, seconds_of, wall_seconds
 from heliospark.models.linear import combine, products_schema
 from heliospark.operators.lags import halo_blocks
-from heliospark.operators.views import recent
+from heliospark.operators.views import read_latest, recent
 from heliospark.schema import KEYS, POWER, SLOT, STEP
 
 BLOCK_SLOTS = 4096
@@ -54,7 +54,7 @@ class ArimaOrder:
 
 def _indexed(df: DataFrame, target: str, order: ArimaOrder, keys: Sequence[str]) -> DataFrame:
     seconds = seconds_of(order.step)
-    index = F.floor(F.unix_seconds(F.col(SLOT).cast("timestamp")) / seconds)
+    index = F.floor(wall_seconds() / seconds)
     return df.select(*keys, index.alias("_i"), F.col(target).cast("double").alias("_y")).dropna()
 
 
@@ -164,11 +164,11 @@ def _tail(df: DataFrame, target: str, order: ArimaOrder, keys: Sequence[str]) ->
     """The last slots of each series, as many as the recursion starts from.
 
     Series that fell silent long before the others are left out, so that only
-    the last days of the data are scanned.
+    the last days of the data are scanned; one action reads where they end.
     """
     needed = order.memory + 1
     days = SILENT_DAYS + -(-needed * seconds_of(order.step) // 86400)
-    rows = _indexed(recent(df, days), target, order, keys)
+    rows = _indexed(recent(df, days, at=read_latest(df)), target, order, keys)
     last = rows.groupBy(*keys).agg(F.max("_i").alias("_last"))
     return rows.join(last, list(keys)).where(F.col("_i") > F.col("_last") - needed)
 
@@ -234,5 +234,5 @@ def forecast_arima(
         return out
 
     paths = keyed.groupBy(*keys).applyInPandas(extend, schema)
-    slot = F.timestamp_seconds(F.col("_i") * seconds).cast("timestamp_ntz")
+    slot = from_epoch(F.col("_i") * seconds)
     return paths.select(*keys, slot.alias(SLOT), "prediccion")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliospark.functions.timegrid import wall_seconds
+
 
 def metrics(
     predictions: DataFrame,
@@ -52,7 +54,7 @@ def compare_models(results: DataFrame) -> DataFrame:
 
 def lead_day(predictions: DataFrame, origin: str = "origin", ts: str = "slot") -> DataFrame:
     """Add the day of the forecast, counted from 1 after the origin."""
-    seconds = F.timestamp_diff("SECOND", F.col(origin), F.col(ts))
+    seconds = wall_seconds(ts) - wall_seconds(origin)
     return predictions.withColumn("lead_day", F.ceil(seconds / 86400).cast("int"))
 
 

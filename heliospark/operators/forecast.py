@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -16,7 +17,7 @@ from heliospark.functions.calendar import features_all, minute_of_day
 from heliospark.functions.timegrid import circular_mean
 from heliospark.models.forest import load_model
 from heliospark.operators.lags import shift_days
-from heliospark.operators.views import recent
+from heliospark.operators.views import read_latest, recent
 from heliospark.schema import CIRCULAR, ENERGY, FEATURES, FECHA, KEYS, POWER, SLOT, STEP, WEATHER
 
 log = logging.getLogger(__name__)
@@ -46,12 +47,13 @@ def slot_pattern(
     columns: Sequence[str],
     days: int = PATTERN_DAYS,
     keys: Sequence[str] = KEYS,
+    at: dt.datetime | None = None,
 ) -> DataFrame:
     """Mean of each column by time of day over the last days of the data."""
     aggs = [
         (circular_mean(c) if c in CIRCULAR else F.avg(c)).alias(c) for c in columns
     ]
-    return recent(df, days).groupBy(*keys, minute_of_day().alias("_minute")).agg(*aggs)
+    return recent(df, days, at=at).groupBy(*keys, minute_of_day().alias("_minute")).agg(*aggs)
 
 
 def inputs(
@@ -60,6 +62,7 @@ def inputs(
     days: int,
     weather: DataFrame | None = None,
     keys: Sequence[str] = KEYS,
+    at: dt.datetime | None = None,
 ) -> DataFrame:
     """Model inputs for the slots of ``future``, one row for each.
 
@@ -67,9 +70,9 @@ def inputs(
     and where that is missing the recent mean at that time of day.
     """
     # A series may end up to PATTERN_DAYS before the others do.
-    known = recent(history, days + PATTERN_DAYS)
+    known = recent(history, days + PATTERN_DAYS, at=at)
     energy = shift_days(known.select(*keys, SLOT, *ENERGY), days)
-    pattern = slot_pattern(history, WEATHER, keys=keys)
+    pattern = slot_pattern(history, WEATHER, keys=keys, at=at)
     rows = features_all(future).withColumn("_minute", minute_of_day())
     rows = rows.join(energy, [*keys, SLOT], "left")
     if weather is None:
@@ -82,10 +85,15 @@ def inputs(
     return rows.select(*keys, SLOT, *FEATURES)
 
 
-def fill_inputs(rows: DataFrame, history: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+def fill_inputs(
+    rows: DataFrame,
+    history: DataFrame,
+    keys: Sequence[str] = KEYS,
+    at: dt.datetime | None = None,
+) -> DataFrame:
     """Replace inputs still missing by the series' recent mean, so no slot is lost."""
     names = [*ENERGY, *WEATHER]
-    means = recent(history, PATTERN_DAYS).groupBy(*keys).agg(
+    means = recent(history, PATTERN_DAYS, at=at).groupBy(*keys).agg(
         *[(circular_mean(c) if c in CIRCULAR else F.avg(c)).alias(f"_mean_{c}") for c in names]
     )
     filled = rows.join(means, list(keys), "left")
@@ -97,10 +105,15 @@ def fill_inputs(rows: DataFrame, history: DataFrame, keys: Sequence[str] = KEYS)
 
 
 def live_horizon(
-    history: DataFrame, days: int, step: str = STEP, keys: Sequence[str] = KEYS
+    history: DataFrame,
+    days: int,
+    step: str = STEP,
+    keys: Sequence[str] = KEYS,
+    at: dt.datetime | None = None,
 ) -> DataFrame:
     """The horizon of the series that still report; scans the last days only."""
-    return horizon(recent(history.select(*_stored(history, keys)), PATTERN_DAYS), days, step, keys)
+    known = history.select(*_stored(history, keys))
+    return horizon(recent(known, PATTERN_DAYS, at=at), days, step, keys)
 
 
 def _stored(history: DataFrame, keys: Sequence[str]) -> list[str]:
@@ -114,10 +127,11 @@ def forecast(
     step: str = STEP,
     weather: DataFrame | None = None,
     keys: Sequence[str] = KEYS,
+    at: dt.datetime | None = None,
 ) -> DataFrame:
     """The model's prediction for every slot of the horizon."""
-    future = live_horizon(history, days, step, keys)
-    rows = fill_inputs(inputs(history, future, days, weather, keys), history, keys)
+    future = live_horizon(history, days, step, keys, at)
+    rows = fill_inputs(inputs(history, future, days, weather, keys, at), history, keys, at)
     return model.transform(rows).select(
         *keys, SLOT, F.col("prediccion"), F.lit(MODEL_MODE).alias("modo")
     )
@@ -129,9 +143,10 @@ def provisional(
     target: str = POWER,
     days: int = PATTERN_DAYS,
     keys: Sequence[str] = KEYS,
+    at: dt.datetime | None = None,
 ) -> DataFrame:
     """Recent mean at that time of day; NULL where the pattern has no such time."""
-    pattern = slot_pattern(history, [target], days, keys).withColumnRenamed(target, "prediccion")
+    pattern = slot_pattern(history, [target], days, keys, at).withColumnRenamed(target, "prediccion")
     rows = future.withColumn("_minute", minute_of_day()).join(pattern, [*keys, "_minute"], "left")
     return rows.select(*keys, SLOT, "prediccion", F.lit(PROVISIONAL_MODE).alias("modo"))
 
@@ -165,15 +180,19 @@ def forecast_safe(
 ) -> ForecastResult:
     """The model's forecast, or the provisional one where it cannot be had.
 
+    The latest slot is read first, so that every scan is bounded by literals.
     Inference fails only once it runs, so the forecast is kept and counted by
     one action inside the guard. A series with fewer answers than slots gets
     the provisional forecast whole; the others keep the model's.
     """
-    future = live_horizon(history, days, step, keys)
-    pattern = provisional(history, future, target, keys=keys)
+    at = read_latest(history)
+    if at is None:
+        raise ValueError("there is no history to forecast from")
+    future = live_horizon(history, days, step, keys, at)
+    pattern = provisional(history, future, target, keys=keys, at=at)
     try:
         model = load_model(model_path)
-        predictions = forecast(history, model, days, step, weather, keys).persist()
+        predictions = forecast(history, model, days, step, weather, keys, at).persist()
     except (PySparkException, Py4JJavaError) as error:
         return _all_provisional(pattern, f"model not usable: {type(error).__name__}")
     answered = future.join(predictions, [*keys, SLOT], "left").groupBy(*keys).agg(

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heliospark.functions.timegrid import wall_seconds
 from heliospark.operators.views import latest_slot
 from heliospark.schema import FECHA, SLOT
 
@@ -50,7 +51,7 @@ def folds(
         raise ValueError("k and h must be positive")
     latest = latest_slot(df, ts).scalar()
     dated = df.withColumn("_end", latest)
-    age = F.timestamp_diff("SECOND", F.col(ts), F.col("_end"))
+    age = wall_seconds("_end") - wall_seconds(ts)
     own = F.lit(k) - F.floor(age / (h * _DAY))
     served = F.sequence(F.greatest(own, F.lit(1)).cast("int"), F.lit(k))
     rows = dated.select("*", own.alias("_own"), F.explode(served).alias("fold"))

@@ -55,22 +55,37 @@ def latest_slot(df: DataFrame, ts: str = SLOT) -> DataFrame:
     return df.agg(F.max(ts).alias("latest"))
 
 
-def recent(df: DataFrame, days: int, ts: str = SLOT, of: DataFrame | None = None) -> DataFrame:
+def read_latest(df: DataFrame, ts: str = SLOT) -> dt.datetime | None:
+    """The latest slot as a value; reads it with one action."""
+    return latest_slot(df, ts).first()["latest"]
+
+
+def recent(
+    df: DataFrame,
+    days: int,
+    ts: str = SLOT,
+    of: DataFrame | None = None,
+    at: dt.datetime | None = None,
+) -> DataFrame:
     """Rows of the last ``days`` days, counted back from the latest slot of ``of``.
 
     ``of`` is the unfiltered data where ``df`` is already filtered. The anchor
     is a scalar subquery: nothing is joined, and on stored data it also bounds
-    the day partitions that the scan opens.
+    the day partitions that the scan opens. Jobs that ask for several trailing
+    ranges of the same data pass the anchor as ``at`` and spare the subqueries.
     """
     if days <= 0:
         raise ValueError("days must be positive")
-    anchor = latest_slot(df if of is None else of, ts)
-    bound = anchor.select(days_before(F.col("latest"), days))
-    rows = df.where(F.col(ts) > bound.scalar())
-    if FECHA in df.columns:
-        first = anchor.select(F.to_date(days_before(F.col("latest"), days)))
-        rows = rows.where(F.col(FECHA) >= first.scalar())
-    return rows
+    if at is not None:
+        start = at - dt.timedelta(days=days)
+        bound = F.lit(start.isoformat(sep=" ")).cast("timestamp_ntz")
+        first = F.lit(start.date())
+    else:
+        anchor = latest_slot(df if of is None else of, ts)
+        bound = anchor.select(days_before(F.col("latest"), days)).scalar()
+        first = anchor.select(F.to_date(days_before(F.col("latest"), days))).scalar()
+    rows = df.where(F.col(ts) > bound)
+    return rows.where(F.col(FECHA) >= first) if FECHA in df.columns else rows
 
 
 def daily(df: DataFrame, agg: Column, ts: str = SLOT, keys: Sequence[str] = KEYS) -> DataFrame:

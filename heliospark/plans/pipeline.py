@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from heliospark.operators.evaluate import (
 )
 from heliospark.operators.forecast import slot_pattern
 from heliospark.operators.splits import Fold, fold_bounds
-from heliospark.operators.views import recent
+from heliospark.operators.views import read_latest, recent
 from heliospark.schema import DEFAULT_PLANT, KEYS, PLANT, POWER, RAW_PERIOD_END, SLOT, STEP, WEATHER
 from heliospark.session import new_folder
 from heliospark.sources import readers, writers
@@ -88,8 +89,11 @@ def train_final(
     """Fit the forest on the last ``window_days`` and store it."""
     work = work or new_folder(dataset.sparkSession, "training")
     # Lagged inputs of the first day reach back before the window.
-    reach = recent(dataset, window_days + horizon_days)
-    rows = recent(forest.model_inputs(reach, horizon_days, keys=keys), window_days, of=dataset)
+    at = read_latest(dataset)
+    if at is None:
+        raise ValueError("there is no dataset to train on")
+    reach = recent(dataset, window_days + horizon_days, at=at)
+    rows = recent(forest.model_inputs(reach, horizon_days, keys=keys), window_days, at=at)
     writers.write_stage(rows, "inputs", work)
     model = forest.fit_rf(
         readers.read_stage(dataset.sparkSession, "inputs", work), seed=seed, params=params
@@ -147,12 +151,13 @@ def evaluate_candidates(
     seed: int = 42,
     work: str | None = None,
     keys: Sequence[str] = KEYS,
+    parallelism: int = 1,
 ) -> str:
     """Fit every model on every fold and store the predictions of the test slots.
 
     Inputs are stored once; each fold then reads its own time range of them.
-    The model loop runs on the driver, one Spark job after another. Models that
-    use weather answer twice, told apart by ``clima``: ``observado`` bounds what
+    Fits are Spark jobs that the driver submits, ``parallelism`` at a time, so
+    that small ones can share a large cluster. Models that use weather answer twice, told apart by ``clima``: ``observado`` bounds what
     they could do, ``reciente`` is what a forecast would get. Returns the folder
     of the predictions.
     """
@@ -169,35 +174,42 @@ def evaluate_candidates(
         forest.model_inputs(dataset, horizon_days, keys=keys), "inputs", work, by_day=True
     )
     inputs = readers.read_stage(spark, "inputs", work)
-    latest = observed.agg(F.max(SLOT)).first()[0]
+    latest = read_latest(observed)
     arima_options = dict(arima_options or {"p": 2, "d": 0, "q": 1})
     additive_options = dict(additive_options or {"regressors": tuple(WEATHER[:-1])})
     out = f"{work}/predictions"
-    for strategy in strategies:
-        for fold in fold_bounds(latest, k, horizon_days, strategy, window_days):
-            train, test = fold.train(observed), fold.test(observed)
-            for name in models:
-                if name == "arima":
-                    rows = _arima_predictions(train, test, fold, step, keys, arima_options)
-                elif name == "additive":
-                    tests = _both_weathers(test, train, keys)
-                    rows = _additive_predictions(train, tests, keys, additive_options)
-                else:
-                    tests = _both_weathers(fold.test(inputs), train, keys)
-                    rows = _forest_predictions(
-                        fold.train(inputs), tests, keys, forest_params, seed
-                    )
-                rows.select(
-                    F.lit(name).alias("model"),
-                    "clima",
-                    F.lit(strategy).alias("strategy"),
-                    F.lit(fold.number).alias("fold"),
-                    F.lit(fold.origin.isoformat(sep=" ")).cast("timestamp_ntz").alias("origin"),
-                    *keys,
-                    SLOT,
-                    "actual",
-                    F.col("prediccion").alias("prediction"),
-                ).write.mode("append").parquet(out)
+
+    def run(name: str, fold: Fold) -> None:
+        train, test = fold.train(observed), fold.test(observed)
+        if name == "arima":
+            rows = _arima_predictions(train, test, fold, step, keys, arima_options)
+        elif name == "additive":
+            tests = _both_weathers(test, train, keys)
+            rows = _additive_predictions(train, tests, keys, additive_options)
+        else:
+            tests = _both_weathers(fold.test(inputs), train, keys)
+            rows = _forest_predictions(fold.train(inputs), tests, keys, forest_params, seed)
+        # A folder for each fit: one that is repeated replaces its own rows only.
+        rows.select(
+            "clima",
+            F.lit(fold.origin.isoformat(sep=" ")).cast("timestamp_ntz").alias("origin"),
+            *keys,
+            SLOT,
+            "actual",
+            F.col("prediccion").alias("prediction"),
+        ).write.mode("overwrite").parquet(
+            f"{out}/model={name}/strategy={fold.strategy}/fold={fold.number}"
+        )
+
+    fits = [
+        (name, fold)
+        for strategy in strategies
+        for fold in fold_bounds(latest, k, horizon_days, strategy, window_days)
+        for name in models
+    ]
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        for done in [pool.submit(run, name, fold) for name, fold in fits]:
+            done.result()
     return out
 
 

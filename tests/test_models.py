@@ -245,7 +245,7 @@ def test_daily_forecast_and_comparison(spark):
 
 def test_candidates_are_compared_and_one_is_chosen(spark, weather):
     out = pipeline.evaluate_candidates(
-        weather, 3, k=2, window_days=12, step="1 hour", forest_params=SMALL,
+        weather, 3, k=2, window_days=12, step="1 hour", forest_params=SMALL, parallelism=4,
         arima_options={"p": 2, "d": 0, "q": 1, "long_ar": 24},
         additive_options={"fourier": {"day": 3}, "changepoints": 1, "regressors": ("ghi",)},
     )

@@ -128,6 +128,16 @@ def test_recent_is_anchored_on_unfiltered_data(spark):
     assert slots == sorted(slots)
 
 
+def test_a_given_anchor_gives_the_same_rows(spark):
+    df = pv_clear(spark, days=12, step_minutes=60, plants=2)
+    at = views.read_latest(df)
+    assert at == dt.datetime(2023, 1, 13, 23)
+    dated = calendar.with_fecha(df)
+    for days in (1, 7, 30):
+        lazy, given = views.recent(dated, days), views.recent(dated, days, at=at)
+        assert lazy.exceptAll(given).isEmpty() and given.exceptAll(lazy).isEmpty()
+
+
 def test_summary_is_one_pass(spark):
     df = pv_clear(spark, days=2)
     row = views.summary(df).first()

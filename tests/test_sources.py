@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from heliospark.functions.timegrid import from_epoch, wall_seconds
 from heliospark.operators import clean, views
 from heliospark.plans import pipeline
 from heliospark.session import new_folder
@@ -99,6 +100,22 @@ def test_times_with_offset_need_a_zone(spark):
         clean.parse_time(df, "t").collect()
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Asia/Kolkata"])
+def test_session_zone_does_not_matter(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        # The second and third fall into New York's repeated and skipped hours.
+        texts = ["2024-07-01T12:00:00Z", "2024-11-03T06:30:00Z", "2024-03-10 02:30:00"]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+        parsed = clean.parse_time(df, "t", "Europe/Madrid").withColumn("s", wall_seconds("ts"))
+        rows = parsed.withColumn("back", from_epoch(F.col("s"))).orderBy("i").collect()
+        want = [dt.datetime(2024, 7, 1, 14), dt.datetime(2024, 11, 3, 7, 30), dt.datetime(2024, 3, 10, 2, 30)]
+        assert [r["ts"] for r in rows] == [r["back"] for r in rows] == want
+        assert [r["s"] for r in rows] == [int((w - dt.datetime(1970, 1, 1)).total_seconds()) for w in want]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_times(spark):
     texts = [
         "2024-07-01T12:00:00Z",
