@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from heliospark.driver import tables as t
 from heliospark.driver.present import present
 from heliospark.functions import calendar
+from heliospark.functions.timegrid import days_before
 from heliospark.models import additive, arima, forest
 from heliospark.operators import aggregates, clean, economics, evaluate, splits, views
 from heliospark.operators import forecast as fc
@@ -514,12 +515,18 @@ def split_sliding(spark, sf_dir):
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two plain forecasters under three strategies, on hourly power."""
     rows = lag_days(t.power(spark, sf_dir, step=HOUR), {POWER: "persistencia"}, 4)
-    parts = [
-        splits.folds(rows, 1, 4, "expanding").withColumn("strategy", F.lit("holdout")),
-        splits.folds(rows, 3, 4, "expanding").withColumn("strategy", F.lit("expanding")),
-        splits.folds(rows, 3, 4, "sliding", 10).withColumn("strategy", F.lit("sliding")),
-    ]
-    folded = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = splits.folds(rows, 3, 4, "expanding")
+    # The folds of all strategies share their origins: the last one is the
+    # holdout's, and the sliding ones train on fewer days.
+    in_window = (F.col("rol") == "test") | (F.col(SLOT) > days_before(F.col("origin"), 10))
+    serves = F.array(
+        F.struct(F.lit("expanding").alias("strategy"), F.col("fold")),
+        F.when(F.col("fold") == 3, F.struct(F.lit("holdout").alias("strategy"), F.lit(1).alias("fold"))),
+        F.when(in_window, F.struct(F.lit("sliding").alias("strategy"), F.col("fold"))),
+    )
+    folded = rows.withColumn("_as", F.explode(F.array_compact(serves))).withColumns(
+        {"strategy": F.col("_as.strategy"), "fold": F.col("_as.fold")}
+    )
     folded = folded.withColumn("_minute", calendar.minute_of_day())
     # One group holds one row per training day.
     group = Window.partitionBy("strategy", "fold", PLANT, "_minute")
