@@ -15,7 +15,9 @@ ENERGY_VIEWS = ("full", "daily_mean", "daily_max", "last7", "last30")
 
 
 def _day(value: str | dt.date) -> dt.date:
-    return dt.date.fromisoformat(value) if isinstance(value, str) else value
+    if isinstance(value, str):
+        return dt.date.fromisoformat(value)
+    return value.date() if isinstance(value, dt.datetime) else value
 
 
 def _midnight(day: dt.date) -> Column:
@@ -122,10 +124,10 @@ def history_table(
     columns: Sequence[str] = (POWER,),
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """Filtered history in time order."""
-    rows = df
-    if start is not None and end is not None:
-        rows = filter_dates(rows, start, end)
+    """Filtered history in time order; give both ends of the dates or neither."""
+    if (start is None) != (end is None):
+        raise ValueError("give both start and end, or neither")
+    rows = df if start is None else filter_dates(df, start, end)
     if hours is not None:
         rows = filter_hours(rows, *hours)
     return rows.select(*keys, SLOT, *columns).orderBy(SLOT, *keys)

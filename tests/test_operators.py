@@ -96,7 +96,13 @@ def test_dates_and_hours(spark):
     df = pv_clear(spark, days=5, step_minutes=60)
     assert views.filter_dates(df, "2023-01-03", "2023-01-04").count() == 48
     assert views.filter_dates(df, dt.date(2023, 1, 3), dt.date(2023, 1, 3)).count() == 24
+    noon = dt.datetime(2023, 1, 3, 12)
+    assert views.filter_dates(df, noon, noon).count() == 24
     assert views.filter_hours(df, 6, 8).count() == 15
+    assert views.history_table(df).count() == 120
+    assert views.history_table(df, "2023-01-03", "2023-01-04", (6, 8)).count() == 6
+    with pytest.raises(ValueError):
+        views.history_table(df, start="2023-01-03")
     with pytest.raises(ValueError):
         views.filter_dates(df, "2023-01-04", "2023-01-03")
     with pytest.raises(ValueError):
