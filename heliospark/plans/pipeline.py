@@ -157,9 +157,10 @@ def evaluate_candidates(
 
     Inputs are stored once; each fold then reads its own time range of them.
     Fits are Spark jobs that the driver submits, ``parallelism`` at a time, so
-    that small ones can share a large cluster. Models that use weather answer twice, told apart by ``clima``: ``observado`` bounds what
-    they could do, ``reciente`` is what a forecast would get. Returns the folder
-    of the predictions.
+    that small ones can share a large cluster. Models that use weather answer
+    twice, told apart by ``clima``: ``observado`` bounds what they could do,
+    ``reciente`` is what a forecast would get. Returns the folder of the
+    predictions.
     """
     unknown = set(models) - set(MODELS)
     if unknown:
