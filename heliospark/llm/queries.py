@@ -72,15 +72,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents
 ), keyed AS (
-  SELECT doc_id, line, at, translate(trim(line, {_SQL_BLANKS}), '{_UPPER}', '{_LOWER}') AS key FROM lines
+  SELECT doc_id, line, pos, translate(trim(line, {_SQL_BLANKS}), '{_UPPER}', '{_LOWER}') AS key FROM lines
 ), frequent AS (
   SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE f.key IS NOT NULL) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE f.key IS NULL), '')) AS kept_sha256
 FROM keyed LEFT JOIN frequent f USING (key) GROUP BY doc_id
 """,
 )
