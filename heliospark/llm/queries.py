@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospark.llm import bpe, exact_dedup, line_dedup, simhash
+from heliospark.llm import bpe, exact_dedup, line_dedup, packing, pitman_yor, simhash, site_style_tree, token_counts, topk, toxicity
 from heliospark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,38 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def remainder(key: str, of: int):
+    """crc32 of the key as text, modulo ``of``; NULL for a NULL key."""
+    return F.crc32(F.col(key).cast("string").cast("binary")) % of
+
+
+@query(
+    "op1_top_k",
+    """
+WITH ints AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cells AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM ints),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM cells q JOIN cells c ON q.d = c.d AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 GROUP BY ALL
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+""",
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op2_packing", packing.pack_sql("documents"))
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+#: End-of-document id of the tokenizer file that the queries use.
+SEPARATOR = 50_256
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -46,11 +78,36 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def learned_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learned from."""
+    return table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder("doc_id", 3) != 1)
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(documents, learned_labels(spark, sf_dir))
+    return toxicity.scored(documents, model).select(
+        "row.doc_id",
+        F.coalesce(remainder("row.doc_id", 3) == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"),
+        "evidence",
+    )
+
+
 @query("op5_bpe_round_trip")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, owners = token_counts.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), SEPARATOR)
+    counted = token_counts.count_documents(blocks, SEPARATOR)
+    return counted.join(owners, ["file", "ordinal"]).select(F.col("key").alias("doc_id"), "file", "ordinal", "start", "n_tokens")
+
+
 @query(
     "op7_exact_dedup",
     f"""
@@ -87,3 +144,18 @@ FROM keyed LEFT JOIN frequent f USING (key) GROUP BY doc_id
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
     return kept.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op9_site_style_tree")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = site_style_tree.extract(table(spark, sf_dir, "pages"))
+    return found.select("row.page_id", "row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("op10_pitman_yor")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    model, counts = pitman_yor.fit(documents.where(~held_out).select("text"))
+    scored = pitman_yor.score(documents.withColumn("held_out", held_out), model, counts)
+    return scored.select("row.doc_id", "row.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
