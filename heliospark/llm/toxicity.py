@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: Bounds of the fit: labelled rows read (in expectation), terms, examples kept. They bound what is broadcast.
 LABELLED, TERMS, EXAMPLES = 200_000, 20_000, 20_000
 #: A term needs this many positive rows, and log odds that stay above LEAST_ODDS when SIGMAS standard errors are taken off.
-SUPPORT, LEAST_ODDS, SIGMAS = 3, 3.0, 1.28
+SUPPORT, LEAST_ODDS, SIGMAS = 3, 2.5, 1.28
 NEIGHBOURS, BLOCK = 16, 128
 #: Documents that score so high are toxic.
 REJECT = 0.7
@@ -124,7 +124,8 @@ class Neighbours:
         return best, scores
 
     def vote(self, labels: np.ndarray, cosines: np.ndarray, steepness: float, prior: float) -> float:
-        weight = 1.0 / (1.05 - np.minimum(cosines, 1.0)) ** steepness
+        # Nearest examples that share little of the text's direction say little.
+        weight = cosines**2 / (1.05 - np.minimum(cosines, 1.0)) ** steepness
         return float((weight @ labels + prior * self.rate) / (weight.sum() + prior))
 
     def score(self, text: str | None) -> tuple[float, list[int], list[float]]:
@@ -152,7 +153,7 @@ class Neighbours:
             return float(-np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-9, 1)).sum())
 
         if found:
-            grid = [(s, q) for s in (0.5, 1.0, 2.0) for q in (0.25, 0.5, 1.0, 2.0)]
+            grid = [(s, q) for s in (0.5, 1.0, 2.0) for q in (1.0, 2.0, 4.0)]
             self.steepness, self.prior = min(grid, key=lambda g: loss(*g))
 
 
