@@ -178,7 +178,8 @@ def drop_lines(docs: DataFrame, text: str = "text", threshold: int = 10, min_cha
     keys = stage(docs.select(digest.alias("text_key"), line_keys(F.col(text), min_chars).alias("keys")), "line-keys")
     store = LineStore(spark, threshold=threshold, min_chars=min_chars, shards=shards)
     store.insert(keys)
-    drops = store.frequent_lines(keys, "text_key").groupBy("text_key").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    # Stored, so that the join below is Spark's own to divide where many rows hold one text.
+    drops = stage(store.frequent_lines(keys, "text_key").groupBy("text_key").agg(F.sort_array(F.collect_set("line")).alias("gone")), "drops")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), body.alias("body"), digest.alias("text_key"))
     joined = rows.join(drops, "text_key", "left")
     lines = F.split("body", "\n", -1)
