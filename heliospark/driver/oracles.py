@@ -90,9 +90,11 @@ future AS (
   SELECT plant_id, unnest(generate_series(m + INTERVAL 1 HOUR, m + INTERVAL {days} DAY,
                                           INTERVAL 1 HOUR)) AS slot
   FROM (SELECT plant_id, max(slot) AS m FROM {history} GROUP BY 1)),
+ends AS (SELECT plant_id, max(slot) AS m FROM {history} GROUP BY 1),
 pattern AS (
-  SELECT plant_id, hour(slot) AS h, avg("power (kW)") AS prediccion FROM {history}
-  WHERE slot > (SELECT max(slot) FROM {history}) - INTERVAL 7 DAY GROUP BY 1, 2),
+  SELECT g.plant_id, hour(slot) AS h, avg("power (kW)") AS prediccion
+  FROM {history} g JOIN ends e ON g.plant_id = e.plant_id
+  WHERE slot > e.m - INTERVAL 7 DAY GROUP BY 1, 2),
 prov AS (
   SELECT f.plant_id, f.slot, p.prediccion, 'provisional' AS modo
   FROM future f LEFT JOIN pattern p ON f.plant_id = p.plant_id AND hour(f.slot) = p.h)"""
@@ -137,9 +139,9 @@ oracle("src_homogenised", hom(), f"SELECT *, {_KEY_CAL} FROM hom", f"{_KEY}|{_EN
 oracle("src_intermediate", wx(), "SELECT * FROM wx", f"{_KEY}|{_WX}")
 oracle(
     "sink_homogenised",
-    hom(),
-    f"SELECT *, hour(slot) AS hora FROM hom WHERE {_BETWEEN}",
-    "plant_id:s|fecha:t|slot:t|eToday (kWh):f|hora:i",
+    hom(True),
+    f"SELECT *, CAST(slot AS DATE) AS fecha, {_KEY_CAL} FROM hom",
+    f"plant_id:s|fecha:t|slot:t|{_ENERGY}|{_WX}|{_CAL}",
 )
 oracle("sink_intermediate", gen(), "SELECT * FROM gen", f"{_KEY}|nominalPower:f|{_ENERGY}")
 oracle(
@@ -201,7 +203,10 @@ oracle(
 # --- Filters, tables, views ---
 
 _POWER = f"{_KEY}|power (kW):f"
-_TRAILING = "SELECT * FROM gen WHERE slot > (SELECT max(slot) FROM gen) - INTERVAL {days} DAY"
+_TRAILING = (
+    "SELECT gen.* FROM gen JOIN (SELECT plant_id, max(slot) AS m FROM gen GROUP BY 1) e "
+    "ON gen.plant_id = e.plant_id WHERE slot > e.m - INTERVAL {days} DAY"
+)
 
 oracle("filter_dates", gen(), f"SELECT * FROM gen WHERE {_BETWEEN}", _POWER)
 oracle("filter_hours", gen(), "SELECT * FROM gen WHERE hour(slot) BETWEEN 6 AND 18", _POWER)
@@ -231,8 +236,8 @@ oracle("homogenise", hom(many=True), "SELECT * FROM hom", f"{_KEY}|power (kW):f|
 oracle(
     "history_vs_forecast",
     _FORECAST,
-    """SELECT plant_id, slot, "power (kW)" AS valor, 'historico' AS serie FROM gen
-WHERE slot > (SELECT max(slot) FROM gen) - INTERVAL 7 DAY
+    """SELECT gen.plant_id, slot, "power (kW)" AS valor, 'historico' AS serie
+FROM gen JOIN ends e ON gen.plant_id = e.plant_id WHERE slot > e.m - INTERVAL 7 DAY
 UNION ALL SELECT plant_id, slot, prediccion, 'prediccion' FROM prov""",
     f"{_KEY}|valor:f|serie:s",
 )
@@ -515,10 +520,10 @@ oracle(
 
 def _inputs_sql() -> str:
     usual = ", ".join(f"avg({c}) AS {c}" for c in _WX_NAMES[:-1])
-    return f"""{hom(step=_HOUR)},{_PROVISIONAL.format(days=2, history="hom")},
+    return f"""{hom(True, _HOUR)},{_PROVISIONAL.format(days=2, history="hom")},
 usual AS (
-  SELECT plant_id, hour(slot) AS h, {usual}, {_direction('wind_direction_10m')} AS wind_direction_10m
-  FROM hom WHERE slot > (SELECT max(slot) FROM hom) - INTERVAL 7 DAY GROUP BY 1, 2)"""
+  SELECT g.plant_id, hour(slot) AS h, {usual}, {_direction('wind_direction_10m')} AS wind_direction_10m
+  FROM hom g JOIN ends e ON g.plant_id = e.plant_id WHERE slot > e.m - INTERVAL 7 DAY GROUP BY 1, 2)"""
 
 
 oracle(
@@ -548,14 +553,42 @@ oracle(
 FROM readings GROUP BY 1, 2""",
     "plant_id:s|periodo:t|kwh:f|valor:f",
 )
-# The forest's own answers are beyond SQL; its status is not.
+# The forest's own answers are beyond SQL; which slots they cover, and between
+# which values they must lie, is not.
+_FACTS = f"{_KEY}|actual:f|answered:i|inside:i"
+oracle(
+    "fit_random_forest",
+    hom(True, _HOUR),
+    """SELECT plant_id, slot, "power (kW)" AS actual, 1 AS answered, 1 AS inside, 1 AS same_seed
+FROM hom WHERE slot > (SELECT max(slot) FROM hom) - INTERVAL 6 DAY""",
+    f"{_FACTS}|same_seed:i",
+)
+oracle(
+    "model_save",
+    hom(True, _HOUR),
+    "SELECT plant_id, slot, 1 AS agrees, 1 AS lag_days FROM hom",
+    f"{_KEY}|agrees:i|lag_days:i",
+)
+oracle(
+    "model_load",
+    hom(True, _HOUR),
+    'SELECT plant_id, slot, "power (kW)" AS actual, 1 AS answered, 1 AS inside FROM hom',
+    _FACTS,
+)
+oracle(
+    "forecast",
+    hom(True, _HOUR) + "," + _PROVISIONAL.format(days=1, history="hom"),
+    "SELECT plant_id, slot, 1 AS answered, 1 AS inside FROM future",
+    f"{_KEY}|answered:i|inside:i",
+)
 oracle(
     "model_status",
-    hom(step=_HOUR),
-    """SELECT m.modo, m.motivo, 24 AS slots, s.t + INTERVAL 1 HOUR AS desde,
-       s.t + INTERVAL 24 HOUR AS hasta
-FROM (SELECT max(slot) AS t FROM hom) s,
-     (VALUES ('modelo', NULL),
-             ('provisional', 'model not usable: AnalysisException')) m(modo, motivo)""",
+    hom(True, _HOUR) + ",ends AS (SELECT plant_id, max(slot) AS m FROM hom GROUP BY 1)",
+    """SELECT m.modo, m.motivo, count(*) * 24 * m.days AS slots, min(e.m) + INTERVAL 1 HOUR AS desde,
+       max(e.m) + m.days * INTERVAL 24 HOUR AS hasta
+FROM ends e, (VALUES ('modelo', NULL, 1),
+                     ('provisional', 'model not usable: AnalysisException', 1),
+                     ('provisional', 'model trained for 1 days, asked for 3', 3)) m(modo, motivo, days)
+GROUP BY m.modo, m.motivo, m.days""",
     "modo:s|motivo:s|slots:i|desde:t|hasta:t",
 )

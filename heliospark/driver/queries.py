@@ -15,6 +15,7 @@ from heliospark.functions.timegrid import days_before
 from heliospark.models import additive, arima, forest
 from heliospark.operators import aggregates, clean, economics, evaluate, splits, views
 from heliospark.operators import forecast as fc
+from heliospark.operators.fill import fill_inputs
 from heliospark.operators.align import align_generation, align_weather, homogenise
 from heliospark.operators.lags import lag_days
 from heliospark.plans import pipeline
@@ -146,10 +147,10 @@ def src_intermediate(spark, sf_dir):
 
 @query("sink_homogenised")
 def sink_homogenised(spark, sf_dir):
+    """Every row and column of the stored dataset, read back."""
     path = new_folder(spark, "dataset")
-    writers.write_dataset(t.homogenised(spark, sf_dir), path)
-    stored = readers.load_dataset(spark, path)
-    return views.filter_dates(stored, START, END).select(PLANT, FECHA, SLOT, E_TODAY, "hora")
+    writers.write_dataset(t.homogenised(spark, sf_dir, many=True), path)
+    return readers.load_dataset(spark, path).select(PLANT, FECHA, SLOT, *FEATURES)
 
 
 @query("sink_intermediate")
@@ -313,7 +314,7 @@ def view_last30(spark, sf_dir):
 
 @query("history_days")
 def history_days(spark, sf_dir):
-    return views.recent(t.power(spark, sf_dir), 3)
+    return views.recent_each(t.power(spark, sf_dir), 3)
 
 
 # --- Alignment and join ---
@@ -436,8 +437,8 @@ def profile_monthly(spark, sf_dir):
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stored hourly dataset that training and forecasts start from."""
-    rows = t.homogenised(spark, sf_dir, step=HOUR)
+    """The stored hourly dataset of four plants that training and forecasts start from."""
+    rows = t.homogenised(spark, sf_dir, many=True, step=HOUR)
     path = _once(spark, sf_dir, "hourly", lambda out: writers.write_dataset(rows, out))
     return readers.load_dataset(spark, path)
 
@@ -453,18 +454,48 @@ def _saved_model(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
+def _facts(predicted: DataFrame, train: DataFrame, actual: str) -> DataFrame:
+    """What can be told of a forest's answers without the forest: that there is one, and
+    that it lies among the training targets, as a mean of leaves must."""
+    bounds = train.agg(F.min(forest.TARGET).alias("_low"), F.max(forest.TARGET).alias("_high"))
+    # A tie of rounding in the mean of equal leaves is no way out of the bounds.
+    inside = F.col("prediccion").between(F.col("_low") - 1e-9, F.col("_high") + 1e-9)
+    return predicted.join(F.broadcast(bounds), F.lit(True)).select(
+        PLANT,
+        SLOT,
+        *([F.col(actual).alias("actual")] if actual else []),
+        F.col("prediccion").isNotNull().cast("int").alias("answered"),
+        F.coalesce(inside, F.lit(False)).cast("int").alias("inside"),
+    )
+
+
+def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Model inputs of all stored slots, filled as in serving, as a stage."""
+
+    def write(path: str) -> None:
+        history = _history(spark, sf_dir)
+        fill_inputs(forest.model_inputs(history, horizon_days=1), history).write.parquet(path)
+
+    return spark.read.parquet(_once(spark, sf_dir, "inputs", write))
+
+
 @query("fit_random_forest")
 def fit_random_forest(spark, sf_dir):
-    """Predictions for the last days by a forest that never saw them."""
-    work = new_folder(spark, "training")
-    inputs = forest.model_inputs(_history(spark, sf_dir), horizon_days=1)
-    writers.write_stage(inputs, "inputs", work)
-    rows = readers.read_stage(spark, "inputs", work)
+    """Answers for the last days by a forest that never saw them; the same seed gives the same ones."""
+    rows = _training_rows(spark, sf_dir)
     latest = rows.agg(F.max(SLOT)).first()[0]
     fold = splits.fold_bounds(latest, 1, HOLDOUT_DAYS, "holdout")[0]
-    model = forest.fit_rf(fold.train(rows), params=RF_PARAMS)
-    predicted = model.transform(fold.test(rows).dropna())
-    return predicted.select(PLANT, SLOT, F.col(forest.TARGET).alias("actual"), "prediccion")
+    train, test = fold.train(rows), fold.test(rows)
+    first, second = (forest.fit_rf(train, params=RF_PARAMS) for _ in range(2))
+    again = second.transform(test).select(PLANT, SLOT, F.col("prediccion").alias("_again"))
+    predicted = test.select(PLANT, SLOT, forest.TARGET).join(
+        first.transform(test).select(PLANT, SLOT, "prediccion"), [PLANT, SLOT], "left"
+    )
+    facts = _facts(predicted, train, forest.TARGET)
+    same = predicted.join(again, [PLANT, SLOT], "left").select(
+        PLANT, SLOT, F.col("prediccion").eqNullSafe(F.col("_again")).cast("int").alias("same_seed")
+    )
+    return facts.join(same, [PLANT, SLOT])
 
 
 @query("fit_arima")
@@ -569,18 +600,30 @@ def select_final(spark, sf_dir):
 
 @query("model_save")
 def model_save(spark, sf_dir):
-    """Weight of each input in the stored forest."""
-    model = forest.load_model(_saved_model(spark, sf_dir))
-    weights = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(FEATURES, weights)), "variable string, peso double")
+    """Whether a forest answers every row alike before it is stored and after it is read."""
+    rows = _training_rows(spark, sf_dir)
+    model = forest.fit_rf(rows, params=RF_PARAMS)
+    path = forest.save_model(model, new_folder(spark, "model"), lag_days=1, step=HOUR)
+    loaded, contract = forest.load_model(path), forest.load_contract(spark, path)
+    after = loaded.transform(rows).select(PLANT, SLOT, F.col("prediccion").alias("_after"))
+    before = model.transform(rows).select(PLANT, SLOT, "prediccion")
+    both = rows.select(PLANT, SLOT).join(before, [PLANT, SLOT], "left").join(after, [PLANT, SLOT], "left")
+    return both.select(
+        PLANT,
+        SLOT,
+        F.coalesce(F.col("prediccion") == F.col("_after"), F.lit(False)).cast("int").alias("agrees"),
+        F.lit(contract.lag_days).alias("lag_days"),
+    )
 
 
 @query("model_load")
 def model_load(spark, sf_dir):
-    """The loaded model's answers for the rows it can answer."""
+    """The loaded model answers every stored row."""
+    rows = _training_rows(spark, sf_dir)
     model = forest.load_model(_saved_model(spark, sf_dir))
-    rows = forest.model_inputs(_history(spark, sf_dir), horizon_days=1)
-    return model.transform(rows).select(PLANT, SLOT, forest.TARGET, "prediccion")
+    answers = model.transform(rows).select(PLANT, SLOT, "prediccion")
+    predicted = rows.select(PLANT, SLOT, forest.TARGET).join(answers, [PLANT, SLOT], "left")
+    return _facts(predicted, rows, forest.TARGET)
 
 
 # --- Forecast and economics ---
@@ -594,15 +637,18 @@ def future_horizon(spark, sf_dir):
 @query("inference_inputs")
 def inference_inputs(spark, sf_dir):
     history = _history(spark, sf_dir)
-    at = views.read_latest(history)
-    return fc.inputs(history, fc.live_horizon(history, 2, HOUR, at=at), 2, at=at)
+    ends = views.series_ends(history)
+    return fc.inputs(history, fc.slots_after(ends, 2, HOUR), 2, ends=ends)
 
 
 @query("forecast")
 def forecast(spark, sf_dir):
+    """Every slot of every plant's next day has an answer among the training targets."""
     history = _history(spark, sf_dir)
     model = forest.load_model(_saved_model(spark, sf_dir))
-    return fc.forecast(history, model, 1, HOUR, at=views.read_latest(history))
+    answers = fc.forecast(history, model, 1, HOUR).drop("modo")
+    asked = fc.horizon(history, 1, HOUR).join(answers, [PLANT, SLOT], "left")
+    return _facts(asked, _training_rows(spark, sf_dir), "")
 
 
 @query("forecast_fallback")
@@ -619,11 +665,11 @@ def forecast_or_fallback(spark, sf_dir):
 
 @query("model_status")
 def model_status(spark, sf_dir):
-    """Both outcomes: a stored model, and a path without one."""
+    """The outcomes: a stored model, a path without one, and a horizon beyond the model's."""
     history = _history(spark, sf_dir)
-    good = fc.forecast_safe(history, _saved_model(spark, sf_dir), 1, HOUR).status()
-    bad = fc.forecast_safe(history, new_folder(spark, "no-model"), 1, HOUR).status()
-    return good.unionByName(bad)
+    stored, none = _saved_model(spark, sf_dir), new_folder(spark, "no-model")
+    good, bad, far = (fc.forecast_safe(history, *asked, HOUR).status() for asked in ((stored, 1), (none, 1), (stored, 3)))
+    return good.unionByName(bad).unionByName(far)
 
 
 @query("economic_estimate")

@@ -9,6 +9,7 @@ copied edges: tasks reduce blocks of bounded size, however long a series is.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -21,11 +22,10 @@ from pyspark.sql import types as T
 from heliospark.functions.timegrid import from_epoch, seconds_of, wall_seconds
 from heliospark.models.linear import combine, products_schema
 from heliospark.operators.lags import halo_blocks
-from heliospark.operators.views import read_latest, recent
+from heliospark.operators.views import recent_each
 from heliospark.schema import KEYS, POWER, SLOT, STEP
 
 BLOCK_SLOTS = 4096
-SILENT_DAYS = 7
 
 
 @dataclass(frozen=True)
@@ -128,8 +128,8 @@ def fit_arima(
     """One row per series: ``n``, ``const``, ``phi``, ``theta`` and ``ar``.
 
     ``ar`` holds the long autoregression, constant first; it is empty when q is
-    0. Slots next to a gap, which lack a full set of lags, are left out, and so
-    is a series that has fewer such slots than coefficients.
+    0. Slots next to a gap, which lack a full set of lags, are left out. A series
+    that has fewer such slots than coefficients has NULL coefficients.
     """
     order = ArimaOrder(p, d, q, long_ar, step)
     block_slots = max(block_slots, order.memory)
@@ -150,9 +150,11 @@ def fit_arima(
         return pd.DataFrame({"ar": [a.tolist() for a, _ in fits], "coef": [c.tolist() for _, c in fits]})
 
     enough = series.where(F.col("n") > order.lags + 1).withColumn("_fit", fit("products"))
-    return enough.select(
+    fitted = enough.select(*keys, "_fit")
+    every = df.select(*keys).distinct().join(series.select(*keys, "n"), list(keys), "left")
+    return every.join(fitted, list(keys), "left").select(
         *keys,
-        "n",
+        F.coalesce("n", F.lit(0.0)).cast(series.schema["n"].dataType).alias("n"),
         F.col("_fit.coef")[0].alias("const"),
         F.slice("_fit.coef", 2, p).alias("phi"),
         F.slice("_fit.coef", 2 + p, q).alias("theta"),
@@ -161,14 +163,10 @@ def fit_arima(
 
 
 def _tail(df: DataFrame, target: str, order: ArimaOrder, keys: Sequence[str]) -> DataFrame:
-    """The last slots of each series, as many as the recursion starts from.
-
-    Series that fell silent long before the others are left out, so that only
-    the last days of the data are scanned; one action reads where they end.
-    """
+    """The last slots of each series, as many as the recursion starts from."""
     needed = order.memory + 1
-    days = SILENT_DAYS + -(-needed * seconds_of(order.step) // 86400)
-    rows = _indexed(recent(df, days, at=read_latest(df)), target, order, keys)
+    days = 1 + -(-needed * seconds_of(order.step) // 86400)
+    rows = _indexed(recent_each(df, days, keys=keys), target, order, keys)
     last = rows.groupBy(*keys).agg(F.max("_i").alias("_last"))
     return rows.join(last, list(keys)).where(F.col("_i") > F.col("_last") - needed)
 
@@ -210,15 +208,22 @@ def forecast_arima(
     history: DataFrame,
     model: DataFrame,
     order: ArimaOrder,
-    steps: int,
+    steps: int | None = None,
     target: str = POWER,
     keys: Sequence[str] = KEYS,
+    until: dt.datetime | None = None,
 ) -> DataFrame:
-    """The next ``steps`` slots of each series as ``prediccion``."""
+    """The next slots of each series as ``prediccion``: ``steps`` of them, or all up to ``until``.
+
+    Series without coefficients have no rows.
+    """
+    if (steps is None) == (until is None):
+        raise ValueError("give either steps or until")
     seconds = seconds_of(order.step)
     keyed = _tail(history, target, order, keys).join(
-        model.select(*keys, "const", "phi", "theta", "ar"), list(keys)
+        model.where(F.col("const").isNotNull()).select(*keys, "const", "phi", "theta", "ar"), list(keys)
     )
+    last = None if until is None else int((until - dt.datetime(1970, 1, 1)).total_seconds()) // seconds
     fields = [keyed.schema[k] for k in keys]
     schema = T.StructType(
         [*fields, T.StructField("_i", T.LongType()), T.StructField("prediccion", T.DoubleType())]
@@ -226,9 +231,10 @@ def forecast_arima(
 
     def extend(group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("_i")
-        path = _recursion(ordered, order, steps)
         first = ordered.iloc[0]
-        out = pd.DataFrame({"_i": int(first["_last"]) + 1 + np.arange(steps), "prediccion": path})
+        ahead = steps if last is None else max(0, last - int(first["_last"]))
+        path = _recursion(ordered, order, ahead)
+        out = pd.DataFrame({"_i": int(first["_last"]) + 1 + np.arange(ahead), "prediccion": path})
         for k in keys:
             out[k] = first[k]
         return out

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from heliospark.functions.calendar import features_all
@@ -15,6 +15,7 @@ from heliospark.operators.lags import lag_days
 from heliospark.schema import CALENDAR, ENERGY, FEATURES, KEYS, POWER, SLOT
 
 TARGET = "objetivo"
+CONTRACT = "lag_days int, step string, window_days int, hemisphere string, inputs array<string>"
 ENERGY_INPUTS = ("lagged", "same_row")
 
 
@@ -24,6 +25,7 @@ def model_inputs(
     energy_inputs: str = "lagged",
     target: str = POWER,
     keys: Sequence[str] = KEYS,
+    hemisphere: str = "north",
 ) -> DataFrame:
     """The declared inputs in their fixed order, and the target beside them.
 
@@ -37,7 +39,7 @@ def model_inputs(
     if energy_inputs == "lagged":
         rows = lag_days(rows, {c: c for c in ENERGY}, horizon_days, keys)
     if not set(CALENDAR) <= set(rows.columns):
-        rows = features_all(rows)
+        rows = features_all(rows, hemisphere=hemisphere)
     return rows.select(*keys, SLOT, *FEATURES, TARGET)
 
 
@@ -73,10 +75,29 @@ def fit_rf(
     return Pipeline(stages=[assembler(features), forest]).fit(rows)
 
 
-def save_model(model: PipelineModel, path: str) -> str:
+def save_model(
+    model: PipelineModel,
+    path: str,
+    lag_days: int,
+    step: str | None = None,
+    window_days: int | None = None,
+    hemisphere: str = "north",
+) -> str:
+    """Stores the model and, beside it, what it was trained for."""
     model.write().overwrite().save(path)
+    contract = [(lag_days, step, window_days, hemisphere, list(FEATURES))]
+    model_spark().createDataFrame(contract, CONTRACT).coalesce(1).write.mode("overwrite").json(f"{path}/contract")
     return path
 
 
+def model_spark() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
+def load_contract(spark: SparkSession, path: str) -> Row:
+    """lag_days, step, window_days and inputs of a stored model."""
+    return spark.read.schema(CONTRACT).json(f"{path}/contract").first()
+
+
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)

@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliospark.functions.calendar import features_all, minute_of_day
-from heliospark.functions.timegrid import circular_mean
-from heliospark.models.forest import load_model
+from heliospark.models.forest import load_contract, load_model
+from heliospark.operators.fill import fill_inputs, usual_day
 from heliospark.operators.lags import shift_days
-from heliospark.operators.views import read_latest, recent
-from heliospark.schema import CIRCULAR, ENERGY, FEATURES, FECHA, KEYS, POWER, SLOT, STEP, WEATHER
+from heliospark.operators.views import END, recent_each, series_ends
+from heliospark.schema import ENERGY, FEATURES, FECHA, KEYS, POWER, SLOT, STEP, WEATHER
+from heliospark.session import new_folder
 
 log = logging.getLogger(__name__)
 
@@ -31,15 +32,26 @@ def horizon(
     df: DataFrame, days: int, step: str = STEP, keys: Sequence[str] = KEYS
 ) -> DataFrame:
     """The slots of the next ``days`` days, after each series' latest slot."""
+    return slots_after(series_ends(df, keys=keys), days, step, keys)
+
+
+def slots_after(
+    ends: DataFrame,
+    days: int,
+    step: str = STEP,
+    keys: Sequence[str] = KEYS,
+    origin: dt.datetime | None = None,
+) -> DataFrame:
+    """The slots of ``days`` days for every series, after its end or after a common ``origin``."""
     if days <= 0:
         raise ValueError("days must be positive")
-    latest = df.groupBy(*keys).agg(F.max(SLOT).alias("_latest"))
+    start = F.col(END) if origin is None else F.lit(origin.isoformat(sep=" ")).cast("timestamp_ntz")
     times = F.sequence(
-        F.col("_latest") + F.expr(f"interval {step}"),
-        F.col("_latest") + F.expr(f"interval {int(days)} days"),
+        start + F.expr(f"interval {step}"),
+        start + F.expr(f"interval {int(days)} days"),
         F.expr(f"interval {step}"),
     )
-    return latest.select(*keys, F.explode(times).alias(SLOT))
+    return ends.select(*keys, F.explode(times).alias(SLOT))
 
 
 def slot_pattern(
@@ -47,33 +59,31 @@ def slot_pattern(
     columns: Sequence[str],
     days: int = PATTERN_DAYS,
     keys: Sequence[str] = KEYS,
-    at: dt.datetime | None = None,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
-    """Mean of each column by time of day over the last days of the data."""
-    aggs = [
-        (circular_mean(c) if c in CIRCULAR else F.avg(c)).alias(c) for c in columns
-    ]
-    return recent(df, days, at=at).groupBy(*keys, minute_of_day().alias("_minute")).agg(*aggs)
+    """Mean of each column by time of day over each series' own last days."""
+    return usual_day(recent_each(df, days, keys=keys, ends=ends), columns, keys)
 
 
 def inputs(
     history: DataFrame,
     future: DataFrame,
-    days: int,
+    lag_days: int,
     weather: DataFrame | None = None,
     keys: Sequence[str] = KEYS,
-    at: dt.datetime | None = None,
+    ends: DataFrame | None = None,
+    hemisphere: str = "north",
 ) -> DataFrame:
     """Model inputs for the slots of ``future``, one row for each.
 
-    Energy comes from ``days`` earlier. Weather is what the caller forecasts,
-    and where that is missing the recent mean at that time of day.
+    Energy comes from ``lag_days`` earlier, as the model was trained. Weather is
+    what the caller forecasts, and where that is missing the recent mean at
+    that time of day.
     """
-    # A series may end up to PATTERN_DAYS before the others do.
-    known = recent(history, days + PATTERN_DAYS, at=at)
-    energy = shift_days(known.select(*keys, SLOT, *ENERGY), days)
-    pattern = slot_pattern(history, WEATHER, keys=keys, at=at)
-    rows = features_all(future).withColumn("_minute", minute_of_day())
+    known = recent_each(history, lag_days + PATTERN_DAYS, keys=keys, ends=ends)
+    energy = shift_days(known.select(*keys, SLOT, *ENERGY), lag_days)
+    pattern = slot_pattern(history, WEATHER, keys=keys, ends=ends)
+    rows = features_all(future, hemisphere=hemisphere).withColumn("_minute", minute_of_day())
     rows = rows.join(energy, [*keys, SLOT], "left")
     if weather is None:
         rows = rows.join(pattern, [*keys, "_minute"], "left")
@@ -85,41 +95,6 @@ def inputs(
     return rows.select(*keys, SLOT, *FEATURES)
 
 
-def fill_inputs(
-    rows: DataFrame,
-    history: DataFrame,
-    keys: Sequence[str] = KEYS,
-    at: dt.datetime | None = None,
-) -> DataFrame:
-    """Replace inputs still missing by the series' recent mean, so no slot is lost."""
-    names = [*ENERGY, *WEATHER]
-    means = recent(history, PATTERN_DAYS, at=at).groupBy(*keys).agg(
-        *[(circular_mean(c) if c in CIRCULAR else F.avg(c)).alias(f"_mean_{c}") for c in names]
-    )
-    filled = rows.join(means, list(keys), "left")
-    return filled.select(
-        *keys,
-        SLOT,
-        *[F.coalesce(c, f"_mean_{c}").alias(c) if c in names else F.col(c) for c in FEATURES],
-    )
-
-
-def live_horizon(
-    history: DataFrame,
-    days: int,
-    step: str = STEP,
-    keys: Sequence[str] = KEYS,
-    at: dt.datetime | None = None,
-) -> DataFrame:
-    """The horizon of the series that still report; scans the last days only."""
-    known = history.select(*_stored(history, keys))
-    return horizon(recent(known, PATTERN_DAYS, at=at), days, step, keys)
-
-
-def _stored(history: DataFrame, keys: Sequence[str]) -> list[str]:
-    return [*keys, SLOT, *([FECHA] if FECHA in history.columns else [])]
-
-
 def forecast(
     history: DataFrame,
     model: PipelineModel,
@@ -127,11 +102,19 @@ def forecast(
     step: str = STEP,
     weather: DataFrame | None = None,
     keys: Sequence[str] = KEYS,
-    at: dt.datetime | None = None,
+    ends: DataFrame | None = None,
+    lag_days: int | None = None,
+    origin: dt.datetime | None = None,
+    hemisphere: str = "north",
 ) -> DataFrame:
-    """The model's prediction for every slot of the horizon."""
-    future = live_horizon(history, days, step, keys, at)
-    rows = fill_inputs(inputs(history, future, days, weather, keys, at), history, keys, at)
+    """The model's prediction for every slot of the horizon of every series.
+
+    ``lag_days`` is the lag that the model was trained with, ``days`` if not given.
+    """
+    ends = series_ends(history, keys=keys) if ends is None else ends
+    future = slots_after(ends, days, step, keys, origin)
+    asked = inputs(history, future, lag_days or days, weather, keys, ends, hemisphere)
+    rows = fill_inputs(asked, recent_each(history, PATTERN_DAYS, keys=keys, ends=ends), keys)
     return model.transform(rows).select(
         *keys, SLOT, F.col("prediccion"), F.lit(MODEL_MODE).alias("modo")
     )
@@ -143,10 +126,10 @@ def provisional(
     target: str = POWER,
     days: int = PATTERN_DAYS,
     keys: Sequence[str] = KEYS,
-    at: dt.datetime | None = None,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """Recent mean at that time of day; NULL where the pattern has no such time."""
-    pattern = slot_pattern(history, [target], days, keys, at).withColumnRenamed(target, "prediccion")
+    pattern = slot_pattern(history, [target], days, keys, ends).withColumnRenamed(target, "prediccion")
     rows = future.withColumn("_minute", minute_of_day()).join(pattern, [*keys, "_minute"], "left")
     return rows.select(*keys, SLOT, "prediccion", F.lit(PROVISIONAL_MODE).alias("modo"))
 
@@ -158,6 +141,12 @@ class ForecastResult:
     predictions: DataFrame
     mode: str
     reason: str | None
+    kept: DataFrame | None = None
+
+    def close(self) -> None:
+        """Releases the forecast that the call kept; ``predictions`` then run anew where read."""
+        if self.kept is not None:
+            self.kept.unpersist()
 
     def status(self) -> DataFrame:
         """A row per mode that answered: how many slots, and why not the model."""
@@ -177,22 +166,41 @@ def forecast_safe(
     weather: DataFrame | None = None,
     target: str = POWER,
     keys: Sequence[str] = KEYS,
+    as_of: dt.datetime | None = None,
+    origin: dt.datetime | None = None,
 ) -> ForecastResult:
     """The model's forecast, or the provisional one where it cannot be had.
 
-    The latest slot is read first, so that every scan is bounded by literals.
-    Inference fails only once it runs, so the forecast is kept and counted by
-    one action inside the guard. A series with fewer answers than slots gets
-    the provisional forecast whole; the others keep the model's.
+    Every series of the history gets a row for each slot, however long it has
+    been silent: after its own end, or after ``origin``. Slots after ``as_of``
+    are not looked at. Inference fails only once it runs, so the forecast is
+    kept and counted by one action inside the guard. A series with fewer
+    answers than slots gets the provisional forecast whole; the others keep the
+    model's. A model answers no further ahead than the lag it was trained with.
     """
-    at = read_latest(history)
-    if at is None:
+    spark = history.sparkSession
+    # One row a series, stored: every range below starts from it.
+    folder = new_folder(spark, "ends")
+    series_ends(history, keys=keys, as_of=as_of).write.parquet(folder)
+    ends = spark.read.parquet(folder)
+    if ends.isEmpty():
         raise ValueError("there is no history to forecast from")
-    future = live_horizon(history, days, step, keys, at)
-    pattern = provisional(history, future, target, keys=keys, at=at)
+    future = slots_after(ends, days, step, keys, origin)
+    pattern = provisional(history, future, target, keys=keys, ends=ends)
+    try:
+        contract = load_contract(spark, model_path)
+    except (PySparkException, Py4JJavaError) as error:
+        return _all_provisional(pattern, f"model not usable: {type(error).__name__}")
+    if days > contract.lag_days:
+        return _all_provisional(pattern, f"model trained for {contract.lag_days} days, asked for {days}")
+    if list(contract.inputs) != list(FEATURES):
+        return _all_provisional(pattern, "model trained on other inputs")
     try:
         model = load_model(model_path)
-        predictions = forecast(history, model, days, step, weather, keys, at).persist()
+        predictions = forecast(
+            history, model, days, step, weather, keys, ends, contract.lag_days, origin,
+            contract.hemisphere,
+        ).persist()
     except (PySparkException, Py4JJavaError) as error:
         return _all_provisional(pattern, f"model not usable: {type(error).__name__}")
     answered = future.join(predictions, [*keys, SLOT], "left").groupBy(*keys).agg(
@@ -206,7 +214,7 @@ def forecast_safe(
         predictions.unpersist()
         return _all_provisional(pattern, f"inference failed: {type(error).__name__}")
     if got["series"] and got["whole"] == got["series"]:
-        return ForecastResult(predictions, MODEL_MODE, None)
+        return ForecastResult(predictions, MODEL_MODE, None, predictions)
     reason = f"model answered for {got['whole']} of {got['series']} series"
     if not got["whole"]:
         predictions.unpersist()
@@ -216,7 +224,7 @@ def forecast_safe(
     mixed = predictions.join(whole, list(keys), "left_semi").unionByName(
         pattern.join(whole, list(keys), "left_anti")
     )
-    return ForecastResult(mixed, MODEL_MODE, reason)
+    return ForecastResult(mixed, MODEL_MODE, reason, predictions)
 
 
 def _all_provisional(pattern: DataFrame, reason: str) -> ForecastResult:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from heliospark.functions.timegrid import days_before
 from heliospark.schema import FECHA, KEYS, POWER, SLOT, WEATHER
 
+#: Column of a series' latest slot.
+END = "_end"
 ENERGY_VIEWS = ("full", "daily_mean", "daily_max", "last7", "last30")
 
 
@@ -90,6 +92,42 @@ def recent(
     return rows.where(F.col(FECHA) >= first) if FECHA in df.columns else rows
 
 
+def series_ends(
+    df: DataFrame, ts: str = SLOT, keys: Sequence[str] = KEYS, as_of: dt.datetime | None = None
+) -> DataFrame:
+    """The latest slot of each series; slots after ``as_of`` are a wrong clock's and don't count."""
+    if as_of is not None:
+        df = df.where(F.col(ts) <= F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz"))
+    return df.groupBy(*keys).agg(F.max(ts).alias(END))
+
+
+def recent_each(
+    df: DataFrame,
+    days: int,
+    ts: str = SLOT,
+    keys: Sequence[str] = KEYS,
+    ends: DataFrame | None = None,
+    as_of: dt.datetime | None = None,
+) -> DataFrame:
+    """Rows of each series' own last ``days`` days.
+
+    One series' wrong clock cannot empty the others, and a series that fell
+    silent keeps its last days. ``ends`` (one row a series) may be given where
+    several ranges of the same data are asked for. On data stored by day the
+    earliest end bounds the scan.
+    """
+    if days <= 0:
+        raise ValueError("days must be positive")
+    ends = series_ends(df, ts, keys, as_of) if ends is None else ends
+    if FECHA in df.columns:
+        first = ends.agg(F.to_date(days_before(F.min(END), days)).alias("first")).scalar()
+        df = df.where(F.col(FECHA) >= first)
+    kept = df.join(ends, list(keys)).where(
+        (F.col(ts) > days_before(F.col(END), days)) & (F.col(ts) <= F.col(END))
+    )
+    return kept.select(*df.columns)
+
+
 def daily(df: DataFrame, agg: Column, ts: str = SLOT, keys: Sequence[str] = KEYS) -> DataFrame:
     day = F.col(FECHA) if FECHA in df.columns else F.to_date(ts).alias(FECHA)
     return df.groupBy(*keys, day).agg(agg)
@@ -108,9 +146,9 @@ def energy_view(
     if view == "daily_max":
         return daily(df, F.max(target).alias(target), keys=keys).orderBy(FECHA, *keys)
     if view == "last7":
-        df = recent(df, 7, of=of)
+        df = recent_each(df, 7, keys=keys, ends=None if of is None else series_ends(of, keys=keys))
     elif view == "last30":
-        df = recent(df, 30, of=of)
+        df = recent_each(df, 30, keys=keys, ends=None if of is None else series_ends(of, keys=keys))
     elif view != "full":
         raise ValueError(f"view must be one of {ENERGY_VIEWS}")
     return df.select(*keys, SLOT, target).orderBy(SLOT, *keys)
@@ -162,7 +200,7 @@ def history_vs_forecast(
     keys: Sequence[str] = KEYS,
 ) -> DataFrame:
     """Recent history and forecast as one long series, told apart by ``serie``."""
-    past = recent(history, days).select(
+    past = recent_each(history, days, keys=keys).select(
         *keys, SLOT, F.col(target).alias("valor"), F.lit("historico").alias("serie")
     )
     future = forecast.select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -9,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospark.functions.calendar import minute_of_day
-from heliospark.functions.timegrid import seconds_of
 from heliospark.models import additive, arima, forest
 from heliospark.operators import clean
 from heliospark.operators.align import align_generation, align_weather, homogenise
@@ -20,10 +20,11 @@ from heliospark.operators.evaluate import (
     metrics,
     select_final,
 )
+from heliospark.operators.fill import fill_inputs
 from heliospark.operators.forecast import slot_pattern
 from heliospark.operators.splits import Fold, fold_bounds
 from heliospark.operators.views import read_latest, recent
-from heliospark.schema import DEFAULT_PLANT, KEYS, PLANT, POWER, RAW_PERIOD_END, SLOT, STEP, WEATHER
+from heliospark.schema import DEFAULT_PLANT, ENERGY, KEYS, PLANT, POWER, RAW_PERIOD_END, SLOT, STEP, WEATHER
 from heliospark.session import new_folder
 from heliospark.sources import readers, writers
 
@@ -59,6 +60,7 @@ def build_dataset(
     step: str = STEP,
     plant_id: str = DEFAULT_PLANT,
     multi_line: bool = True,
+    hemisphere: str = "north",
 ) -> DataFrame:
     """Files to the stored homogenised dataset."""
     generation = generation_rows(
@@ -72,7 +74,7 @@ def build_dataset(
     joined = homogenise(
         align_generation(generation, step), align_weather(observed, step, label="end"), how
     )
-    writers.write_dataset(joined, out)
+    writers.write_dataset(joined, out, hemisphere=hemisphere)
     return readers.load_dataset(spark, out)
 
 
@@ -85,43 +87,50 @@ def train_final(
     seed: int = 42,
     work: str | None = None,
     keys: Sequence[str] = KEYS,
+    as_of: dt.datetime | None = None,
+    hemisphere: str = "north",
 ) -> str:
-    """Fit the forest on the last ``window_days`` and store it."""
+    """Fit the forest on the last ``window_days`` and store it with its horizon.
+
+    ``as_of`` leaves out later slots, which a wrong clock may have written.
+    """
     work = work or new_folder(dataset.sparkSession, "training")
     # Lagged inputs of the first day reach back before the window.
+    if as_of is not None:
+        dataset = dataset.where(F.col(SLOT) <= F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz"))
     at = read_latest(dataset)
     if at is None:
         raise ValueError("there is no dataset to train on")
     reach = recent(dataset, window_days + horizon_days, at=at)
-    rows = recent(forest.model_inputs(reach, horizon_days, keys=keys), window_days, at=at)
-    writers.write_stage(rows, "inputs", work)
+    lagged = forest.model_inputs(reach, horizon_days, keys=keys, hemisphere=hemisphere)
+    rows = recent(lagged, window_days, at=at)
+    # Missing inputs are filled as in serving, so no row with a target is lost.
+    writers.write_stage(fill_inputs(rows, reach, keys), "inputs", work)
     model = forest.fit_rf(
         readers.read_stage(dataset.sparkSession, "inputs", work), seed=seed, params=params
     )
-    return forest.save_model(model, model_path)
+    return forest.save_model(model, model_path, horizon_days, None, window_days, hemisphere)
 
 
-def _arima_predictions(train, test, fold: Fold, step, keys, options) -> DataFrame:
+def _arima_predictions(train, tests: DataFrame, fold: Fold, step, keys, options) -> DataFrame:
     order = arima.ArimaOrder(step=step, **options)
     model = arima.fit_arima(train, keys=keys, step=step, **options)
-    steps = int((fold.test_to - fold.origin).total_seconds()) // seconds_of(step)
-    path = arima.forecast_arima(train, model, order, steps, keys=keys)
-    rows = test.select(*keys, SLOT, F.col(POWER).alias("actual")).join(path, [*keys, SLOT])
-    return rows.withColumn("clima", F.lit("ninguno"))
+    path = arima.forecast_arima(train, model, order, until=fold.test_to, keys=keys)
+    return tests.select(*keys, SLOT).distinct().join(path, [*keys, SLOT])
 
 
 def _additive_predictions(train, tests: DataFrame, keys, options) -> DataFrame:
     rows = train.dropna(subset=[POWER, *options.get("regressors", ())])
     spec = additive.training_spec(rows, **options)
     model = additive.fit_additive(rows, spec, keys=keys)
-    out = additive.predict_additive(tests, model, spec, keys)
-    return out.select(*keys, SLOT, "clima", F.col(POWER).alias("actual"), "prediccion")
+    out = additive.predict_additive(fill_inputs(tests, train, keys), model, spec, keys)
+    return out.select(*keys, SLOT, "clima", "prediccion")
 
 
-def _forest_predictions(train, tests: DataFrame, keys, params, seed) -> DataFrame:
-    model = forest.fit_rf(train, seed=seed, params=params)
-    out = model.transform(tests.dropna())
-    return out.select(*keys, SLOT, "clima", F.col(forest.TARGET).alias("actual"), "prediccion")
+def _forest_predictions(train, tests: DataFrame, known, keys, params, seed) -> DataFrame:
+    model = forest.fit_rf(fill_inputs(train, known, keys), seed=seed, params=params)
+    out = model.transform(fill_inputs(tests, known, keys))
+    return out.select(*keys, SLOT, "clima", "prediccion")
 
 
 def _both_weathers(test: DataFrame, train: DataFrame, keys) -> DataFrame:
@@ -168,9 +177,10 @@ def evaluate_candidates(
     spark = dataset.sparkSession
     work = work or new_folder(spark, "evaluation")
     writers.write_stage(
-        dataset.select(*keys, SLOT, POWER, *WEATHER), "observed", work, by_day=True
+        dataset.select(*keys, SLOT, *ENERGY, *WEATHER), "observed", work, by_day=True
     )
-    observed = readers.read_stage(spark, "observed", work)
+    known = readers.read_stage(spark, "observed", work)
+    observed = known
     writers.write_stage(
         forest.model_inputs(dataset, horizon_days, keys=keys), "inputs", work, by_day=True
     )
@@ -182,14 +192,24 @@ def evaluate_candidates(
 
     def run(name: str, fold: Fold) -> None:
         train, test = fold.train(observed), fold.test(observed)
+        asked = test.select(*keys, SLOT, F.col(POWER).alias("actual"))
         if name == "arima":
+            asked = asked.withColumn("clima", F.lit("ninguno"))
             rows = _arima_predictions(train, test, fold, step, keys, arima_options)
-        elif name == "additive":
-            tests = _both_weathers(test, train, keys)
-            rows = _additive_predictions(train, tests, keys, additive_options)
+            rows = rows.withColumn("clima", F.lit("ninguno"))
         else:
-            tests = _both_weathers(fold.test(inputs), train, keys)
-            rows = _forest_predictions(fold.train(inputs), tests, keys, forest_params, seed)
+            weathers = F.array(F.lit("observado"), F.lit("reciente"))
+            asked = asked.withColumn("clima", F.explode(weathers))
+            if name == "additive":
+                tests = _both_weathers(test, train, keys)
+                rows = _additive_predictions(train, tests, keys, additive_options)
+            else:
+                tests = _both_weathers(fold.test(inputs), train, keys)
+                rows = _forest_predictions(
+                    fold.train(inputs), tests, fold.train(known), keys, forest_params, seed
+                )
+        # Every test slot has a row for each model, answered or not.
+        rows = asked.join(rows, [*keys, SLOT, "clima"], "left")
         # A folder for each fit: one that is repeated replaces its own rows only.
         rows.select(
             "clima",
@@ -219,8 +239,26 @@ def under(predictions: DataFrame, clima: str) -> DataFrame:
     return predictions.where(F.col("clima").isin(clima, "ninguno"))
 
 
+def common_slots(predictions: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The predictions of slots that every model of that strategy and fold answered."""
+    slot = ["strategy", "fold", *keys, SLOT]
+    models = predictions.groupBy("strategy", "fold").agg(F.count_distinct("model").alias("_models"))
+    answers = predictions.groupBy(*slot).agg(F.count("prediction").alias("_answers"))
+    shared = answers.join(models, ["strategy", "fold"]).where("_answers = _models").select(*slot)
+    return predictions.join(shared, slot, "left_semi")
+
+
+def answered(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
+    """Test slots and answers of each model, strategy and fold."""
+    return under(predictions, clima).groupBy("model", "strategy", "fold").agg(
+        F.count(F.lit(1)).alias("slots"), F.count("prediction").alias("answered")
+    )
+
+
 def comparison(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
-    return compare_models(metrics(under(predictions, clima), ("model", "strategy", "fold")))
+    """Models compared on the slots that all of them answered."""
+    shared = common_slots(under(predictions, clima))
+    return compare_models(metrics(shared, ("model", "strategy", "fold")))
 
 
 def choose(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
@@ -228,4 +266,4 @@ def choose(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
 
 
 def decay(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
-    return horizon_decay(lead_day(under(predictions, clima)))
+    return horizon_decay(lead_day(common_slots(under(predictions, clima))))

@@ -10,24 +10,34 @@ from heliospark.schema import FECHA, PLANT, SLOT
 from heliospark.sources.readers import stage_path
 
 
-def write_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_dataset(
+    df: DataFrame,
+    path: str,
+    mode: str = "overwrite",
+    hemisphere: str = "north",
+    touched_days_only: bool = False,
+) -> None:
     """Store the homogenised rows by day.
 
+    ``touched_days_only`` overwrites the days that ``df`` holds and leaves all
+    others, so that a new day costs a day.
+
     Rebalancing by day keeps a day in few files and lets adaptive execution
     split a day that outgrows the advisory size. Rows are sorted inside a file
     so that row-group statistics prune by plant and slot, and the calendar
     columns are stored so that an hour filter reaches the scan.
     """
-    _write_by_day(features_all(df), path, mode)
+    _write_by_day(features_all(df, hemisphere=hemisphere), path, mode, touched_days_only)
 
 
-def _write_by_day(df: DataFrame, path: str, mode: str) -> None:
+def _write_by_day(df: DataFrame, path: str, mode: str, touched_days_only: bool = False) -> None:
     dated = with_fecha(df)
     order = [c for c in (FECHA, PLANT, SLOT) if c in dated.columns]
     (
         dated.hint("rebalance", FECHA)
         .sortWithinPartitions(*order)
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic" if touched_days_only else "static")
         .partitionBy(FECHA)
         .parquet(path)
     )

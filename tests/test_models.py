@@ -1,6 +1,9 @@
 """Models on planted series, and forecasts with and without a model."""
 
 import datetime as dt
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -9,12 +12,14 @@ from pyspark.sql import functions as F
 from heliospark.models import additive, arima, forest
 from heliospark.operators import evaluate, views
 from heliospark.operators import forecast as fc
+from heliospark.operators.fill import fill_inputs
 from heliospark.plans import pipeline
 from heliospark.session import new_folder
 from heliospark.sources import readers, writers
 from tests.planted import arma_11, clear_power, grid, pv_clear, pv_weather
 
 P = "power (kW)"
+REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 SMALL = {"numTrees": 10, "maxDepth": 6}
 
 
@@ -133,7 +138,7 @@ def test_forest_beats_the_mean_and_survives_storage(spark, weather):
     train = rows.where(F.col("slot") < F.lit("2023-01-25").cast("timestamp_ntz"))
     test = rows.where(F.col("slot") >= F.lit("2023-01-25").cast("timestamp_ntz")).dropna()
     model = forest.fit_rf(train, params=SMALL)
-    path = forest.save_model(model, new_folder(spark, "model"))
+    path = forest.save_model(model, new_folder(spark, "model"), lag_days=1)
     loaded = forest.load_model(path)
 
     def scored(m):
@@ -216,7 +221,7 @@ def test_failing_inference_falls_back(spark, weather, tmp_path):
     from pyspark.ml.feature import SQLTransformer
 
     broken = Pipeline(stages=[SQLTransformer(statement="SELECT *, raise_error('boom') AS prediccion FROM __THIS__")])
-    path = forest.save_model(broken.fit(weather), str(tmp_path / "broken"))
+    path = forest.save_model(broken.fit(weather), str(tmp_path / "broken"), lag_days=1)
     result = fc.forecast_safe(weather, path, 1, "1 hour")
     assert result.mode == "provisional" and result.reason.startswith("inference failed")
     assert result.predictions.count() == 48
@@ -232,6 +237,93 @@ def test_one_silent_series_does_not_take_the_others_along(spark, weather, model_
         "modelo": None, "provisional": "model answered for 1 of 2 series"}
 
 
+def _silent_since(weather, plant, day):
+    return weather.where((F.col("plant_id") != plant) | (F.col("slot") < F.lit(day).cast("timestamp_ntz")))
+
+
+def test_a_plant_silent_for_weeks_is_forecast_too(spark, weather, model_path):
+    silent = _silent_since(weather, "P1", "2023-01-12")
+    result = fc.forecast_safe(silent, model_path, 1, "1 hour")
+    rows = result.predictions.groupBy("plant_id").agg(F.count("prediccion").alias("n"), F.min("slot").alias("first")).collect()
+    assert {(r["plant_id"], r["n"], r["first"].day) for r in rows} == {("P0", 24, 1), ("P1", 24, 12)}
+    result.close()
+    together = fc.forecast_safe(silent, model_path, 1, "1 hour", origin=dt.datetime(2023, 1, 31, 23))
+    assert {r["slot"].date() for r in together.predictions.collect()} == {dt.date(2023, 2, 1)}
+    together.close()
+
+
+def test_a_model_is_not_asked_beyond_its_horizon(spark, weather, model_path):
+    result = fc.forecast_safe(weather, model_path, 5, "1 hour")
+    assert (result.mode, result.reason) == ("provisional", "model trained for 1 days, asked for 5")
+    assert result.predictions.count() == 2 * 5 * 24
+    assert forest.load_contract(spark, model_path).lag_days == 1
+
+
+def test_training_loses_no_row_with_a_target(spark, weather):
+    holes = weather.withColumn("ghi", F.when(F.hour("slot") % 5 != 0, F.col("ghi")))
+    rows = forest.model_inputs(holes, 1)
+    filled = fill_inputs(rows, holes)
+    assert filled.count() == rows.count() and filled.columns == rows.columns
+    assert filled.dropna().count() == rows.where(F.col(forest.TARGET).isNotNull()).count()
+
+
+def test_one_wrong_clock_empties_no_other_series(spark, weather):
+    late = weather.where("plant_id = 'P1'").limit(1).withColumn("slot", F.lit("2099-01-01").cast("timestamp_ntz"))
+    dirty = weather.unionByName(late)
+    week = views.energy_view(dirty, "last7").groupBy("plant_id").count().collect()
+    assert {r["plant_id"]: r["count"] for r in week} == {"P0": 168, "P1": 1}
+    clean = views.recent_each(dirty, 7, as_of=dt.datetime(2023, 2, 1))
+    assert {r["plant_id"]: r["count"] for r in clean.groupBy("plant_id").count().collect()} == {"P0": 168, "P1": 168}
+
+
+def test_arima_answers_from_the_origin_for_series_that_ended_before(spark):
+    df = pv_clear(spark, days=12, plants=2, step_minutes=60)
+    cut = _silent_since(df, "P1", "2023-01-11")
+    model = arima.fit_arima(cut, 2, 0, 0, long_ar=2, step="1 hour")
+    until = dt.datetime(2023, 1, 15)
+    out = arima.forecast_arima(cut, model, arima.ArimaOrder(2, 0, 0, 2, "1 hour"), until=until)
+    ends = {r["plant_id"]: (r["n"], r["last"]) for r in out.groupBy("plant_id").agg(F.count("slot").alias("n"), F.max("slot").alias("last")).collect()}
+    assert {v[1] for v in ends.values()} == {until} and ends["P1"][0] > ends["P0"][0]
+
+
+def test_short_series_have_a_row_without_coefficients(spark):
+    df = pv_clear(spark, days=3, plants=2, step_minutes=60)
+    short = _silent_since(df, "P1", "2023-01-02 03:00:00")
+    rows = {r["plant_id"]: r for r in arima.fit_arima(short, 2, 0, 0, long_ar=2, step="1 hour").collect()}
+    assert rows["P0"]["const"] is not None and set(rows) == {"P0", "P1"} and rows["P1"]["const"] is None
+
+
+def test_models_are_compared_on_the_same_slots(spark, weather):
+    holes = weather.withColumn("ghi", F.when((F.col("plant_id") == "P0") | ~F.hour("slot").between(9, 15), F.col("ghi")))
+    out = pipeline.evaluate_candidates(
+        holes, 3, k=1, step="1 hour", strategies=("holdout",), forest_params=SMALL,
+        arima_options={"p": 2, "d": 0, "q": 1, "long_ar": 24},
+        additive_options={"fourier": {"day": 3}, "changepoints": 1, "regressors": ("ghi",)},
+    )
+    predictions = spark.read.parquet(out)
+    counts = pipeline.answered(predictions).collect()
+    assert {r["slots"] for r in counts} == {144} and len(counts) == 3
+    shared = pipeline.common_slots(pipeline.under(predictions, "reciente"))
+    assert len({r["count"] for r in shared.groupBy("model").count().collect()}) == 1
+
+
+def test_workers_elsewhere_can_import_the_package(tmp_path):
+    """No PYTHONPATH, another folder: the session ships the package."""
+    code = f"""
+import sys
+sys.path.insert(0, {REPO!r})
+from heliospark.session import build_session
+sys.path.pop(0)
+spark = build_session("elsewhere", "local[2]", spark__ui__enabled="false", spark__sql__shuffle__partitions="2")
+from heliospark.models import arima
+df = spark.sql("select 'P0' plant_id, timestamp_ntz'2023-01-01' + make_dt_interval(0, cast(id as int)) slot, sin(id) `power (kW)` from range(200)")
+print("ROWS", arima.fit_arima(df, 1, 0, 1, long_ar=3, step="1 hour").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "ROWS 1" in done.stdout, done.stderr[-2000:]
+
+
 def test_daily_forecast_and_comparison(spark):
     df = pv_clear(spark, days=9)
     predictions = fc.provisional(df, fc.horizon(df, 2))

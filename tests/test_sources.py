@@ -264,3 +264,16 @@ def test_no_machine_local_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         session.shared_root(Fake())
+
+
+def test_a_new_day_rewrites_that_day_only(spark, tmp_path):
+    path = str(tmp_path / "days")
+    df = pv_weather(spark, days=4)
+    writers.write_dataset(df.where(F.dayofmonth("slot") < 5), path, hemisphere="south")
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "days").rglob("*.parquet")}
+    writers.write_dataset(df.where(F.dayofmonth("slot") == 5), path, touched_days_only=True, hemisphere="south")
+    stored = readers.load_dataset(spark, path)
+    assert stored.count() == df.count()
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items())
+    # January is summer in the south.
+    assert {r["estacion"] for r in stored.select("estacion").distinct().collect()} == {2}
