@@ -507,6 +507,19 @@ ORDER BY rmse, rmse_std NULLS LAST, model LIMIT 1""",
     "model:s|rmse:f|rmse_std:f|mae:f",
 )
 
+_TESTED = " UNION ALL ".join(
+    f"""SELECT '{name}' AS strategy, fold, count(*) AS slots
+  FROM ({_folds_sql("hom", k, 2, window)}) WHERE rol = 'test' GROUP BY fold"""
+    for name, k, window in (("holdout", 1, None), ("expanding", 2, None), ("sliding", 2, 10))
+)
+oracle(
+    "compare_candidates",
+    hom(True, _HOUR) + f",tested AS ({_TESTED})",
+    """SELECT m.model, strategy, fold, slots, 1 AS same_slots
+FROM tested, (VALUES ('arima'), ('additive'), ('random_forest')) m(model)""",
+    "model:s|strategy:s|fold:i|slots:i|same_slots:i",
+)
+
 # --- Forecast and economics ---
 
 oracle(

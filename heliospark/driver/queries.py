@@ -69,6 +69,20 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], ob
         return _stored[key]
 
 
+def _by_day(spark: SparkSession, sf_dir: str, name: str, rows: Callable[..., DataFrame], **options) -> DataFrame:
+    """Aligned readings as the library stores them: by day, so that ranges of time prune the scan."""
+
+    def write(path: str) -> None:
+        writers.write_stage(rows(spark, sf_dir, **options), "rows", path, by_day=True)
+
+    label = "-".join([name, *(str(v).replace(" ", "-") for v in options.values())])
+    return readers.read_stage(spark, "rows", _once(spark, sf_dir, label, write))
+
+
+def _power(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    return _by_day(spark, sf_dir, "power", t.power, **options)
+
+
 # --- Sources. Files are first written from the tables, then read back. ---
 
 
@@ -176,18 +190,18 @@ def _through_csv(df: DataFrame) -> DataFrame:
 def export_history_csv(spark, sf_dir):
     return _through_csv(
         views.history_table(
-            t.generation(spark, sf_dir), START, END, (6, 18), [POWER, E_TODAY, E_TOTAL]
+            _by_day(spark, sf_dir, "counters", t.generation), START, END, (6, 18), [POWER, E_TODAY, E_TOTAL]
         )
     )
 
 
 @query("export_climate_csv")
 def export_climate_csv(spark, sf_dir):
-    return _through_csv(views.climate_table(t.weather(spark, sf_dir), "gti", START, END))
+    return _through_csv(views.climate_table(_by_day(spark, sf_dir, "readings", t.weather), "gti", START, END))
 
 
 def _provisional(spark: SparkSession, sf_dir: str, days: int = 3) -> DataFrame:
-    history = t.power(spark, sf_dir, step=HOUR)
+    history = _power(spark, sf_dir, step=HOUR)
     return fc.provisional(history, fc.horizon(history, days, HOUR))
 
 
@@ -262,7 +276,7 @@ def rename_units(spark, sf_dir):
 
 @query("filter_dates")
 def filter_dates(spark, sf_dir):
-    return views.filter_dates(t.power(spark, sf_dir), START, END)
+    return views.filter_dates(_power(spark, sf_dir), START, END).drop(FECHA)
 
 
 @query("filter_hours")
@@ -272,7 +286,7 @@ def filter_hours(spark, sf_dir):
 
 @query("filter_dates_climate")
 def filter_dates_climate(spark, sf_dir):
-    return views.filter_dates(t.weather(spark, sf_dir), START, END)
+    return views.filter_dates(_by_day(spark, sf_dir, "readings", t.weather), START, END).drop(FECHA)
 
 
 @query("climate_variable")
@@ -283,13 +297,13 @@ def climate_variable(spark, sf_dir):
 @query("history_table")
 def history_table(spark, sf_dir):
     return views.history_table(
-        t.generation(spark, sf_dir), START, END, (8, 17), [POWER, E_TODAY, E_TOTAL]
+        _by_day(spark, sf_dir, "counters", t.generation), START, END, (8, 17), [POWER, E_TODAY, E_TOTAL]
     )
 
 
 @query("climate_table")
 def climate_table(spark, sf_dir):
-    return views.climate_table(t.weather(spark, sf_dir), "wind_direction_10m", START, END)
+    return views.climate_table(_by_day(spark, sf_dir, "readings", t.weather), "wind_direction_10m", START, END)
 
 
 @query("forecast_table")
@@ -304,17 +318,17 @@ def view_full(spark, sf_dir):
 
 @query("view_last7")
 def view_last7(spark, sf_dir):
-    return views.energy_view(t.power(spark, sf_dir), "last7")
+    return views.energy_view(_power(spark, sf_dir), "last7")
 
 
 @query("view_last30")
 def view_last30(spark, sf_dir):
-    return views.energy_view(t.power(spark, sf_dir), "last30")
+    return views.energy_view(_power(spark, sf_dir), "last30")
 
 
 @query("history_days")
 def history_days(spark, sf_dir):
-    return views.recent_each(t.power(spark, sf_dir), 3)
+    return views.recent_each(_power(spark, sf_dir), 3).drop(FECHA)
 
 
 # --- Alignment and join ---
@@ -337,7 +351,7 @@ def homogenise_query(spark, sf_dir):
 
 @query("history_vs_forecast")
 def history_vs_forecast(spark, sf_dir):
-    history = t.power(spark, sf_dir, step=HOUR)
+    history = _power(spark, sf_dir, step=HOUR)
     return views.history_vs_forecast(history, _provisional(spark, sf_dir), 7)
 
 
@@ -559,10 +573,9 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
         {"strategy": F.col("_as.strategy"), "fold": F.col("_as.fold")}
     )
     folded = folded.withColumn("_minute", calendar.minute_of_day())
-    # One group holds one row per training day.
-    group = Window.partitionBy("strategy", "fold", PLANT, "_minute")
-    training = F.when(F.col("rol") == "train", F.col(POWER))
-    known = folded.withColumn("patron", F.avg(training).over(group)).where(F.col("rol") == "test")
+    group = ["strategy", "fold", PLANT, "_minute"]
+    usual = folded.where(F.col("rol") == "train").groupBy(*group).agg(F.avg(POWER).alias("patron"))
+    known = folded.where(F.col("rol") == "test").join(usual, group, "left")
     both = F.array(
         *[
             F.struct(F.lit(m).alias("model"), F.col(m).alias("prediction"))
@@ -598,6 +611,28 @@ def select_final(spark, sf_dir):
     return evaluate.select_final(evaluate.compare_models(_fold_metrics(spark, sf_dir)))
 
 
+@query("compare_candidates")
+def compare_candidates(spark, sf_dir):
+    """The three forecasters over all strategies: test slots of each fit, and whether every
+    model is scored on the same ones."""
+    predictions = spark.read.parquet(
+        pipeline.evaluate_candidates(
+            _history(spark, sf_dir), 2, k=2, window_days=10, step=HOUR, forest_params={"numTrees": 5, "maxDepth": 4},
+            arima_options={"p": 1, "d": 0, "q": 0, "long_ar": 1},
+            additive_options={"fourier": {"day": 1}, "changepoints": 0, "regressors": ("ghi",), "ridge": 0.01},
+            parallelism=4,
+        )
+    )
+    fit = ["model", "strategy", "fold"]
+    shared = pipeline.common_slots(pipeline.under(predictions, "reciente"))
+    scored = evaluate.metrics(shared, fit).select(*fit, "n")
+    least = scored.groupBy("strategy", "fold").agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
+    same = scored.join(least, ["strategy", "fold"]).withColumn("same_slots", (F.col("_least") == F.col("_most")).cast("int"))
+    return pipeline.answered(predictions).join(same, fit, "left").select(
+        *fit, "slots", F.coalesce("same_slots", F.lit(0)).alias("same_slots")
+    )
+
+
 @query("model_save")
 def model_save(spark, sf_dir):
     """Whether a forest answers every row alike before it is stored and after it is read."""

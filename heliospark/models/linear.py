@@ -1,8 +1,8 @@
 """Least squares per series from summed products.
 
-Each task sums the products of every pair of terms over its own rows, in Arrow
-batches, and passes on one small matrix per series: rows are never shuffled,
-however long a series is. The remaining systems, one per series, are solved in
+Each task sorts its own rows by series, sums the products of every pair of
+terms in Arrow batches, and passes on one small matrix per series: rows are
+never shuffled, however long a series is. The remaining systems, one per series, are solved in
 Arrow batches too.
 """
 
@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# Series whose sums a task holds before it passes them on.
-_HELD = 2048
-
-
 def products_schema(rows: DataFrame, keys: Sequence[str]) -> T.StructType:
     return T.StructType(
         [
@@ -33,7 +29,7 @@ def products_schema(rows: DataFrame, keys: Sequence[str]) -> T.StructType:
 
 
 def moments(rows: DataFrame, keys: Sequence[str], terms: Column, size: int) -> DataFrame:
-    """Per key: ``n`` and ``products``, row by row the products of the terms.
+    """Per key: ``n`` and ``products``, the upper triangle of the terms' products, row by row.
 
     ``terms`` is an array of ``size`` values, the explained one last; rows
     where one is NULL are left out whole.
@@ -46,40 +42,50 @@ def moments(rows: DataFrame, keys: Sequence[str], terms: Column, size: int) -> D
     whole = z.where(total.isNotNull())
     names = [*keys]
 
-    def passed_on(held: dict, types: list[pa.DataType]) -> pa.RecordBatch:
-        columns = [pa.array(list(ids), kind) for ids, kind in zip(zip(*held), types)]
-        columns.append(pa.array([n for n, _ in held.values()], pa.int64()))
-        columns.append(pa.array([m.ravel() for _, m in held.values()], pa.list_(pa.float64())))
+    upper = np.triu_indices(size)
+
+    def matrix_of(key: tuple, n: int, sums: np.ndarray, types: list[pa.DataType]) -> pa.RecordBatch:
+        columns = [pa.array([k], kind) for k, kind in zip(key, types)]
+        columns += [pa.array([n], pa.int64()), pa.array([sums[upper]], pa.list_(pa.float64()))]
         return pa.RecordBatch.from_arrays(columns, [*names, "n", "products"])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[int, np.ndarray]] = {}
+        """A task's rows come series by series, so that one matrix is held at a time."""
+        key, n, sums, types = None, 0, None, []
         for batch in batches:
-            values = batch.column("_z").flatten().to_numpy(zero_copy_only=False)
-            matrix = values.reshape(-1, size)
-            ids = batch.select(names).to_pandas()
-            for key, at in ids.groupby(names, sort=False, dropna=False).indices.items():
-                part = matrix[at]
-                key = key if isinstance(key, tuple) else (key,)
-                n, sums = held.get(key, (0, 0.0))
-                held[key] = (n + len(part), sums + part.T @ part)
             types = [batch.schema.field(k).type for k in names]
-            if len(held) > _HELD:
-                yield passed_on(held, types)
-                held = {}
-        if held:
-            yield passed_on(held, types)
-
-    return combine(whole.mapInArrow(reduce, products_schema(rows, keys)), keys)
+            matrix = batch.column("_z").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            ids = batch.select(names).to_pandas()
+            new = np.ones(len(ids), dtype=bool)
+            new[1:] = ~((ids == ids.shift()) | (ids.isna() & ids.shift().isna())).all(axis=1).to_numpy()[1:]
+            starts = np.flatnonzero(new).tolist()
+            for start, end in zip(starts, [*starts[1:], len(ids)]):
+                here = tuple(batch.column(k)[start].as_py() for k in names)
+                if here != key:
+                    if n:
+                        yield matrix_of(key, n, sums, types)
+                    key, n, sums = here, 0, np.zeros((size, size))
+                part = matrix[start:end]
+                n, sums = n + len(part), sums + part.T @ part
+        if n:
+            yield matrix_of(key, n, sums, types)
+
+    in_order = whole.sortWithinPartitions(*names)
+    return combine(in_order.mapInArrow(reduce, products_schema(rows, keys)), keys)
 
 
 def combine(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add up matrices of the same series, cell by cell."""
-    cells = partial.select(*keys, "n", F.posexplode("products").alias("_cell", "_v"))
-    summed = cells.groupBy(*keys, "_cell").agg(F.sum("n").alias("n"), F.sum("_v").alias("_v"))
-    # One list per series, of the matrix's fixed size.
-    listed = F.sort_array(F.collect_list(F.struct("_cell", "_v")))["_v"]
-    return summed.groupBy(*keys).agg(F.max("n").alias("n"), listed.alias("products"))
+    """Add up matrices of the same series; there are at most as many as tasks or blocks."""
+
+    def add(group: pa.Table) -> pa.Table:
+        flat = group["products"].combine_chunks().flatten().to_numpy()
+        total = flat.reshape(group.num_rows, -1).sum(axis=0)
+        columns = [group[k].slice(0, 1) for k in keys]
+        columns += [pa.array([sum(group["n"].to_pylist())], pa.int64()), pa.array([total], pa.list_(pa.float64()))]
+        return pa.table(columns, names=[*keys, "n", "products"])
+
+    ordered = partial.select(*keys, "n", "products")
+    return ordered.groupBy(*keys).applyInArrow(add, ordered.schema)
 
 
 def solve(sums: DataFrame, keys: Sequence[str], size: int, ridge: Sequence[float] | None = None) -> DataFrame:
@@ -94,7 +100,9 @@ def solve(sums: DataFrame, keys: Sequence[str], size: int, ridge: Sequence[float
     def fit(n: pd.Series, products: pd.Series) -> pd.DataFrame:
         coefs, variances = [], []
         for count, flat in zip(n, products):
-            full = np.asarray(flat, dtype=float).reshape(size + 1, size + 1)
+            full = np.zeros((size + 1, size + 1))
+            full[np.triu_indices(size + 1)] = flat
+            full = np.triu(full) + np.triu(full, 1).T
             a = full[:size, :size] + np.diag(penalty * count)
             b = full[:size, size]
             try:

@@ -49,6 +49,50 @@ def weather_rows(documents: DataFrame, site_tz: str | None = None) -> DataFrame:
     return once.drop("_mtime", "_path")
 
 
+#: Values that a variable of the dataset can have; others are counted, never altered.
+BOUNDS = {
+    POWER: (0.0, 1e6),
+    "air_temp": (-60.0, 70.0),
+    "relative_humidity": (0.0, 100.0),
+    "ghi": (0.0, 1500.0),
+    "dni": (0.0, 1500.0),
+    "gti": (0.0, 1500.0),
+    "wind_speed_10m": (0.0, 100.0),
+    "wind_direction_10m": (0.0, 360.0),
+}
+
+
+def quality_path(out: str) -> str:
+    """Where the quality table of the dataset at ``out`` lies."""
+    return f"{out.rstrip('/')}_quality"
+
+
+def quality_table(
+    generation: DataFrame, weather: DataFrame, dataset: DataFrame, as_of: dt.datetime | None = None
+) -> DataFrame:
+    """(source, plant_id, variable, check, n) of the documents and the rows made from them.
+
+    Slots after ``as_of`` are those of a wrong clock.
+    """
+    values = clean.quality_counts(dataset, BOUNDS)
+    checks = F.array(
+        *[F.struct(F.lit(c).alias("check"), F.col(c).alias("n")) for c in ("rows", "missing", "outside")]
+    )
+    counted = values.select(F.lit("dataset").alias("source"), PLANT, "variable", F.inline(checks))
+    parts = readers.document_quality(generation, "generation").unionByName(
+        readers.document_quality(weather, "weather")
+    ).unionByName(counted)
+    if as_of is None:
+        return parts
+    late = F.col(SLOT) > F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+    future = dataset.groupBy(PLANT).agg(F.count_if(late).alias("n"))
+    return parts.unionByName(
+        future.select(
+            F.lit("dataset").alias("source"), PLANT, F.lit(SLOT).alias("variable"), F.lit("future").alias("check"), "n"
+        )
+    )
+
+
 def build_dataset(
     spark: SparkSession,
     generation_path: str | list[str],
@@ -61,21 +105,20 @@ def build_dataset(
     plant_id: str = DEFAULT_PLANT,
     multi_line: bool = True,
     hemisphere: str = "north",
+    as_of: dt.datetime | None = None,
 ) -> DataFrame:
-    """Files to the stored homogenised dataset."""
-    generation = generation_rows(
-        readers.read_generation(spark, generation_path, plant_id, multi_line),
-        site_tz,
-        power_factor,
-    )
-    observed = weather_rows(
-        readers.read_weather(spark, weather_path, plant_id, multi_line), site_tz
-    )
+    """Files to the stored homogenised dataset, its quality table beside it (``quality_path``)."""
+    exports = readers.read_generation(spark, generation_path, plant_id, multi_line)
+    reports = readers.read_weather(spark, weather_path, plant_id, multi_line)
+    generation = generation_rows(exports, site_tz, power_factor)
+    observed = weather_rows(reports, site_tz)
     joined = homogenise(
         align_generation(generation, step), align_weather(observed, step, label="end"), how
     )
     writers.write_dataset(joined, out, hemisphere=hemisphere)
-    return readers.load_dataset(spark, out)
+    stored = readers.load_dataset(spark, out)
+    quality_table(exports, reports, stored, as_of).write.mode("overwrite").parquet(quality_path(out))
+    return stored
 
 
 def train_final(

@@ -87,6 +87,28 @@ def corrupt_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def document_quality(df: DataFrame, source: str) -> DataFrame:
+    """Documents of each plant, those that are no JSON or hold no field, and those whose series cannot be read.
+
+    (source, plant_id, variable, check, n); a check without findings has n = 0.
+    """
+    if RAW_SERIES in df.columns:
+        empty = F.coalesce(F.size(_entries(F.col(RAW_SERIES))) < 1, F.lit(True))
+    else:
+        empty = F.lit(False)
+    fields = [c for c in df.columns if c not in (PLANT, CORRUPT, *SOURCE_COLUMNS)]
+    blank = F.coalesce(*[F.col(c).cast("string") for c in fields]).isNull()
+    whole = F.col(CORRUPT).isNull()
+    counts = df.groupBy(PLANT).agg(
+        F.count(F.lit(1)).alias("documents"),
+        F.count_if(~whole).alias("corrupt"),
+        F.count_if(whole & empty).alias("series unreadable"),
+        F.count_if(whole & blank).alias("without fields"),
+    )
+    checks = F.array(*[F.struct(F.lit(c).alias("check"), F.col(c).alias("n")) for c in ("documents", "corrupt", "without fields", "series unreadable")])
+    return counts.select(F.lit(source).alias("source"), PLANT, F.lit(None).cast("string").alias("variable"), F.inline(checks))
+
+
 def _entries(series: Column) -> Column:
     """Either shape of the series as an array of (time, pac)."""
     pairs = F.from_json(series, "array<struct<time:string,pac:string>>")

@@ -266,6 +266,28 @@ def test_no_machine_local_folder_on_a_cluster():
         session.shared_root(Fake())
 
 
+def test_quality_is_stored_beside_the_dataset(spark, tmp_path):
+    generation, weather, out = (tmp_path / n for n in ("g", "w", "d"))
+    generation.mkdir()
+    weather.mkdir()
+    good = '{"nominalPower": "5", "eToday": "1", "eTotal": "2", "invPacData": {"2024-01-01 10:00": 3.5, "2024-01-01 10:05": null}}'
+    (generation / "a.json").write_text(good)
+    (generation / "b.json").write_text('{"nominalPower": "5", "invPacData": 17}')
+    (generation / "c.json").write_text("{bad")
+    rows = [{"period_end": f"2024-01-01T10:{m:02d}:00Z", "ghi": g} for m, g in ((5, 2000.0), (10, 3.0))]
+    (weather / "w.json").write_text("\n".join(map(json.dumps, rows)))
+    (weather / "x.json").write_text("{bad")
+    spark_args = dict(site_tz="UTC", multi_line=False, as_of=dt.datetime(2024, 1, 1, 10, 2))
+    (generation / "a.json").write_text(good)
+    pipeline.build_dataset(spark, str(generation), str(weather), str(out), **spark_args)
+    found = {(r["source"], r["variable"], r["check"]): r["n"] for r in spark.read.parquet(pipeline.quality_path(str(out))).collect()}
+    assert found["generation", None, "documents"] == 3 and found["generation", None, "corrupt"] == 1
+    assert found["generation", None, "series unreadable"] == 1
+    assert found["weather", None, "documents"] == 3 and found["weather", None, "corrupt"] == 1
+    assert found["dataset", "ghi", "outside"] == 1 and found["dataset", "air_temp", "missing"] == found["dataset", "ghi", "rows"] == 2
+    assert found["dataset", "slot", "future"] == 1
+
+
 def test_a_new_day_rewrites_that_day_only(spark, tmp_path):
     path = str(tmp_path / "days")
     df = pv_weather(spark, days=4)
