@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import threading
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -722,3 +723,24 @@ def consumption_cost(spark, sf_dir):
         (1 + F.max(F.substring(PLANT, 2, 1).cast("int")) * 0.5).alias("tarifa")
     )
     return economics.cost_by_period(daily, tariffs, "month")
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> dict[str, float]:
+    """Writes what several queries read, once for each session and tables; seconds by name."""
+    steps = {
+        "generation files": lambda: _generation_files(spark, sf_dir),
+        "weather files": lambda: _weather_files(spark, sf_dir),
+        "power by day": lambda: _power(spark, sf_dir),
+        "hourly power by day": lambda: _power(spark, sf_dir, step=HOUR),
+        "counters by day": lambda: _by_day(spark, sf_dir, "counters", t.generation),
+        "readings by day": lambda: _by_day(spark, sf_dir, "readings", t.weather),
+        "hourly dataset": lambda: _history(spark, sf_dir),
+        "model inputs": lambda: _training_rows(spark, sf_dir),
+        "model": lambda: _saved_model(spark, sf_dir),
+    }
+    seconds = {}
+    for name, step in steps.items():
+        start = time.perf_counter()
+        step()
+        seconds[name] = round(time.perf_counter() - start, 3)
+    return seconds

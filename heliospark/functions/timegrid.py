@@ -34,6 +34,21 @@ def local_time(text: str | Column, site_tz: str | None = None) -> Column:
     return F.when(col.rlike(OFFSET_PATTERN), instant).otherwise(col.try_cast("timestamp_ntz"))
 
 
+def utc_offset(wall: str | Column, text: str | Column, site_tz: str | None = None) -> Column:
+    """Seconds that the wall clock is ahead of UTC; 0 without ``site_tz``.
+
+    In the hour that a clock change repeats, text with an offset tells the two
+    instants apart; text without one is taken as one of them, the same always.
+    """
+    col = F.col(text) if isinstance(text, str) else text
+    ts = F.col(wall) if isinstance(wall, str) else wall
+    if site_tz is None:
+        return F.lit(0).cast("long")
+    given = from_epoch(F.unix_micros(F.try_to_timestamp(col)) / F.lit(1_000_000))
+    meant = F.convert_timezone(F.lit(site_tz), F.lit("UTC"), ts)
+    return wall_seconds(ts) - wall_seconds(F.when(col.rlike(OFFSET_PATTERN), given).otherwise(meant))
+
+
 def circular_mean(degrees: str | Column) -> Column:
     """Mean direction in [0, 360), an aggregate; NULL where directions cancel."""
     col = F.col(degrees) if isinstance(degrees, str) else degrees

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliospark.functions.timegrid import local_time
+from heliospark.functions.timegrid import local_time, utc_offset
 from heliospark.schema import E_TODAY, E_TOTAL, KEYS, POWER, SLOT
 
 
@@ -15,6 +15,11 @@ def parse_time(df: DataFrame, col: str, site_tz: str | None = None, out: str = "
     return df.withColumn(out, local_time(col, site_tz))
 
 
+def with_offset(df: DataFrame, col: str, site_tz: str | None = None, ts: str = "ts") -> DataFrame:
+    """Add ``_offset``, which with the wall-clock time makes an instant: the key of copies."""
+    return df.withColumn("_offset", utc_offset(ts, col, site_tz))
+
+
 def clean(df: DataFrame, time_col: str = "ts", numeric: Sequence[str] = ()) -> DataFrame:
     """Drop rows without a time and turn text into numbers, bad text into NULL."""
     rows = df.dropna(subset=[time_col])

@@ -37,16 +37,21 @@ def generation_rows(
 ) -> DataFrame:
     """Series records of the documents, timed, cleaned and free of copies."""
     series = readers.with_scalars(readers.good_rows(documents))
-    timed = clean.clean(clean.parse_time(series, "time", site_tz)).drop("time")
-    once = clean.dedupe(timed, (PLANT, "ts"), ("_mtime", "_path", "pos"))
-    return clean.to_model_names(once.drop("_mtime", "_path", "pos"), power_factor)
+    timed = clean.clean(_timed(series, "time", site_tz))
+    once = clean.dedupe(timed, (PLANT, "ts", "_offset"), ("_mtime", "_path", "pos"))
+    return clean.to_model_names(once.drop("_mtime", "_path", "pos", "_offset"), power_factor)
 
 
 def weather_rows(documents: DataFrame, site_tz: str | None = None) -> DataFrame:
     rows = readers.good_rows(documents)
-    timed = clean.clean(clean.parse_time(rows, RAW_PERIOD_END, site_tz)).drop(RAW_PERIOD_END)
-    once = clean.dedupe(timed, (PLANT, "ts"), ("_mtime", "_path"))
-    return once.drop("_mtime", "_path")
+    timed = clean.clean(_timed(rows, RAW_PERIOD_END, site_tz))
+    once = clean.dedupe(timed, (PLANT, "ts", "_offset"), ("_mtime", "_path"))
+    return once.drop("_mtime", "_path", "_offset")
+
+
+def _timed(rows: DataFrame, text: str, site_tz: str | None) -> DataFrame:
+    """Wall-clock times, and the offset that tells the instants of a repeated hour apart."""
+    return clean.with_offset(clean.parse_time(rows, text, site_tz), text, site_tz).drop(text)
 
 
 #: Values that a variable of the dataset can have; others are counted, never altered.

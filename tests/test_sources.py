@@ -266,6 +266,14 @@ def test_no_machine_local_folder_on_a_cluster():
         session.shared_root(Fake())
 
 
+def test_a_repeated_hour_keeps_both_its_readings(spark, tmp_path):
+    """New York, autumn: 05:30Z and 06:30Z are both 01:30; spring leaves a gap and loses none."""
+    ends = ("2024-11-03T05:30:00Z", "2024-11-03T06:30:00Z", "2024-11-03T06:30:00+00:00", "2024-03-10T06:30:00Z", "2024-03-10T07:30:00Z")
+    put(tmp_path / "w", "w.json", observations(*[(end, {"ghi": 100 * i}) for i, end in enumerate(ends)]))
+    rows = pipeline.weather_rows(readers.read_weather(spark, str(tmp_path / "w")), "America/New_York").collect()
+    assert sorted((r["ts"].month, r["ts"].hour) for r in rows) == [(3, 1), (3, 3), (11, 1), (11, 1)]
+
+
 def test_quality_is_stored_beside_the_dataset(spark, tmp_path):
     generation, weather, out = (tmp_path / n for n in ("g", "w", "d"))
     generation.mkdir()
