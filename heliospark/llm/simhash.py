@@ -102,8 +102,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cells, fps = batch["cell"].to_numpy(), batch["fp"].to_numpy()
         starts = np.flatnonzero(np.diff(cells, prepend=cells[:1] - 1)) if len(cells) else []
+        ends = np.append(starts[1:], len(cells)) if len(cells) else []
+        # A fingerprint alone in its cell has no link; a batch's first and last cell may go on in others.
+        many = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(cells))) if len(cells) else []
         a, b, crowded = [], [], []
-        for start, end in zip(starts, [*starts[1:], len(cells)], strict=True):
+        for start, end in zip(starts[many].tolist(), ends[many].tolist(), strict=True) if len(cells) else ():
             if cells[start] != cell:
                 if not crowd:
                     x, y = close()
