@@ -143,7 +143,12 @@ def _crowded_links(fps: DataFrame) -> DataFrame:
 
 def link_fingerprints(fps: DataFrame) -> DataFrame:
     """(a, b): links between the distinct values of the column fp that join all within two bits."""
-    cells = fps.where(F.col("fp").isNotNull()).select("fp").distinct().select(F.explode(_cells(_point(F.col("fp")))).alias("cell"), "fp")
+    # Few bytes become many rows here: the number of tasks is stated, lest they be made few by size.
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes = fps.where(F.col("fp").isNotNull()).select("fp").repartition(tasks, "fp").distinct()
+    # The lambda has the point reckoned once for all its cells.
+    around = F.flatten(F.transform(F.array(_point(F.col("fp"))), _cells))
+    cells = nodes.select(F.explode(around).alias("cell"), "fp")
     found = stage(cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_links, "a long, b long"), "links")
     links = found.where(F.col("b").isNotNull())
     crowded = found.where(F.col("b").isNull()).select("a").distinct()
