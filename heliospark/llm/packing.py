@@ -89,12 +89,12 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int
     bucket = sum(((F.col("n") > end).cast("int") for end in ends[:-1]), F.lit(0))
     placed = rows.withColumn("bucket", bucket).withColumn("bucket_len", F.array(*[F.lit(e).cast("long") for e in ends])[F.col("bucket")])
 
-    counts = placed.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("c"))
-    earlier = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("bucket", "shard", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("first"))
+    # 4,096 rows for each bucket at most, whatever the number of documents.
+    counts = placed.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("c")).toPandas().sort_values(["bucket", "shard"])
+    counts["first"] = counts.groupby("bucket")["c"].cumsum() - counts["c"]
+    offsets = docs.sparkSession.createDataFrame(counts[["bucket", "shard", "first"]], "bucket int, shard string, first long")
     within = Window.partitionBy("bucket", "shard").orderBy("key", "n")
     ranked = placed.withColumn("rank", F.row_number().over(within))
-    # 4,096 rows for each bucket at most.
     position = F.col("first") + F.col("rank") - 1
     room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.greatest("bucket_len", F.lit(1))).cast("long"))
     return ranked.join(F.broadcast(offsets), ["bucket", "shard"]).select(
