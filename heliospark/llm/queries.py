@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospark.llm import bpe, exact_dedup, line_dedup, packing, pitman_yor, simhash, site_style_tree, token_counts, topk, toxicity
+from heliospark.llm import bpe, exact_dedup, line_dedup, packing, pitman_yor, simhash, site_style_tree, token_counts, topk, toxicity, warc
 from heliospark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -159,3 +159,26 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, counts = pitman_yor.fit(documents.where(~held_out).select("text"))
     scored = pitman_yor.score(documents.withColumn("held_out", held_out), model, counts)
     return scored.select("row.doc_id", "row.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query(
+    "op11_warc",
+    """
+WITH p AS (
+  SELECT page_id, coalesce(strlen(html), 0)::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), w AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM w
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages"))
+    return found.select(
+        F.col("key").cast("long").alias("page_id"),
+        "payload_bytes",
+        F.col("digest").alias("payload_digest"),
+        F.col("kind").alias("record_type"),
+        F.col("refers_key").cast("long").alias("refers_to"),
+    )
