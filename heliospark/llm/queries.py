@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliospark.llm import bpe, exact_dedup, line_dedup, packing, pitman_yor, simhash, site_style_tree, token_counts, topk, toxicity, warc
+from heliospark.llm import alignment, bpe, exact_dedup, lemp, line_dedup, packing, pitman_yor, simhash, site_style_tree, token_counts, topk, toxicity, warc
 from heliospark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -182,3 +182,38 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("kind").alias("record_type"),
         F.col("refers_key").cast("long").alias("refers_to"),
     )
+
+
+@query(
+    "op12_ranked_search",
+    rf"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{lemp.TERM}')) AS term FROM documents
+), tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY ALL),
+whole AS (SELECT count(*) AS rows_all, sum(n)::BIGINT AS terms_all FROM lengths),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(rows_all) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tfs, whole GROUP BY term
+), measures AS (SELECT doc_id, 100 - 50 + (50 * n * rows_all) // terms_all AS m FROM lengths, whole),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{lemp.TERM}')) AS term FROM benchmark
+), scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN measures USING (doc_id) GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+""",
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lemp.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_alignment")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    aligned = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.path("piece_bpe_32k.model"))
+    digest = F.when(F.col("n_a") == 0, F.lit("")).otherwise(F.sha2("alignment", 256))
+    return alignment.with_counts(aligned.withColumn("alignment", digest).withColumnRenamed("alignment", "groups_sha256"))
