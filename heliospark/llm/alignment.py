@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,11 @@ from heliospark.llm import bpe
 from heliospark.llm.common import stage
 
 #: Windows that a worker remembers; it starts afresh beyond that.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Bytes of text that are aligned at a time within a batch.
 TEXT_BYTES = 2_000_000
+#: Runs of characters that A's quick library isn't given.
+LONG = 4_000
 #: Distinct pairs of ids up to which their counts are broadcast (16 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_PAIRS = 1 << 20
 #: How two ids make one long integer.
@@ -47,26 +50,38 @@ class Pieces:
         return self.model.encode(texts, num_threads=1)
 
 
-class Window:
-    """How the tokens of a window go together."""
+class Aligned(NamedTuple):
+    """Texts' alignments: groups and links of each, the groups written out, and its distinct linked pairs with how often."""
 
-    __slots__ = ("groups", "links", "said")
+    groups: np.ndarray
+    links: np.ndarray
+    said: list[str]
+    ends: np.ndarray
+    pairs: np.ndarray
+    times: np.ndarray
 
-    def __init__(self, a: list[int], b: list[int], size_a: np.ndarray, size_b: np.ndarray) -> None:
-        ends_a, ends_b = list(accumulate(size_a[a].tolist())), list(accumulate(size_b[b].tolist()))
-        i = j = x = y = 0
-        groups, links = [], []
-        while i < len(a) and j < len(b):
-            if ends_a[i] == ends_b[j]:
-                groups.append(f"{','.join(map(str, a[x : i + 1]))}|{','.join(map(str, b[y : j + 1]))}")
-                links.append(a[i] << SHIFT | b[j])
-                i, j = i + 1, j + 1
-                x, y = i, j
-            elif ends_a[i] < ends_b[j]:
-                i += 1
-            else:
-                j += 1
-        self.said, self.groups, self.links = ";".join(groups), len(groups), links
+
+def by_rank(table: bpe.BytePair):
+    """The same tokenizer in a library that merges by the ids of what is made; None where that may differ.
+
+    It doesn't if ids follow the order of the merges and BPE makes every token
+    of the token's own bytes: then no two tokens stand side by side, merged by
+    no rule, whose bytes are a token.
+    """
+    made = table.rank[np.flatnonzero(table.rank >= 0)]
+    if not (table.reachable.all() and (np.diff(made) > 0).all()):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=table.ids, special_tokens={})
+
+
+def long_word(text: str) -> bool:
+    """Whether a run of blanks or of others may be longer than LONG."""
+    if len(text) <= LONG:
+        return False
+    words = list(map(len, text.split()))
+    return max(words, default=0) > LONG or len(text) - sum(words) - len(words) > LONG
 
 
 class Aligner:
@@ -74,33 +89,78 @@ class Aligner:
 
     def __init__(self, definition: str, model: bytes) -> None:
         self.a, self.b = bpe.tokenizer(definition), Pieces(model)
+        self._quick = by_rank(self.a)
         self.sizes = [np.array([len(t) for t in x.tokens], dtype=np.int64) for x in (self.a, self.b)]
         self.spaced = [np.array([t.startswith(b" ") for t in x.tokens]) for x in (self.a, self.b)]
-        self._windows: dict[bytes, Window] = {}
+        # Each id as it is written: within a group, and at its end.
+        marks = ((",", "|"), (",", ";"))
+        self._written = [f"{i}{m}" for x, own in zip((self.a, self.b), marks, strict=True) for i in range(len(x.tokens)) for m in own]
+        self._forget()
+
+    def _forget(self) -> None:
+        # Of each window seen, by its number: its groups written out, and where its links begin among all.
+        self._windows: dict[bytes, int] = {}
+        self._said: list[str] = []
+        self._links, self._starts = np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def _tokens_a(self, texts: list[str]) -> list[list[int]]:
+        if self._quick is None:
+            return list(self.a.encode(texts, specials=False))
+        # Very long words are left to the encoder that merges them by a heap.
+        return [next(self.a.encode([t], specials=False)) if long_word(t) else self._quick.encode_ordinary(t) for t in texts]
 
     def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
         """Ids of both; None where there are none or either's bytes aren't those of space and text."""
         out = []
-        for text, a, b in zip(texts, self.a.encode([" " + t for t in texts], specials=False), self.b.encode(texts), strict=True):
+        for text, a, b in zip(texts, self._tokens_a([" " + t for t in texts]), self.b.encode(texts), strict=True):
             whole = b" " + text.encode()
-            same = text and all(b"".join(map(x.tokens.__getitem__, ids)) == whole for x, ids in ((self.a, a), (self.b, b)))
+            same = text and all(b"".join(map(x.tokens.__getitem__, ids)) == whole for x, ids in ((self.b, b), (self.a, a)))
             out.append((a, b) if same else None)
         return out
 
-    def windows(self, pairs: list[tuple[list[int], list[int]]]) -> list[list[Window]]:
-        """The windows of each text's ids, in order."""
-        ids, begins, cuts, texts = [], [], [], np.arange(len(pairs))
+    def _learn(self, keys: list[bytes]) -> None:
+        """New windows, all at once. A window's tokens are equally long on both sides, so their ends can be counted through."""
+        flat = np.frombuffer(b"".join(keys), dtype=np.int32).astype(np.int64)
+        lengths = np.fromiter(map(len, keys), dtype=np.int64) // 4
+        mark = np.repeat(np.flatnonzero(flat < 0), lengths)
+        places = np.arange(len(flat))
+        in_a, in_b = places < mark, places > mark
+        sides = [flat[in_a], flat[in_b]]
+        ends = [np.cumsum(n[x]) for n, x in zip(self.sizes, sides, strict=True)]
+        shared = [other[np.searchsorted(other, own)] == own for own, other in (ends, ends[::-1])]
+        group = [np.cumsum(s) - s for s in shared]
+        many = [np.bincount(g) for g in group]
+        # Written group by group, A's tokens before B's.
+        start = np.cumsum(many[0] + many[1]) - many[0] - many[1]
+        codes = np.empty(len(sides[0]) + len(sides[1]), dtype=np.int64)
+        for side, shift, first in ((0, 0, start), (1, 2 * len(self.a.tokens), start + many[0])):
+            own = first - (np.cumsum(many[side]) - many[side])
+            codes[np.arange(len(sides[side])) + own[group[side]]] = shift + 2 * sides[side] + shared[side]
+        written = list(map(self._written.__getitem__, codes.tolist()))
+        links = sides[0][shared[0]] << SHIFT | sides[1][shared[1]]
+        window = np.repeat(np.arange(len(keys)), lengths)[in_a][shared[0]]
+        stops, tokens = np.cumsum(np.bincount(window, minlength=len(keys))), np.cumsum(lengths - 1).tolist()
+        self._windows.update(zip(keys, range(len(self._said), len(self._said) + len(keys)), strict=True))
+        self._said += ["".join(written[a:b]) for a, b in zip([0, *tokens], tokens, strict=False)]
+        self._starts = np.append(self._starts, len(self._links) + stops)
+        self._links = np.append(self._links, links)
+
+    def align(self, pairs: list[tuple[list[int], list[int]]]) -> Aligned:
+        """The alignments of some texts, given as the ids of both; a text has one token of each at least."""
+        ids, begins, places, first = [], [], [], np.zeros(0, dtype=np.int64)
         for side in (0, 1):
-            flat = np.concatenate([np.array(p[side], dtype=np.int64) for p in pairs])
-            ends = np.cumsum(self.sizes[side][flat])
-            begin = ends - self.sizes[side][flat]
+            flat = np.fromiter(chain.from_iterable([p[side] for p in pairs]), dtype=np.int64)
+            sizes = self.sizes[side][flat]
+            may = self.spaced[side][flat]
+            # Texts follow each other and are equally long on both sides, so that their first tokens begin together, too.
             first = np.cumsum([0, *(len(p[side]) for p in pairs[:-1])])
+            may[first] = True
             ids.append(flat)
-            begins.append(begin)
-            cuts.append((begin[self.spaced[side][flat]], begin[first]))
-        # Texts follow each other and are equally long on both sides, so that their first tokens begin together, too.
-        anchors = np.union1d(np.intersect1d(cuts[0][0], cuts[1][0]), cuts[0][1])
-        at = [np.searchsorted(b, anchors) for b in begins]
+            places.append(np.flatnonzero(may))
+            begins.append((np.cumsum(sizes) - sizes)[may])
+        near = np.minimum(np.searchsorted(begins[1], begins[0]), len(begins[1]) - 1)
+        both = begins[1][near] == begins[0]
+        at = [places[0][both], places[1][near[both]]]
         # Each window's key is one slice of bytes: the ids of A, a mark, the ids of B.
         counts = [np.diff(np.append(x, len(i))) for x, i in zip(at, ids, strict=True)]
         key_ends = np.cumsum(counts[0] + counts[1] + 1)
@@ -110,16 +170,27 @@ class Aligner:
         keys[np.arange(len(ids[1])) + np.repeat(key_starts + counts[0] + 1 - at[1], counts[1])] = ids[1]
         packed = keys.tobytes()
         wanted = [packed[s:e] for s, e in zip((key_starts * 4).tolist(), (key_ends * 4).tolist(), strict=True)]
-        known = self._windows
-        if len(known) > REMEMBERED:
-            known = self._windows = {}
-        for key in set(wanted) - known.keys():
-            both = np.frombuffer(key, dtype=np.int32)
-            mark = int(np.flatnonzero(both < 0)[0])
-            known[key] = Window(both[:mark].tolist(), both[mark + 1 :].tolist(), *self.sizes)
-        found = list(map(known.__getitem__, wanted))
-        starts = [*np.searchsorted(anchors, cuts[0][1]).tolist(), len(found)]
-        return [found[starts[i] : starts[i + 1]] for i in texts]
+        if len(self._windows) > REMEMBERED:
+            self._forget()
+        known = list(map(self._windows.get, wanted))
+        if missing := list({wanted[i] for i, w in enumerate(known) if w is None}):
+            self._learn(missing)
+            known = list(map(self._windows.__getitem__, wanted))
+        number = np.array(known)
+        # The windows of each text, and their links one after another.
+        starts = np.searchsorted(at[1], first)
+        many = self._starts[number + 1] - self._starts[number]
+        text = np.repeat(np.arange(len(pairs)), np.diff(np.append(starts, len(number))))
+        groups = np.bincount(text, many, len(pairs)).astype(np.int64)
+        own = np.repeat(self._starts[number] - (np.cumsum(many) - many), many)
+        links = self._links[np.arange(len(own)) + own]
+        each = np.repeat(text, many)
+        order = np.lexsort((links, each))
+        links, each = links[order], each[order]
+        new = np.flatnonzero(np.append(True, (links[1:] != links[:-1]) | (each[1:] != each[:-1])))
+        said = ["".join(map(self._said.__getitem__, known[a:b]))[:-1] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(known)], strict=True)]
+        ends = np.cumsum(np.bincount(each[new], minlength=len(pairs)))
+        return Aligned(groups, np.bincount(each, minlength=len(pairs)), said, ends, links[new], np.diff(np.append(new, len(links))))
 
 
 @lru_cache(maxsize=1)
@@ -145,22 +216,21 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
     definition = bpe.load(spark, a_path)
     with open(b_path, "rb") as f:
         model = spark.sparkContext.broadcast(f.read())
-    longs, schema = pa.list_(pa.int64()), ["key", "n_a", "n_b", "n_groups", "n_links", "alignment", "pairs", "times"]
+    schema = ["key", "n_a", "n_b", "n_groups", "n_links", "alignment", "pairs", "times"]
 
-    def rows_of(table: Aligner, texts: list[str | None]) -> list[tuple]:
+    def columns_of(table: Aligner, texts: list[str | None]) -> list[pa.Array]:
         tokens = table.tokens([t or "" for t in texts])
-        sound = [t for t in tokens if t]
-        windows = iter(table.windows(sound) if sound else [])
-        out = []
-        for t in tokens:
-            if not t:
-                out.append((0, 0, 0, 0, "", [], []))
-                continue
-            own = next(windows)
-            links = np.array([x for w in own for x in w.links], dtype=np.int64)
-            pairs, times = np.unique(links, return_counts=True)
-            out.append((len(t[0]), len(t[1]), sum(w.groups for w in own), len(links), ";".join([w.said for w in own]), pairs, times))
-        return out
+        sound = np.array([t is not None for t in tokens])
+        nothing = np.zeros(0, dtype=np.int64)
+        found = table.align([t for t in tokens if t]) if sound.any() else Aligned(nothing, nothing, [], nothing, nothing, nothing)
+        sizes = [np.array([len(t[i]) if t else 0 for t in tokens]) for i in (0, 1)]
+        spread = [np.zeros(len(tokens), dtype=np.int64) for _ in range(3)]
+        for full, part in zip(spread, (found.groups, found.links, np.diff(found.ends, prepend=0)), strict=True):
+            full[sound] = part
+        said = iter(found.said)
+        offsets = pa.array(np.append(0, np.cumsum(spread[2])).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (found.pairs, found.times.astype(np.int64))]
+        return [*map(pa.array, (*sizes, *spread[:2])), pa.array([next(said) if t else "" for t in tokens], pa.string()), *lists]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = aligner(definition.value, model.value)
@@ -173,9 +243,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, key: str = "doc_id", text:
                 while end < batch.num_rows and part[end] == part[start]:
                     end += 1
                 some = batch.slice(start, end - start)
-                columns = list(zip(*rows_of(table, some["text"].to_pylist()), strict=True))
-                kinds = [pa.int64()] * 4 + [pa.string(), longs, longs]
-                yield pa.RecordBatch.from_arrays([some["key"], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], schema)
+                yield pa.RecordBatch.from_arrays([some["key"], *columns_of(table, some["text"].to_pylist())], schema)
                 start = end
 
     narrow = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))

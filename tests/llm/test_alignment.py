@@ -1,6 +1,7 @@
 """Alignments against the public libraries and plain loops over byte offsets."""
 
 import hashlib
+import json
 from collections import Counter
 
 import numpy as np
@@ -74,22 +75,33 @@ def aligner():
         return alignment.Aligner(a.read(), b.read())
 
 
+def alignments(own, tokens):
+    """(groups written out, their number, links, Counter of linked ids) of each text that has tokens."""
+    if not any(tokens):
+        return []
+    r = own.align([t for t in tokens if t])
+    starts = [0, *r.ends[:-1].tolist()]
+    pairs = [(int(x) >> alignment.SHIFT, int(x) & 0xFFFFFFFF) for x in r.pairs]
+    return [
+        (r.said[i], int(r.groups[i]), int(r.links[i]), Counter(dict(zip(pairs[a:b], r.times[a:b].tolist(), strict=True))))
+        for i, (a, b) in enumerate(zip(starts, r.ends.tolist(), strict=True))
+    ]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab  the\n\t.,▁é日1"), st.characters(exclude_categories=["Cs"])), max_size=60), min_size=1, max_size=6))
 def test_any_texts(texts):
     with open(A_PATH, encoding="utf-8") as a, open(B_PATH, "rb") as b:
         own = alignment.aligner(a.read(), b.read())
     tokens = own.tokens(texts)
-    windows = iter(own.windows([t for t in tokens if t]) if any(tokens) else [])
+    found = iter(alignments(own, tokens))
     for text, t in zip(texts, tokens, strict=True):
         a, b, groups, links = brute(text)
         if t is None:
             assert not a
             continue
         assert t == (a, b)
-        found = next(windows)
-        assert ";".join(w.said for w in found) == groups
-        assert [(x >> alignment.SHIFT, x & 0xFFFFFFFF) for w in found for x in w.links] == links
+        assert next(found) == (groups, len(links), len(links), Counter(links))
 
 
 def test_special_tokens_and_marks_are_plain_text(aligner):
@@ -103,17 +115,30 @@ def test_special_tokens_and_marks_are_plain_text(aligner):
 def test_windows_are_remembered(aligner):
     before = len(aligner._windows)
     text = "the same few words " * 500
-    [(a, b)] = aligner.tokens([text])
-    [windows] = aligner.windows([(a, b)])
-    assert len(windows) > 1500 and len(aligner._windows) - before <= 8
+    [(said, groups, _, _)] = alignments(aligner, aligner.tokens([text]))
+    assert said == brute(text)[2] and groups > 1500 and len(aligner._windows) - before <= 8
 
 
 def test_memory_starts_afresh(aligner, monkeypatch):
     monkeypatch.setattr(alignment, "REMEMBERED", 2)
     texts = ["one two three", "four five", "one two"]
     for _ in range(2):
-        found = aligner.windows(aligner.tokens(texts))
-        assert [";".join(w.said for w in x) for x in found] == [brute(t)[2] for t in texts]
+        found = alignments(aligner, aligner.tokens(texts))
+        assert [x[0] for x in found] == [brute(t)[2] for t in texts]
+
+
+def test_the_quick_library_is_used_where_it_is_the_same(aligner):
+    assert aligner._quick is not None
+    # A merge that makes a token which its own bytes never become: ab, bc, then (ab, c) after (b, c) took the b.
+    letters = {c: i for i, c in enumerate(LETTERS)}
+    made = {"bc": 256, "ab": 257, "abc": 258}
+    text = {"model": {"vocab": letters | made, "merges": ["b c", "a b", "ab c"]}, "added_tokens": []}
+    table = bpe.BytePair(json.dumps(text))
+    assert alignment.by_rank(table) is None
+    long = ["x" * 5000 + " y", " " * 5000 + "y", "a b " * 3000]
+    assert [alignment.long_word(t) for t in long] == [True, True, False]
+    for t in long:
+        assert aligner.tokens([t]) == [tuple(brute(t)[:2])]
 
 
 def test_awkward_rows(spark):
