@@ -112,9 +112,10 @@ def oracle(name: str, ctes: str, body: str, columns: str) -> None:
 oracle(
     "src_generation_json",
     gen(),
-    'SELECT plant_id, 500.0 AS "nominalPower", "eToday (kWh)" AS "eToday", '
-    '"eTotal (kWh)" AS "eTotal" FROM counters',
-    "plant_id:s|nominalPower:f|eToday:f|eTotal:f",
+    'SELECT plant_id, 500.0 AS "nominalPower", max("eToday (kWh)") AS "eToday", '
+    'max("eTotal (kWh)") AS "eTotal", count(*) AS records, sum("power (kW)") AS total, '
+    "string_agg(strftime(slot, '%Y-%m-%d %H:%M'), ',' ORDER BY slot) AS times FROM gen GROUP BY plant_id, fecha",
+    "plant_id:s|nominalPower:f|eToday:f|eTotal:f|records:i|times:s|total:f",
 )
 oracle(
     "src_weather_json",
@@ -325,10 +326,12 @@ oracle(
 # --- Regressions: the normal equations, eliminated one column per step ---
 
 
-def _least_squares(rows: str, xs: list[str], y: str, tag: str, ridge: list[float] | None = None) -> str:
-    """CTEs that end in ``{tag}_fit`` with plant_id, n and b0, b1, ...
+def _least_squares(
+    rows: str, xs: list[str], y: str, tag: str, ridge: list[float] | None = None, by: str = "plant_id"
+) -> str:
+    """CTEs that end in ``{tag}_fit`` with the columns ``by``, n and b0, b1, ...
 
-    ``rows`` is a relation with plant_id; ridge is in units of n.
+    ``rows`` is a relation with those columns; ridge is in units of n.
     """
     size = len(xs)
     ridge = ridge or [0.0] * size
@@ -337,7 +340,7 @@ def _least_squares(rows: str, xs: list[str], y: str, tag: str, ridge: list[float
         for j, b in enumerate([*xs, y]):
             extra = f" + count(*) * {ridge[i]!r}" if i == j else ""
             cells.append(f"sum(({a}) * ({b})){extra} AS c{i}_{j}")
-    steps = [f"{tag}_0 AS (SELECT plant_id, count(*) AS n, {', '.join(cells)} FROM {rows} GROUP BY 1)"]
+    steps = [f"{tag}_0 AS (SELECT {by}, count(*) AS n, {', '.join(cells)} FROM {rows} GROUP BY {by})"]
     for pivot in range(size):
         out = []
         for i in range(size):
@@ -348,9 +351,9 @@ def _least_squares(rows: str, xs: list[str], y: str, tag: str, ridge: list[float
                     cell = f"c{i}_{j} - c{i}_{pivot} * c{pivot}_{j} / c{pivot}_{pivot}"
                 out.append(f"{cell} AS c{i}_{j}")
             # Columns left of the pivot are already eliminated.
-        steps.append(f"{tag}_{pivot + 1} AS (SELECT plant_id, n, {', '.join(out)} FROM {tag}_{pivot})")
+        steps.append(f"{tag}_{pivot + 1} AS (SELECT {by}, n, {', '.join(out)} FROM {tag}_{pivot})")
     names = ", ".join(f"c{i}_{size} AS b{i}" for i in range(size))
-    steps.append(f"{tag}_fit AS (SELECT plant_id, n, {names} FROM {tag}_{size})")
+    steps.append(f"{tag}_fit AS (SELECT {by}, n, {names} FROM {tag}_{size})")
     return ",\n".join(steps)
 
 
@@ -396,11 +399,12 @@ def _additive_sql() -> str:
     )
     return f"""{hom(True, _HOUR)},
 bounded AS (
-  SELECT *, min(slot) OVER () AS t0, max(slot) OVER () AS t1 FROM hom),
+  SELECT *, min(slot) OVER w AS t0, max(slot) OVER w AS t1
+  FROM hom WHERE ghi IS NOT NULL WINDOW w AS (PARTITION BY plant_id)),
 design AS (
   SELECT plant_id, {trend} AS trend, greatest({trend} - 0.5, 0) AS bend, sin({phase}) AS s1,
          cos({phase}) AS c1, ghi, "power (kW)" AS y
-  FROM bounded WHERE ghi IS NOT NULL),
+  FROM bounded),
 {fit}"""
 
 
@@ -426,10 +430,11 @@ def _folds_sql(source: str, k: int, h: int, window: int | None) -> str:
     start = f"slot > origin - INTERVAL {window} DAY AND " if window else ""
     return f"""SELECT r.*, f.fold, f.origin,
          CASE WHEN slot > origin THEN 'test' ELSE 'train' END AS rol
-  FROM {source} r, (
-    SELECT i AS fold, m - to_days(CAST(({k} - i + 1) * {h} AS INTEGER)) AS origin,
+  FROM {source} r JOIN (
+    SELECT plant_id, i AS fold, m - to_days(CAST(({k} - i + 1) * {h} AS INTEGER)) AS origin,
            m - to_days(CAST(({k} - i) * {h} AS INTEGER)) AS test_to
-    FROM (SELECT max(slot) AS m FROM {source}), (SELECT unnest(range(1, {k} + 1)) AS i)) f
+    FROM (SELECT plant_id, max(slot) AS m FROM {source} GROUP BY 1), (SELECT unnest(range(1, {k} + 1)) AS i)) f
+    ON r.plant_id = f.plant_id
   WHERE (slot > origin AND slot <= test_to) OR ({start}slot <= origin)"""
 
 
@@ -438,48 +443,129 @@ for _name, _window in {"split_expanding": None, "split_sliding": 10}.items():
         _name, gen(), _folds_sql("gen", 3, 4, _window), f"{_POWER}|fold:i|origin:t|rol:s"
     )
 
+# --- The three forecasters: ARIMA(2, 0, 1) after an autoregression of 20 lags, the additive
+# model, and of the forest what can be told without growing it ---
 
-def _predictions_sql() -> str:
+_FIT = "strategy, fold, plant_id"
+_SIX = _WX_NAMES[:-1]
+_LONG = 20
+
+
+def _fold_table_sql() -> str:
     parts = [
-        f"SELECT '{name}' AS strategy, * FROM ({_folds_sql('known', k, 4, window)})"
-        for name, k, window in (
-            ("holdout", 1, None),
-            ("expanding", 3, None),
-            ("sliding", 3, 10),
-        )
+        f"SELECT plant_id, '{s}' AS strategy, {i} AS fold, {start} AS train_from, "
+        f"m - INTERVAL {2 * back} DAY AS origin, m - INTERVAL {2 * back - 2} DAY AS test_to FROM ends"
+        for s, k in (("holdout", 1), ("expanding", 3), ("sliding", 3))
+        for i in range(1, k + 1)
+        for back in (k - i + 1,)
+        for start in (f"m - INTERVAL {2 * back + 60} DAY" if s == "sliding" else "CAST(NULL AS TIMESTAMP)",)
     ]
-    return f"""{gen(step=_HOUR)},
-known AS (
-  SELECT a.plant_id, a.slot, a."power (kW)" AS actual, b."power (kW)" AS persistencia
-  FROM gen a LEFT JOIN gen b ON a.plant_id = b.plant_id AND a.slot = b.slot + INTERVAL 4 DAY),
-folded AS ({' UNION ALL '.join(parts)}),
-usual AS (
-  SELECT strategy, fold, plant_id, hour(slot) AS h, avg(actual) AS patron
-  FROM folded WHERE rol = 'train' GROUP BY 1, 2, 3, 4),
-tested AS (
-  SELECT f.*, u.patron FROM folded f LEFT JOIN usual u ON f.strategy = u.strategy
-    AND f.fold = u.fold AND f.plant_id = u.plant_id AND hour(f.slot) = u.h
-  WHERE f.rol = 'test'),
-preds AS (
-  SELECT strategy, fold, origin, slot, actual, 'persistencia' AS model, persistencia AS prediction
-  FROM tested UNION ALL
-  SELECT strategy, fold, origin, slot, actual, 'patron', patron FROM tested),
-pairs AS (
-  SELECT *, prediction - actual AS err, CAST(ceil(epoch(slot - origin) / 86400) AS INTEGER) AS lead_day
-  FROM preds WHERE prediction IS NOT NULL AND actual IS NOT NULL),
-results AS (SELECT model, strategy, fold, {_METRICS} FROM pairs GROUP BY 1, 2, 3),
+    return f"""
+ends AS (SELECT plant_id, max(slot) AS m FROM hom GROUP BY 1),
+fold_table AS ({' UNION ALL '.join(parts)}),
+train AS (
+  SELECT f.strategy, f.fold, h.* FROM hom h JOIN fold_table f ON h.plant_id = f.plant_id
+  WHERE slot <= origin AND (train_from IS NULL OR slot > train_from)),
+tests AS (
+  SELECT f.strategy, f.fold, f.origin, f.test_to, h.plant_id, h.slot, h."power (kW)" AS actual
+  FROM hom h JOIN fold_table f ON h.plant_id = f.plant_id WHERE slot > origin AND slot <= test_to)"""
+
+
+def _arima_answers_sql() -> str:
+    lags = range(1, _LONG + 2)
+    own = ", ".join(f"lag(y, {k}) OVER w AS a{k}" for k in lags)
+    innovation = " + ".join(f"f.b{k} * w.a{k + 1}" for k in range(1, _LONG + 1))
+    last = ", ".join(f"max(v) FILTER (WHERE i = b - {k}) AS v{k}" for k in range(_LONG + 1))
+    ahead = " + ".join(f"l.b{k} * t.v{k}" for k in range(1, _LONG + 1))
+    return f"""
+readings AS (SELECT {_FIT}, CAST(epoch(slot) AS BIGINT) // 21600 AS i, "power (kW)" AS y FROM train),
+spans AS (SELECT {_FIT}, min(i) AS a, max(i) AS b FROM readings GROUP BY ALL),
+grid AS (SELECT {_FIT}, b, unnest(range(a, b + 1)) AS i FROM spans),
+filled AS (SELECT g.*, r.y FROM grid g LEFT JOIN readings r USING ({_FIT}, i)),
+lagged AS (SELECT {_FIT}, y, {own} FROM filled WINDOW w AS (PARTITION BY {_FIT} ORDER BY i)),
+whole AS (SELECT * FROM lagged WHERE y + {' + '.join(f'a{k}' for k in lags)} IS NOT NULL),
+{_least_squares("whole", ["1.0", *(f"a{k}" for k in range(1, _LONG + 1))], "y", "long", by=_FIT)},
+paired AS (
+  SELECT {', '.join('w.' + c for c in _FIT.split(', '))}, w.y, w.a1, w.a2, w.a1 - (f.b0 + {innovation}) AS e1
+  FROM whole w JOIN long_fit f USING ({_FIT})),
+{_least_squares("paired", ["1.0", "a1", "a2", "e1"], "y", "short", by=_FIT)},
+carried AS (
+  SELECT {_FIT}, i, b, last_value(y IGNORE NULLS) OVER (PARTITION BY {_FIT} ORDER BY i) AS v
+  FROM filled WHERE i > b - {_LONG + 2}),
+tails AS (SELECT {_FIT}, b, {last} FROM carried GROUP BY ALL),
+steps AS (
+  SELECT {_FIT}, b AS i, v0 AS y, coalesce(v1, 0) AS y1, coalesce(t.v0 - (l.b0 + {ahead}), 0) AS e,
+         s.b0 AS c, s.b1 AS phi1, s.b2 AS phi2, s.b3 AS theta, CAST(epoch(test_to) AS BIGINT) // 21600 AS stop
+  FROM tails t JOIN long_fit l USING ({_FIT}) JOIN short_fit s USING ({_FIT}) JOIN fold_table USING ({_FIT})
+  WHERE s.n > {_LONG + 2}
+  UNION ALL
+  SELECT {_FIT}, i + 1, c + phi1 * y + phi2 * y1 + theta * e, y, 0.0, c, phi1, phi2, theta, stop
+  FROM steps WHERE i < stop)"""
+
+
+def _additive_answers_sql() -> str:
+    trend = "(epoch(slot) - epoch(t0)) / (epoch(t1) - epoch(t0))"
+    phase = "2 * pi() * epoch(slot - date_trunc('day', slot)) / 86400"
+    terms = [f"greatest({trend} - {j} / 6.0, 0) AS bend{j}" for j in range(1, 6)]
+    terms += [f"{f}({phase} * {k}) AS {f}{k}" for k in range(1, 5) for f in ("sin", "cos")]
+    names = ["trend", *(f"bend{j}" for j in range(1, 6)), *(f"{f}{k}" for k in range(1, 5) for f in ("sin", "cos")), *_SIX]
+    means = ", ".join(f"avg({c}) AS {c}" for c in _SIX)
+    fill = ", ".join(f"coalesce(r.{c}, u.{c}, m.{c}) AS {c}" for c in _SIX)
+    answer = " + ".join(f"f.b{i} * x.{n}" for i, n in enumerate(names, 1))
+    return f"""
+usable AS (SELECT * FROM train WHERE {' + '.join(_SIX)} IS NOT NULL),
+bounds AS (SELECT {_FIT}, min(slot) AS t0, max(slot) AS t1 FROM usable GROUP BY ALL),
+design AS (
+  SELECT {_FIT}, {trend} AS trend, {', '.join(terms)}, {', '.join(_SIX)}, "power (kW)" AS y
+  FROM usable JOIN bounds USING ({_FIT})),
+{_least_squares("design", ["1.0", *names], "y", "add", [0.0] + [1e-6] * len(names), by=_FIT)},
+latest AS (SELECT {_FIT}, max(slot) AS m FROM train GROUP BY ALL),
+recent AS (
+  SELECT {_FIT}, hour(slot) AS h, {means} FROM train JOIN latest USING ({_FIT})
+  WHERE slot > m - INTERVAL 7 DAY GROUP BY ALL),
+usual AS (SELECT {_FIT}, hour(slot) AS h, {means} FROM train GROUP BY ALL),
+overall AS (SELECT {_FIT}, {means} FROM train GROUP BY ALL),
+weathered AS (
+  SELECT t.*, {fill} FROM (SELECT *, hour(slot) AS h FROM tests) t
+  LEFT JOIN recent r USING ({_FIT}, h) LEFT JOIN usual u USING ({_FIT}, h) LEFT JOIN overall m USING ({_FIT})),
+placed AS (
+  SELECT {_FIT}, slot, {trend} AS trend, {', '.join(terms)}, {', '.join(_SIX)}
+  FROM weathered JOIN bounds USING ({_FIT})),
+additive AS (SELECT {_FIT}, slot, f.b0 + {answer} AS p FROM placed x JOIN add_fit f USING ({_FIT}))"""
+
+
+def _predictions_sql() -> str:
+    told = (("arima", "arima", "arima IS NOT NULL"), ("additive", "additive", "additive IS NOT NULL"), ("random_forest", "CAST(NULL AS DOUBLE)", "true"))
+    each = " UNION ALL ".join(
+        f"SELECT '{m}' AS model, strategy, fold, origin, slot, actual, shared, {given} AS given, {p} - actual AS err, "
+        "CAST(ceil(epoch(slot - origin) / 86400) AS INTEGER) AS lead_day FROM judged"
+        for m, p, given in told
+    )
+    return f"""RECURSIVE {hom(True, "360 MINUTE").strip()},{_fold_table_sql()},{_arima_answers_sql()},{_additive_answers_sql()},
+judged AS (
+  SELECT t.*, s.y AS arima, a.p AS additive, s.y IS NOT NULL AND a.p IS NOT NULL AS shared
+  FROM tests t
+  LEFT JOIN steps s ON s.strategy = t.strategy AND s.fold = t.fold AND s.plant_id = t.plant_id
+    AND s.i = CAST(epoch(t.slot) AS BIGINT) // 21600
+  LEFT JOIN additive a ON a.strategy = t.strategy AND a.fold = t.fold AND a.plant_id = t.plant_id AND a.slot = t.slot),
+each AS ({each}),
+results AS (SELECT model, strategy, fold, {_METRICS} FROM each GROUP BY 1, 2, 3),
 compared AS (
   SELECT model, strategy, count(*) AS folds, avg(mae) AS mae, avg(rmse) AS rmse,
-         stddev_samp(rmse) AS rmse_std, avg(r2) AS r2, avg(bias) AS bias
-  FROM results GROUP BY 1, 2)"""
+         stddev_samp(rmse) AS rmse_std, avg(r2) AS r2, avg(bias) AS bias, 1 AS sound,
+         sum(n) AS n, sum(slots) AS slots, sum(answered) AS answered
+  FROM results WHERE n > 0 GROUP BY 1, 2)"""
 
 
 _METRICS = (
-    "count(*) AS n, avg(abs(err)) AS mae, sqrt(avg(err * err)) AS rmse, "
-    "CASE WHEN var_pop(actual) > 0 THEN 1 - avg(err * err) / var_pop(actual) END AS r2, "
-    "avg(err) AS bias"
+    "count(*) AS slots, count(*) FILTER (given) AS answered, count(*) FILTER (shared) AS n, "
+    "avg(abs(err)) FILTER (shared) AS mae, sqrt(avg(err * err) FILTER (shared)) AS rmse, "
+    "CASE WHEN var_pop(actual) FILTER (shared) > 0 "
+    "THEN 1 - avg(err * err) FILTER (shared) / var_pop(actual) FILTER (shared) END AS r2, "
+    "avg(err) FILTER (shared) AS bias, CASE WHEN count(*) FILTER (shared) > 0 THEN 1 ELSE 0 END AS sound"
 )
-_SCORES = "n:i|mae:f|rmse:f|r2:f|bias:f"
+_COUNTS = "n:i|slots:i|answered:i|sound:i"
+_SCORES = f"{_COUNTS}|mae:f|rmse:f|r2:f|bias:f"
 
 for _name in ("eval_metrics", "sink_results"):
     oracle(
@@ -489,34 +575,28 @@ oracle(
     "compare_models",
     _predictions_sql(),
     "SELECT * FROM compared",
-    "model:s|strategy:s|folds:i|mae:f|rmse:f|rmse_std:f|r2:f|bias:f",
+    f"model:s|strategy:s|folds:i|{_SCORES}|rmse_std:f",
 )
 oracle(
     "horizon_decay",
     _predictions_sql(),
-    f"SELECT model, lead_day, {_METRICS} FROM pairs GROUP BY 1, 2",
+    f"SELECT model, lead_day, {_METRICS} FROM each GROUP BY 1, 2",
     f"model:s|lead_day:i|{_SCORES}",
 )
 oracle(
     "select_final",
     _predictions_sql(),
-    """SELECT * FROM (
+    """SELECT *, 1 AS final_no_worse FROM (
   SELECT model, avg(rmse) AS rmse, avg(rmse_std) AS rmse_std, avg(mae) AS mae
-  FROM compared GROUP BY 1)
+  FROM compared WHERE model <> 'random_forest' GROUP BY 1)
 ORDER BY rmse, rmse_std NULLS LAST, model LIMIT 1""",
-    "model:s|rmse:f|rmse_std:f|mae:f",
-)
-
-_TESTED = " UNION ALL ".join(
-    f"""SELECT '{name}' AS strategy, fold, count(*) AS slots
-  FROM ({_folds_sql("hom", k, 2, window)}) WHERE rol = 'test' GROUP BY fold"""
-    for name, k, window in (("holdout", 1, None), ("expanding", 2, None), ("sliding", 2, 10))
+    "model:s|rmse:f|rmse_std:f|mae:f|final_no_worse:i",
 )
 oracle(
     "compare_candidates",
-    hom(True, _HOUR) + f",tested AS ({_TESTED})",
-    """SELECT m.model, strategy, fold, slots, 1 AS same_slots
-FROM tested, (VALUES ('arima'), ('additive'), ('random_forest')) m(model)""",
+    hom(True, "360 MINUTE") + "," + _fold_table_sql(),
+    """SELECT m.model, strategy, fold, count(*) AS slots, 1 AS same_slots
+FROM tests, (VALUES ('arima'), ('additive'), ('random_forest')) m(model) GROUP BY ALL""",
     "model:s|strategy:s|fold:i|slots:i|same_slots:i",
 )
 
@@ -549,7 +629,13 @@ LEFT JOIN hom b ON f.plant_id = b.plant_id AND f.slot = b.slot + INTERVAL 2 DAY
 LEFT JOIN usual u ON f.plant_id = u.plant_id AND hour(f.slot) = u.h""",
     f"{_KEY}|{_ENERGY}|{_WX}|{_CAL}",
 )
-oracle("forecast_or_fallback", _inputs_sql(), "SELECT * FROM prov", _FORECAST_COLUMNS)
+oracle(
+    "forecast_or_fallback",
+    hom(True, _HOUR) + "," + _PROVISIONAL.format(days=1, history="hom"),
+    """SELECT plant_id, slot, CASE WHEN plant_id = 'P3' THEN modo ELSE 'modelo' END AS modo,
+       CASE WHEN plant_id = 'P3' THEN prediccion END AS prediccion, 1 AS inside FROM prov""",
+    f"{_KEY}|modo:s|prediccion:f|inside:i",
+)
 oracle(
     "economic_estimate",
     gen(),
@@ -573,7 +659,8 @@ oracle(
     "fit_random_forest",
     hom(True, _HOUR),
     """SELECT plant_id, slot, "power (kW)" AS actual, 1 AS answered, 1 AS inside, 1 AS same_seed
-FROM hom WHERE slot > (SELECT max(slot) FROM hom) - INTERVAL 6 DAY""",
+FROM hom JOIN (SELECT plant_id, max(slot) AS m FROM hom GROUP BY 1) e USING (plant_id)
+WHERE slot > m - INTERVAL 6 DAY""",
     f"{_FACTS}|same_seed:i",
 )
 oracle(

@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 from heliospark.driver import tables as t
 from heliospark.driver.present import present
 from heliospark.functions import calendar
-from heliospark.functions.timegrid import days_before
 from heliospark.models import additive, arima, forest
 from heliospark.operators import aggregates, clean, economics, evaluate, splits, views
 from heliospark.operators import forecast as fc
 from heliospark.operators.fill import fill_inputs
 from heliospark.operators.align import align_generation, align_weather, homogenise
-from heliospark.operators.lags import lag_days
 from heliospark.plans import pipeline
 from heliospark.schema import (
     CALENDAR,
@@ -44,6 +42,8 @@ START, END = "2024-01-08", "2024-01-21"
 TARIFF = 2.5
 RF_PARAMS = {"numTrees": 20, "maxDepth": 6}
 HOLDOUT_DAYS = 6
+#: Grid and horizon on which the three forecasters are compared.
+EVALUATED, HORIZON_DAYS = "6 hours", 2
 
 
 def query(name: str):
@@ -70,20 +70,29 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], ob
         return _stored[key]
 
 
+def _label(name: str, options: dict) -> str:
+    return "-".join([name, *(str(v).replace(" ", "-") for v in options.values())])
+
+
 def _by_day(spark: SparkSession, sf_dir: str, name: str, rows: Callable[..., DataFrame], **options) -> DataFrame:
     """Aligned readings as the library stores them: by day, so that ranges of time prune the scan."""
 
     def write(path: str) -> None:
         writers.write_stage(rows(spark, sf_dir, **options), "rows", path, by_day=True)
 
-    label = "-".join([name, *(str(v).replace(" ", "-") for v in options.values())])
-    return readers.read_stage(spark, "rows", _once(spark, sf_dir, label, write))
+    return readers.read_stage(spark, "rows", _once(spark, sf_dir, _label(name, options), write))
 
 
 def _power(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return _by_day(spark, sf_dir, "power", t.power, **options)
 
 
+def _power_ends(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """Where each series of the stored power ends, as the write has kept it."""
+    folder = _once(spark, sf_dir, _label("power", options), lambda path: None)
+    return readers.load_ends(spark, readers.stage_path(spark, "rows", folder))
+
+
 # --- Sources. Files are first written from the tables, then read back. ---
 
 
@@ -116,11 +125,31 @@ def _weather_files(spark: SparkSession, sf_dir: str) -> str:
     return _once(spark, sf_dir, "weather", writer.text)
 
 
+def _mixed_files(spark: SparkSession, sf_dir: str) -> str:
+    """The exports of two plants as a file for each document, those of the others as files of many lines."""
+    documents = readers.good_rows(readers.read_generation(spark, _generation_files(spark, sf_dir)))
+    text = F.to_json(F.struct(*RAW_SCALARS, F.from_json(RAW_SERIES, "map<string,double>").alias(RAW_SERIES))).alias("value")
+    alone = F.col(PLANT).isin("P0", "P1")
+
+    def write(path: str) -> None:
+        rows = documents.select(PLANT, text).repartition(4, PLANT)
+        rows.where(alone).write.partitionBy(PLANT).option("maxRecordsPerFile", 1).text(path)
+        rows.where(~alone).write.mode("append").partitionBy(PLANT).text(path)
+
+    return _once(spark, sf_dir, "mixed", write)
+
+
 @query("src_generation_json")
 def src_generation_json(spark, sf_dir):
-    raw = readers.read_generation(spark, _generation_files(spark, sf_dir))
+    """Documents of both kinds of files, scalars and series."""
+    raw = readers.read_generation(spark, _mixed_files(spark, sf_dir), multi_line=None)
+    series = F.from_json(RAW_SERIES, "map<string,double>")
     return readers.good_rows(raw).select(
-        PLANT, *[F.col(c).try_cast("double").alias(c) for c in RAW_SCALARS]
+        PLANT,
+        *[F.col(c).try_cast("double").alias(c) for c in RAW_SCALARS],
+        F.size(series).alias("records"),
+        F.array_join(F.array_sort(F.map_keys(series)), ",").alias("times"),
+        F.aggregate(F.map_values(series), F.lit(0.0), lambda a, b: a + b).alias("total"),
     )
 
 
@@ -203,7 +232,8 @@ def export_climate_csv(spark, sf_dir):
 
 def _provisional(spark: SparkSession, sf_dir: str, days: int = 3) -> DataFrame:
     history = _power(spark, sf_dir, step=HOUR)
-    return fc.provisional(history, fc.horizon(history, days, HOUR))
+    ends = _power_ends(spark, sf_dir, step=HOUR)
+    return fc.provisional(history, fc.horizon(history, days, HOUR, ends=ends), ends=ends)
 
 
 @query("export_forecast_csv")
@@ -214,8 +244,8 @@ def export_forecast_csv(spark, sf_dir):
 @query("sink_results")
 def sink_results(spark, sf_dir):
     path = new_folder(spark, "results")
-    writers.write_metrics(_fold_metrics(spark, sf_dir), path)
-    return spark.read.parquet(path).drop("stored_at")
+    writers.write_metrics(pipeline.scores(_predictions(spark, sf_dir)), path)
+    return _checkable(spark.read.parquet(path).drop("stored_at"))
 
 
 # --- Cleaning ---
@@ -282,7 +312,9 @@ def filter_dates(spark, sf_dir):
 
 @query("filter_hours")
 def filter_hours(spark, sf_dir):
-    return views.filter_hours(t.power(spark, sf_dir), 6, 18)
+    """Of stored slots, whose hour is a column that reaches the scan."""
+    rows = _by_day(spark, sf_dir, "hours", lambda *at: calendar.feat_hora(t.power(*at)))
+    return views.filter_hours(rows, 6, 18).select(PLANT, SLOT, POWER)
 
 
 @query("filter_dates_climate")
@@ -319,17 +351,17 @@ def view_full(spark, sf_dir):
 
 @query("view_last7")
 def view_last7(spark, sf_dir):
-    return views.energy_view(_power(spark, sf_dir), "last7")
+    return views.energy_view(_power(spark, sf_dir), "last7", ends=_power_ends(spark, sf_dir))
 
 
 @query("view_last30")
 def view_last30(spark, sf_dir):
-    return views.energy_view(_power(spark, sf_dir), "last30")
+    return views.energy_view(_power(spark, sf_dir), "last30", ends=_power_ends(spark, sf_dir))
 
 
 @query("history_days")
 def history_days(spark, sf_dir):
-    return views.recent_each(_power(spark, sf_dir), 3).drop(FECHA)
+    return views.recent_each(_power(spark, sf_dir), 3, ends=_power_ends(spark, sf_dir)).drop(FECHA)
 
 
 # --- Alignment and join ---
@@ -353,7 +385,7 @@ def homogenise_query(spark, sf_dir):
 @query("history_vs_forecast")
 def history_vs_forecast(spark, sf_dir):
     history = _power(spark, sf_dir, step=HOUR)
-    return views.history_vs_forecast(history, _provisional(spark, sf_dir), 7)
+    return views.history_vs_forecast(history, _provisional(spark, sf_dir), 7, ends=_power_ends(spark, sf_dir, step=HOUR))
 
 
 # --- Calendar features ---
@@ -458,6 +490,11 @@ def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.load_dataset(spark, path)
 
 
+def _history_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each series of ``_history`` ends; ask for the history first."""
+    return readers.load_ends(spark, _once(spark, sf_dir, "hourly", lambda out: None))
+
+
 def _saved_model(spark: SparkSession, sf_dir: str) -> str:
     """Path of a forest trained on these tables."""
     history = _history(spark, sf_dir)
@@ -498,8 +535,8 @@ def _training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fit_random_forest(spark, sf_dir):
     """Answers for the last days by a forest that never saw them; the same seed gives the same ones."""
     rows = _training_rows(spark, sf_dir)
-    latest = rows.agg(F.max(SLOT)).first()[0]
-    fold = splits.fold_bounds(latest, 1, HOLDOUT_DAYS, "holdout")[0]
+    table = splits.fold_table(views.series_ends(rows), 1, HOLDOUT_DAYS, ("holdout",))
+    fold = splits.read_folds(table)[0]
     train, test = fold.train(rows), fold.test(rows)
     first, second = (forest.fit_rf(train, params=RF_PARAMS) for _ in range(2))
     again = second.transform(test).select(PLANT, SLOT, F.col("prediccion").alias("_again"))
@@ -534,9 +571,7 @@ def fit_additive(spark, sf_dir):
     rows = homogenise(
         t.power(spark, sf_dir, step=HOUR), t.weather(spark, sf_dir, step=HOUR).select(PLANT, SLOT, "ghi")
     )
-    spec = additive.training_spec(
-        rows, fourier={"day": 1}, changepoints=1, regressors=["ghi"], ridge=0.01
-    )
+    spec = additive.AdditiveSpec(fourier={"day": 1}, changepoints=1, regressors=["ghi"], ridge=0.01)
     return additive.named_coefficients(additive.fit_additive(rows, spec), spec)
 
 
@@ -559,78 +594,79 @@ def split_sliding(spark, sf_dir):
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two plain forecasters under three strategies, on hourly power."""
-    rows = lag_days(t.power(spark, sf_dir, step=HOUR), {POWER: "persistencia"}, 4)
-    rows = splits.folds(rows, 3, 4, "expanding")
-    # The folds of all strategies share their origins: the last one is the
-    # holdout's, and the sliding ones train on fewer days.
-    in_window = (F.col("rol") == "test") | (F.col(SLOT) > days_before(F.col("origin"), 10))
-    serves = F.array(
-        F.struct(F.lit("expanding").alias("strategy"), F.col("fold")),
-        F.when(F.col("fold") == 3, F.struct(F.lit("holdout").alias("strategy"), F.lit(1).alias("fold"))),
-        F.when(in_window, F.struct(F.lit("sliding").alias("strategy"), F.col("fold"))),
-    )
-    folded = rows.withColumn("_as", F.explode(F.array_compact(serves))).withColumns(
-        {"strategy": F.col("_as.strategy"), "fold": F.col("_as.fold")}
-    )
-    folded = folded.withColumn("_minute", calendar.minute_of_day())
-    group = ["strategy", "fold", PLANT, "_minute"]
-    usual = folded.where(F.col("rol") == "train").groupBy(*group).agg(F.avg(POWER).alias("patron"))
-    known = folded.where(F.col("rol") == "test").join(usual, group, "left")
-    both = F.array(
-        *[
-            F.struct(F.lit(m).alias("model"), F.col(m).alias("prediction"))
-            for m in ("persistencia", "patron")
-        ]
-    )
-    return known.select(
-        "strategy", "fold", "origin", PLANT, SLOT, F.col(POWER).alias("actual"), F.inline(both)
-    )
+    """Answers of the three forecasters, with the library's defaults, on a grid of six hours.
+
+    Several queries read them; they are made once for each session and tables.
+    """
+    rows = t.homogenised(spark, sf_dir, many=True, step=EVALUATED)
+    path = _once(spark, sf_dir, "evaluated", lambda out: writers.write_dataset(rows, out))
+    store = _once(spark, sf_dir, "evaluations", lambda out: None)
+    dataset = readers.load_dataset(spark, path)
+    with _stored_lock:
+        return spark.read.parquet(
+            pipeline.evaluate_candidates(dataset, HORIZON_DAYS, step=EVALUATED, parallelism=4, store=store)
+        )
+
 
+def _checkable(table: DataFrame) -> DataFrame:
+    """The errors as far as SQL can follow: a forest's are NULL (``candidate_scores`` has them).
 
-def _fold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.metrics(_predictions(spark, sf_dir), ("model", "strategy", "fold"))
+    ``sound``: no bias above the mean error, no mean error above the root of
+    the mean square, no R2 above one.
+    """
+    errors = ["mae", "rmse", "rmse_std", "r2", "bias"]
+    sound = (F.abs("bias") <= F.col("mae") + 1e-9) & (F.col("mae") <= F.col("rmse") + 1e-9) & (F.coalesce("r2", F.lit(0.0)) <= 1)
+    hidden = {c: F.when(F.col("model") != "random_forest", F.col(c)) for c in errors if c in table.columns}
+    return table.withColumn("sound", F.coalesce(sound, F.lit(False)).cast("int")).withColumns(hidden)
 
 
 @query("eval_metrics")
 def eval_metrics(spark, sf_dir):
-    return _fold_metrics(spark, sf_dir)
+    return _checkable(pipeline.scores(_predictions(spark, sf_dir)))
 
 
 @query("compare_models")
 def compare_models(spark, sf_dir):
-    return evaluate.compare_models(_fold_metrics(spark, sf_dir))
+    return _checkable(pipeline.comparison(_predictions(spark, sf_dir)))
 
 
 @query("horizon_decay")
 def horizon_decay(spark, sf_dir):
-    return evaluate.horizon_decay(evaluate.lead_day(_predictions(spark, sf_dir)))
+    return _checkable(pipeline.decay(_predictions(spark, sf_dir)))
 
 
 @query("select_final")
 def select_final(spark, sf_dir):
-    return evaluate.select_final(evaluate.compare_models(_fold_metrics(spark, sf_dir)))
+    """The better of the two that SQL can follow, and whether the choice among all three is no worse."""
+    table = pipeline.comparison(_predictions(spark, sf_dir))
+    chosen = evaluate.select_final(table).select(F.col("rmse").alias("_rmse"), F.col("model").alias("_model"))
+    followed = evaluate.select_final(table.where("model <> 'random_forest'"))
+    no_worse = (F.col("_rmse") <= F.col("rmse")) & ((F.col("_model") == F.col("model")) | (F.col("_model") == "random_forest"))
+    # One row each.
+    return followed.crossJoin(chosen).select("model", "rmse", "rmse_std", "mae", no_worse.cast("int").alias("final_no_worse"))
+
+
+@query("candidate_scores")
+def candidate_scores(spark, sf_dir):
+    """All errors of all three forecasters, the forest's too."""
+    return pipeline.scores(_predictions(spark, sf_dir))
+
+
+@query("candidate_choice")
+def candidate_choice(spark, sf_dir):
+    """The final model among the three."""
+    return pipeline.choose(_predictions(spark, sf_dir))
 
 
 @query("compare_candidates")
 def compare_candidates(spark, sf_dir):
     """The three forecasters over all strategies: test slots of each fit, and whether every
     model is scored on the same ones."""
-    predictions = spark.read.parquet(
-        pipeline.evaluate_candidates(
-            _history(spark, sf_dir), 2, k=2, window_days=10, step=HOUR, forest_params={"numTrees": 5, "maxDepth": 4},
-            arima_options={"p": 1, "d": 0, "q": 0, "long_ar": 1},
-            additive_options={"fourier": {"day": 1}, "changepoints": 0, "regressors": ("ghi",), "ridge": 0.01},
-            parallelism=4,
-        )
-    )
-    fit = ["model", "strategy", "fold"]
-    shared = pipeline.common_slots(pipeline.under(predictions, "reciente"))
-    scored = evaluate.metrics(shared, fit).select(*fit, "n")
-    least = scored.groupBy("strategy", "fold").agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
-    same = scored.join(least, ["strategy", "fold"]).withColumn("same_slots", (F.col("_least") == F.col("_most")).cast("int"))
-    return pipeline.answered(predictions).join(same, fit, "left").select(
-        *fit, "slots", F.coalesce("same_slots", F.lit(0)).alias("same_slots")
+    judged = pipeline.scores(_predictions(spark, sf_dir))
+    least = judged.groupBy("strategy", "fold").agg(F.min("n").alias("_least"), F.max("n").alias("_most"))
+    same = judged.join(least, ["strategy", "fold"])
+    return same.select(
+        "model", "strategy", "fold", "slots", ((F.col("_least") == F.col("_most")) & (F.col("n") > 0)).cast("int").alias("same_slots")
     )
 
 
@@ -673,7 +709,7 @@ def future_horizon(spark, sf_dir):
 @query("inference_inputs")
 def inference_inputs(spark, sf_dir):
     history = _history(spark, sf_dir)
-    ends = views.series_ends(history)
+    ends = _history_ends(spark, sf_dir)
     return fc.inputs(history, fc.slots_after(ends, 2, HOUR), 2, ends=ends)
 
 
@@ -682,8 +718,9 @@ def forecast(spark, sf_dir):
     """Every slot of every plant's next day has an answer among the training targets."""
     history = _history(spark, sf_dir)
     model = forest.load_model(_saved_model(spark, sf_dir))
-    answers = fc.forecast(history, model, 1, HOUR).drop("modo")
-    asked = fc.horizon(history, 1, HOUR).join(answers, [PLANT, SLOT], "left")
+    ends = _history_ends(spark, sf_dir)
+    answers = fc.forecast(history, model, 1, HOUR, ends=ends).drop("modo")
+    asked = fc.horizon(history, 1, HOUR, ends=ends).join(answers, [PLANT, SLOT], "left")
     return _facts(asked, _training_rows(spark, sf_dir), "")
 
 
@@ -694,9 +731,17 @@ def forecast_fallback(spark, sf_dir):
 
 @query("forecast_or_fallback")
 def forecast_or_fallback(spark, sf_dir):
-    """No model lies at this path, so the recent pattern answers."""
+    """One plant's irradiance was never measured, so the recent pattern answers for it, the model for the others.
+
+    The model's answers are told as lying among the training targets or not.
+    """
     history = _history(spark, sf_dir)
-    return fc.forecast_safe(history, new_folder(spark, "no-model"), 2, HOUR).predictions
+    blind = history.withColumn("ghi", F.when(F.col(PLANT) != "P3", F.col("ghi")))
+    ends = _history_ends(spark, sf_dir)
+    answers = fc.forecast_safe(blind, _saved_model(spark, sf_dir), 1, HOUR, ends=ends).predictions
+    facts = _facts(answers, _training_rows(spark, sf_dir), "").drop("answered")
+    told = F.when(F.col("modo") == fc.PROVISIONAL_MODE, F.col("prediccion")).alias("prediccion")
+    return answers.select(PLANT, SLOT, "modo", told).join(facts, [PLANT, SLOT])
 
 
 @query("model_status")
@@ -704,7 +749,8 @@ def model_status(spark, sf_dir):
     """The outcomes: a stored model, a path without one, and a horizon beyond the model's."""
     history = _history(spark, sf_dir)
     stored, none = _saved_model(spark, sf_dir), new_folder(spark, "no-model")
-    good, bad, far = (fc.forecast_safe(history, *asked, HOUR).status() for asked in ((stored, 1), (none, 1), (stored, 3)))
+    ends = _history_ends(spark, sf_dir)
+    good, bad, far = (fc.forecast_safe(history, *asked, HOUR, ends=ends).status() for asked in ((stored, 1), (none, 1), (stored, 3)))
     return good.unionByName(bad).unionByName(far)
 
 
@@ -737,6 +783,7 @@ def prepare(spark: SparkSession, sf_dir: str) -> dict[str, float]:
         "hourly dataset": lambda: _history(spark, sf_dir),
         "model inputs": lambda: _training_rows(spark, sf_dir),
         "model": lambda: _saved_model(spark, sf_dir),
+        "evaluation of three forecasters": lambda: _predictions(spark, sf_dir),
     }
     seconds = {}
     for name, step in steps.items():

@@ -6,7 +6,6 @@ regression on summed products and applied by the same expressions.
 
 from __future__ import annotations
 
-import datetime as dt
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
@@ -19,14 +18,14 @@ from heliospark.models.linear import dot, least_squares
 from heliospark.schema import KEYS, POWER, SLOT
 
 PERIOD_DAYS = {"day": 1.0, "week": 7.0, "year": 365.25}
+#: Bounds of a series' training time.
+START, END = "_train_start", "_train_end"
 
 
 @dataclass(frozen=True)
 class AdditiveSpec:
-    """What the design holds; ``start`` and ``end`` bound the training time."""
+    """What the design holds. Trend and knots are scaled to each series' own training time."""
 
-    start: dt.datetime
-    end: dt.datetime
     fourier: Mapping[str, int] = field(default_factory=lambda: {"day": 4})
     changepoints: int = 5
     regressors: Sequence[str] = ()
@@ -36,22 +35,20 @@ class AdditiveSpec:
         unknown = set(self.fourier) - set(PERIOD_DAYS)
         if unknown:
             raise ValueError(f"unknown seasons {sorted(unknown)}")
-        if self.end <= self.start:
-            raise ValueError("training time is empty")
 
     def terms(self, ts: str = SLOT) -> dict[str, Column]:
-        """Name to expression, the intercept first."""
-        epoch = self.start.replace(tzinfo=dt.timezone.utc).timestamp()
-        seconds = wall_seconds(ts) - F.lit(epoch)
-        trend = seconds / F.lit((self.end - self.start).total_seconds())
+        """Name to expression over a row and its series' bounds, the intercept first."""
+        seconds = wall_seconds(ts) - wall_seconds(START)
+        length = wall_seconds(END) - wall_seconds(START)
+        # A series of one instant has no trend.
+        trend = F.when(length > 0, seconds / length).otherwise(F.lit(0.0))
         out = {"const": F.lit(1.0), "trend": trend}
         for j in range(1, self.changepoints + 1):
             knot = j / (self.changepoints + 1)
             out[f"bend_{j}"] = F.greatest(trend - F.lit(knot), F.lit(0.0))
-        midnight = self.start.replace(hour=0, minute=0, second=0, microsecond=0)
-        lead = (self.start - midnight).total_seconds()
+        lead = wall_seconds(START) - wall_seconds(F.to_date(START))
         for season, harmonics in self.fourier.items():
-            phase = (seconds + F.lit(lead)) * F.lit(2 * math.pi / (PERIOD_DAYS[season] * 86400))
+            phase = (seconds + lead) * F.lit(2 * math.pi / (PERIOD_DAYS[season] * 86400))
             for k in range(1, harmonics + 1):
                 out[f"{season}_sin_{k}"] = F.sin(phase * k)
                 out[f"{season}_cos_{k}"] = F.cos(phase * k)
@@ -60,24 +57,24 @@ class AdditiveSpec:
         return out
 
 
-def training_spec(df: DataFrame, ts: str = SLOT, **options) -> AdditiveSpec:
-    """A spec whose bounds are those of ``df``; reads them with one action."""
-    bounds = df.agg(F.min(ts).alias("a"), F.max(ts).alias("b")).first()
-    if bounds["a"] is None:
-        raise ValueError("no rows to fit")
-    return AdditiveSpec(bounds["a"], bounds["b"], **options)
-
-
 def fit_additive(
     df: DataFrame,
     spec: AdditiveSpec,
     target: str = POWER,
     keys: Sequence[str] = KEYS,
+    ts: str = SLOT,
 ) -> DataFrame:
-    """One row per series: ``n``, ``coef`` in the order of the terms, ``sigma2``."""
-    xs = list(spec.terms().values())
+    """One row per series: ``n``, ``coef`` in the order of the terms, ``sigma2``, and the bounds of its training time.
+
+    The bounds are those of the rows that have the target and all regressors, so
+    that a series that starts late is fitted as if it were alone.
+    """
+    rows = df.dropna(subset=[target, *spec.regressors])
+    bounds = rows.groupBy(*keys).agg(F.min(ts).alias(START), F.max(ts).alias(END))
+    xs = list(spec.terms(ts).values())
     penalty = [0.0] + [spec.ridge] * (len(xs) - 1)
-    return least_squares(df, keys, xs, F.col(target), penalty)
+    fitted = least_squares(rows.join(bounds, list(keys)), keys, xs, F.col(target), penalty)
+    return fitted.join(bounds, list(keys))
 
 
 def named_coefficients(model: DataFrame, spec: AdditiveSpec, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -90,8 +87,9 @@ def predict_additive(
     model: DataFrame,
     spec: AdditiveSpec,
     keys: Sequence[str] = KEYS,
+    ts: str = SLOT,
 ) -> DataFrame:
-    """Add ``prediccion``; the model holds one row per series."""
-    xs = list(spec.terms().values())
-    joined = df.join(model.select(*keys, "coef"), list(keys), "left")
-    return joined.withColumn("prediccion", dot(F.col("coef"), xs)).drop("coef")
+    """Add ``prediccion``; the model holds one row per series, others get NULL."""
+    xs = list(spec.terms(ts).values())
+    joined = df.join(model.select(*keys, "coef", START, END), list(keys), "left")
+    return joined.withColumn("prediccion", dot(F.col("coef"), xs)).drop("coef", START, END)

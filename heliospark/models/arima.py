@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heliospark.functions.timegrid import from_epoch, seconds_of, wall_seconds
-from heliospark.models.linear import combine, products_schema
+from heliospark.models.linear import combine, products_schema, solve_normal
 from heliospark.operators.lags import halo_blocks
 from heliospark.operators.views import recent_each
 from heliospark.schema import KEYS, POWER, SLOT, STEP
 
 BLOCK_SLOTS = 4096
+#: Modulus up to which a root of the autoregression counts as stable.
+STABLE_ROOT = 0.999
 
 
 @dataclass(frozen=True)
@@ -88,30 +90,48 @@ def _block_products(keys: Sequence[str], order: ArimaOrder, block_slots: int):
     return reduce
 
 
-def _two_stages(products: np.ndarray, order: ArimaOrder) -> tuple[np.ndarray, np.ndarray]:
-    """The long autoregression and the model, from one series' products."""
+def _two_stages(products: np.ndarray, order: ArimaOrder) -> tuple[np.ndarray, np.ndarray, bool]:
+    """The long autoregression and the model, from one series' products, and whether both are the only ones."""
     size = len(products)
     unit = np.eye(size)
     # Variable 0 is the constant, 1 + k the value k slots before.
-    ar = np.empty(0)
+    ar, unique = np.empty(0), True
     innovations = []
     if order.q:
         past = [0, *range(2, 2 + order.long_ar)]
-        ar = _solve(products[np.ix_(past, past)], products[past, 1])
+        ar, unique = solve_normal(products[np.ix_(past, past)], products[past, 1])
         for j in range(1, order.q + 1):
             e = unit[1 + j] - ar[0] * unit[0]
             for k in range(1, order.long_ar + 1):
                 e = e - ar[k] * unit[1 + j + k]
             innovations.append(e)
     terms = np.array([unit[0], *[unit[1 + k] for k in range(1, order.p + 1)], *innovations])
-    return ar, _solve(terms @ products @ terms.T, terms @ products[:, 1])
+    coef, only = solve_normal(terms @ products @ terms.T, terms @ products[:, 1])
+    return ar, coef, unique and only
 
 
-def _solve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    try:
-        return np.linalg.solve(a, b)
-    except np.linalg.LinAlgError:
-        return np.linalg.lstsq(a, b, rcond=None)[0]
+def largest_root(phi: np.ndarray) -> float:
+    """Modulus of the largest root of the autoregression: below one if what is forecast dies down."""
+    if not len(phi):
+        return 0.0
+    companion = np.eye(len(phi), k=-1)
+    companion[0] = phi
+    return float(np.abs(np.linalg.eigvals(companion)).max())
+
+
+def _settled(coef: np.ndarray, p: int, mean: float) -> tuple[np.ndarray, bool]:
+    """The coefficients with all roots within ``STABLE_ROOT``, and whether they were so.
+
+    Roots are drawn in by one factor; the constant is set anew, so that the
+    forecast tends to the series' mean.
+    """
+    root = largest_root(coef[1 : 1 + p])
+    if root <= STABLE_ROOT:
+        return coef, True
+    settled = coef.copy()
+    settled[1 : 1 + p] *= (STABLE_ROOT / root) ** np.arange(1, p + 1)
+    settled[0] = mean * (1 - settled[1 : 1 + p].sum())
+    return settled, False
 
 
 def fit_arima(
@@ -125,11 +145,17 @@ def fit_arima(
     step: str = STEP,
     block_slots: int = BLOCK_SLOTS,
 ) -> DataFrame:
-    """One row per series: ``n``, ``const``, ``phi``, ``theta`` and ``ar``.
+    """One row per series: ``n``, ``const``, ``phi``, ``theta``, ``ar``, ``unique`` and ``stable``.
 
     ``ar`` holds the long autoregression, constant first; it is empty when q is
     0. Slots next to a gap, which lack a full set of lags, are left out. A series
     that has fewer such slots than coefficients has NULL coefficients.
+
+    Where the lags don't determine the coefficients (a noise-free series), they
+    are the smallest ones that fit, and ``unique`` is false. A fit whose forecast
+    would grow or never die down (a unit root) has ``stable`` false; its ``phi``
+    is drawn in to roots of ``STABLE_ROOT``, so that forecasts stay bounded and
+    tend to the series' mean.
     """
     order = ArimaOrder(p, d, q, long_ar, step)
     block_slots = max(block_slots, order.memory)
@@ -143,11 +169,16 @@ def fit_arima(
     )
     series = combine(reduced, keys)
 
-    @F.pandas_udf("ar array<double>, coef array<double>")
+    @F.pandas_udf("ar array<double>, coef array<double>, unique boolean, stable boolean")
     def fit(products: pd.Series) -> pd.DataFrame:
         side = order.lags + 2
-        fits = [_two_stages(np.asarray(m).reshape(side, side), order) for m in products]
-        return pd.DataFrame({"ar": [a.tolist() for a, _ in fits], "coef": [c.tolist() for _, c in fits]})
+        out = []
+        for m in products:
+            sums = np.asarray(m).reshape(side, side)
+            ar, coef, unique = _two_stages(sums, order)
+            coef, stable = _settled(coef, order.p, sums[0, 1] / sums[0, 0])
+            out.append((ar.tolist(), coef.tolist(), unique, stable))
+        return pd.DataFrame(out, columns=["ar", "coef", "unique", "stable"])
 
     enough = series.where(F.col("n") > order.lags + 1).withColumn("_fit", fit("products"))
     fitted = enough.select(*keys, "_fit")
@@ -159,6 +190,8 @@ def fit_arima(
         F.slice("_fit.coef", 2, p).alias("phi"),
         F.slice("_fit.coef", 2 + p, q).alias("theta"),
         "_fit.ar",
+        "_fit.unique",
+        "_fit.stable",
     )
 
 
@@ -211,11 +244,12 @@ def forecast_arima(
     steps: int | None = None,
     target: str = POWER,
     keys: Sequence[str] = KEYS,
-    until: dt.datetime | None = None,
+    until: dt.datetime | DataFrame | None = None,
 ) -> DataFrame:
     """The next slots of each series as ``prediccion``: ``steps`` of them, or all up to ``until``.
 
-    Series without coefficients have no rows.
+    ``until`` is one time, or a table of keys and ``until`` with one for each
+    series. Series without coefficients have no rows.
     """
     if (steps is None) == (until is None):
         raise ValueError("give either steps or until")
@@ -223,16 +257,22 @@ def forecast_arima(
     keyed = _tail(history, target, order, keys).join(
         model.where(F.col("const").isNotNull()).select(*keys, "const", "phi", "theta", "ar"), list(keys)
     )
-    last = None if until is None else int((until - dt.datetime(1970, 1, 1)).total_seconds()) // seconds
+    if isinstance(until, DataFrame):
+        stop = until.select(*keys, F.floor(wall_seconds("until") / seconds).alias("_stop"))
+        keyed = keyed.join(stop, list(keys))
+    elif until is not None:
+        keyed = keyed.withColumn("_stop", F.lit(int((until - dt.datetime(1970, 1, 1)).total_seconds()) // seconds))
     fields = [keyed.schema[k] for k in keys]
     schema = T.StructType(
         [*fields, T.StructField("_i", T.LongType()), T.StructField("prediccion", T.DoubleType())]
     )
 
+    until_given = until is not None
+
     def extend(group: pd.DataFrame) -> pd.DataFrame:
         ordered = group.sort_values("_i")
         first = ordered.iloc[0]
-        ahead = steps if last is None else max(0, last - int(first["_last"]))
+        ahead = max(0, int(first["_stop"]) - int(first["_last"])) if until_given else steps
         path = _recursion(ordered, order, ahead)
         out = pd.DataFrame({"_i": int(first["_last"]) + 1 + np.arange(ahead), "prediccion": path})
         for k in keys:

@@ -18,6 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Shares into which the matrices of a series are added up first.
+FAN = 64
+#: Share of the greatest eigenvalue below which a direction counts as not observed.
+RANK_TOLERANCE = 1e-12
+
+
 def products_schema(rows: DataFrame, keys: Sequence[str]) -> T.StructType:
     return T.StructType(
         [
@@ -74,18 +80,40 @@ def moments(rows: DataFrame, keys: Sequence[str], terms: Column, size: int) -> D
     return combine(in_order.mapInArrow(reduce, products_schema(rows, keys)), keys)
 
 
-def combine(partial: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add up matrices of the same series; there are at most as many as tasks or blocks."""
+def combine(partial: DataFrame, keys: Sequence[str], fan: int = FAN) -> DataFrame:
+    """Add up matrices of the same series, of which there may be one for each task or block.
+
+    First within ``fan`` shares of the tasks that made them, then over the
+    shares, so that no group receives a matrix from every task.
+    """
 
     def add(group: pa.Table) -> pa.Table:
         flat = group["products"].combine_chunks().flatten().to_numpy()
         total = flat.reshape(group.num_rows, -1).sum(axis=0)
         columns = [group[k].slice(0, 1) for k in keys]
-        columns += [pa.array([sum(group["n"].to_pylist())], pa.int64()), pa.array([total], pa.list_(pa.float64()))]
+        columns += [pa.array([sum(group["n"].to_pylist())], pa.int64()), pa.array([total], group.schema.field("products").type)]
         return pa.table(columns, names=[*keys, "n", "products"])
 
     ordered = partial.select(*keys, "n", "products")
-    return ordered.groupBy(*keys).applyInArrow(add, ordered.schema)
+    share = F.pmod(F.spark_partition_id(), F.lit(fan)).alias("_share")
+    first = ordered.select("*", share).groupBy(*keys, "_share").applyInArrow(lambda g: add(g.drop_columns(["_share"])), ordered.schema)
+    return first.groupBy(*keys).applyInArrow(add, ordered.schema)
+
+
+def solve_normal(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Solution of normal equations, and whether it is the only one.
+
+    The rank is that of the matrix scaled to a unit diagonal: eigenvalues below
+    ``RANK_TOLERANCE`` of the greatest count as zero. Without full rank, the
+    solution is the smallest one in the scaled terms, which no rounding sways.
+    """
+    scale = np.sqrt(np.where(np.diag(a) > 0, np.diag(a), 1.0))
+    values, vectors = np.linalg.eigh(a / np.outer(scale, scale))
+    kept = values > RANK_TOLERANCE * max(values[-1], 0.0)
+    if len(values) and kept.all():
+        return np.linalg.solve(a, b), True
+    basis = vectors[:, kept]
+    return (basis @ ((basis.T @ (b / scale)) / values[kept])) / scale, False
 
 
 def solve(sums: DataFrame, keys: Sequence[str], size: int, ridge: Sequence[float] | None = None) -> DataFrame:
@@ -105,10 +133,7 @@ def solve(sums: DataFrame, keys: Sequence[str], size: int, ridge: Sequence[float
             full = np.triu(full) + np.triu(full, 1).T
             a = full[:size, :size] + np.diag(penalty * count)
             b = full[:size, size]
-            try:
-                beta = np.linalg.solve(a, b)
-            except np.linalg.LinAlgError:
-                beta = np.linalg.lstsq(a, b, rcond=None)[0]
+            beta, _ = solve_normal(a, b)
             sse = full[size, size] - 2 * beta @ b + beta @ full[:size, :size] @ beta
             coefs.append(beta.tolist())
             variances.append(max(sse, 0.0) / max(count - size, 1))

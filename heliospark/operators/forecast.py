@@ -17,8 +17,8 @@ from heliospark.functions.calendar import features_all, minute_of_day
 from heliospark.models.forest import load_contract, load_model
 from heliospark.operators.fill import fill_inputs, usual_day
 from heliospark.operators.lags import shift_days
-from heliospark.operators.views import END, recent_each, series_ends
-from heliospark.schema import ENERGY, FEATURES, FECHA, KEYS, POWER, SLOT, STEP, WEATHER
+from heliospark.operators.views import recent_each, series_ends
+from heliospark.schema import END, ENERGY, FEATURES, FECHA, KEYS, POWER, SLOT, STEP, WEATHER
 from heliospark.session import new_folder
 
 log = logging.getLogger(__name__)
@@ -29,10 +29,14 @@ PATTERN_DAYS = 7
 
 
 def horizon(
-    df: DataFrame, days: int, step: str = STEP, keys: Sequence[str] = KEYS
+    df: DataFrame,
+    days: int,
+    step: str = STEP,
+    keys: Sequence[str] = KEYS,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """The slots of the next ``days`` days, after each series' latest slot."""
-    return slots_after(series_ends(df, keys=keys), days, step, keys)
+    return slots_after(series_ends(df, keys=keys) if ends is None else ends, days, step, keys)
 
 
 def slots_after(
@@ -168,12 +172,14 @@ def forecast_safe(
     keys: Sequence[str] = KEYS,
     as_of: dt.datetime | None = None,
     origin: dt.datetime | None = None,
+    ends: DataFrame | None = None,
 ) -> ForecastResult:
     """The model's forecast, or the provisional one where it cannot be had.
 
     Every series of the history gets a row for each slot, however long it has
     been silent: after its own end, or after ``origin``. Slots after ``as_of``
-    are not looked at. Inference fails only once it runs, so the forecast is
+    are not looked at; ``ends`` spares the search for the ends where they are
+    stored (``readers.load_ends``). Inference fails only once it runs, so the forecast is
     kept and counted by one action inside the guard. A series with fewer
     answers than slots gets the provisional forecast whole; the others keep the
     model's. A model answers no further ahead than the lag it was trained with.
@@ -181,7 +187,8 @@ def forecast_safe(
     spark = history.sparkSession
     # One row a series, stored: every range below starts from it.
     folder = new_folder(spark, "ends")
-    series_ends(history, keys=keys, as_of=as_of).write.parquet(folder)
+    found = series_ends(history, keys=keys, as_of=as_of) if ends is None else ends
+    found.write.parquet(folder)
     ends = spark.read.parquet(folder)
     if ends.isEmpty():
         raise ValueError("there is no history to forecast from")

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliospark.functions.timegrid import days_before
-from heliospark.schema import FECHA, KEYS, POWER, SLOT, WEATHER
+from heliospark.schema import END, FECHA, KEYS, POWER, SLOT, WEATHER
 
-#: Column of a series' latest slot.
-END = "_end"
 ENERGY_VIEWS = ("full", "daily_mean", "daily_max", "last7", "last30")
 
 
@@ -101,6 +101,22 @@ def series_ends(
     return df.groupBy(*keys).agg(F.max(ts).alias(END))
 
 
+def day_spans(ends: DataFrame, days: int) -> list[tuple[dt.date, dt.date]]:
+    """The days that trailing views of ``days`` days open, as spans that don't touch; reads the ends with one action.
+
+    There are no more spans than days on which some series ended.
+    """
+    last = sorted(r[0] for r in ends.select(F.to_date(END)).distinct().collect() if r[0] is not None)
+    spans: list[tuple[dt.date, dt.date]] = []
+    for end in last:
+        first = end - dt.timedelta(days=days)
+        if spans and first <= spans[-1][1] + dt.timedelta(days=1):
+            spans[-1] = (spans[-1][0], end)
+        else:
+            spans.append((first, end))
+    return spans
+
+
 def recent_each(
     df: DataFrame,
     days: int,
@@ -113,13 +129,19 @@ def recent_each(
 
     One series' wrong clock cannot empty the others, and a series that fell
     silent keeps its last days. ``ends`` (one row a series) may be given where
-    several ranges of the same data are asked for. On data stored by day the
-    earliest end bounds the scan.
+    several ranges of the same data are asked for, or where they are stored
+    (``readers.load_ends``). On data stored by day, given ends bound the scan to
+    the days that some series asks for, so that one that has been silent for
+    years opens its own last days and not those between; ends that must be found
+    first bound it by the earliest.
     """
     if days <= 0:
         raise ValueError("days must be positive")
-    ends = series_ends(df, ts, keys, as_of) if ends is None else ends
-    if FECHA in df.columns:
+    given, ends = ends is not None, series_ends(df, ts, keys, as_of) if ends is None else ends
+    if FECHA in df.columns and given:
+        asked = [F.col(FECHA).between(F.lit(a), F.lit(b)) for a, b in day_spans(ends, days)]
+        df = df.where(functools.reduce(operator.or_, asked, F.lit(False)))
+    elif FECHA in df.columns:
         first = ends.agg(F.to_date(days_before(F.min(END), days)).alias("first")).scalar()
         df = df.where(F.col(FECHA) >= first)
     kept = df.join(ends, list(keys)).where(
@@ -139,16 +161,22 @@ def energy_view(
     target: str = POWER,
     keys: Sequence[str] = KEYS,
     of: DataFrame | None = None,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
-    """One of the five views of the energy history, in time order."""
+    """One of the five views of the energy history, in time order.
+
+    Trailing views count back from ``ends``, or from those of ``of``, or of ``df`` itself.
+    """
+    if ends is None and of is not None and view in ("last7", "last30"):
+        ends = series_ends(of, keys=keys)
     if view == "daily_mean":
         return daily(df, F.avg(target).alias(target), keys=keys).orderBy(FECHA, *keys)
     if view == "daily_max":
         return daily(df, F.max(target).alias(target), keys=keys).orderBy(FECHA, *keys)
     if view == "last7":
-        df = recent_each(df, 7, keys=keys, ends=None if of is None else series_ends(of, keys=keys))
+        df = recent_each(df, 7, keys=keys, ends=ends)
     elif view == "last30":
-        df = recent_each(df, 30, keys=keys, ends=None if of is None else series_ends(of, keys=keys))
+        df = recent_each(df, 30, keys=keys, ends=ends)
     elif view != "full":
         raise ValueError(f"view must be one of {ENERGY_VIEWS}")
     return df.select(*keys, SLOT, target).orderBy(SLOT, *keys)
@@ -198,9 +226,10 @@ def history_vs_forecast(
     days: int,
     target: str = POWER,
     keys: Sequence[str] = KEYS,
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """Recent history and forecast as one long series, told apart by ``serie``."""
-    past = recent_each(history, days, keys=keys).select(
+    past = recent_each(history, days, keys=keys, ends=ends).select(
         *keys, SLOT, F.col(target).alias("valor"), F.lit("historico").alias("serie")
     )
     future = forecast.select(

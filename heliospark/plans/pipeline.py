@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping, Sequence
+import hashlib
+import json
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,13 +24,12 @@ from heliospark.operators.evaluate import (
 )
 from heliospark.operators.fill import fill_inputs
 from heliospark.operators.forecast import slot_pattern
-from heliospark.operators.splits import Fold, fold_bounds
-from heliospark.operators.views import read_latest, recent
+from heliospark.operators.splits import STRATEGIES, Fold, fold_table, now, read_folds
+from heliospark.operators.views import read_latest, recent, series_ends
 from heliospark.schema import DEFAULT_PLANT, ENERGY, KEYS, PLANT, POWER, RAW_PERIOD_END, SLOT, STEP, WEATHER
-from heliospark.session import new_folder
+from heliospark.session import is_whole, new_folder
 from heliospark.sources import readers, writers
 
-STRATEGIES = ("holdout", "expanding", "sliding")
 MODELS = ("arima", "additive", "random_forest")
 
 
@@ -163,14 +164,14 @@ def train_final(
 def _arima_predictions(train, tests: DataFrame, fold: Fold, step, keys, options) -> DataFrame:
     order = arima.ArimaOrder(step=step, **options)
     model = arima.fit_arima(train, keys=keys, step=step, **options)
-    path = arima.forecast_arima(train, model, order, until=fold.test_to, keys=keys)
+    until = fold.bounds.select(*keys, F.col("test_to").alias("until"))
+    path = arima.forecast_arima(train, model, order, until=until, keys=keys)
     return tests.select(*keys, SLOT).distinct().join(path, [*keys, SLOT])
 
 
 def _additive_predictions(train, tests: DataFrame, keys, options) -> DataFrame:
-    rows = train.dropna(subset=[POWER, *options.get("regressors", ())])
-    spec = additive.training_spec(rows, **options)
-    model = additive.fit_additive(rows, spec, keys=keys)
+    spec = additive.AdditiveSpec(**options)
+    model = additive.fit_additive(train, spec, keys=keys)
     out = additive.predict_additive(fill_inputs(tests, train, keys), model, spec, keys)
     return out.select(*keys, SLOT, "clima", "prediccion")
 
@@ -194,6 +195,21 @@ def _both_weathers(test: DataFrame, train: DataFrame, keys) -> DataFrame:
     )
 
 
+def evaluation_folder(
+    dataset: DataFrame, store: str, options: Mapping[str, object], keys: Sequence[str] = KEYS
+) -> str:
+    """The folder under ``store`` of an evaluation of these rows with these options.
+
+    The rows are known by their number and the sum of their hashes, in one pass;
+    the options by their values. What is asked again finds what was stored,
+    what differs in any way does not.
+    """
+    read = F.xxhash64(*keys, SLOT, *ENERGY, *WEATHER).cast("decimal(38,0)")
+    known = dataset.agg(F.count(F.lit(1)).alias("n"), F.sum(read).alias("hash")).first()
+    text = json.dumps({"rows": known["n"], "hash": str(known["hash"]), **options}, sort_keys=True, default=str)
+    return f"{store.rstrip('/')}/evaluation-{hashlib.sha256(text.encode()).hexdigest()[:20]}"
+
+
 def evaluate_candidates(
     dataset: DataFrame,
     horizon_days: int,
@@ -209,36 +225,55 @@ def evaluate_candidates(
     work: str | None = None,
     keys: Sequence[str] = KEYS,
     parallelism: int = 1,
+    as_of: dt.datetime | None = None,
+    store: str | None = None,
 ) -> str:
     """Fit every model on every fold and store the predictions of the test slots.
 
     Inputs are stored once; each fold then reads its own time range of them.
-    Fits are Spark jobs that the driver submits, ``parallelism`` at a time, so
-    that small ones can share a large cluster. Models that use weather answer
-    twice, told apart by ``clima``: ``observado`` bounds what they could do,
-    ``reciente`` is what a forecast would get. Returns the folder of the
-    predictions.
+    Folds count back from each series' own end (:func:`splits.fold_table`), so
+    that series that ended earlier are judged on their own last days and a slot
+    beyond ``as_of`` (now, if not given) moves none. Fits are Spark jobs that
+    the driver submits, ``parallelism`` at a time, so that small ones can share
+    a large cluster. Models that use weather answer twice, told apart by
+    ``clima``: ``observado`` bounds what they could do, ``reciente`` is what a
+    forecast would get. Returns the folder of the predictions.
+
+    With a ``store`` (or a ``work`` folder used before) the evaluation is
+    resumed: inputs and fits that are there whole are kept, the others are made.
+    The folder under ``store`` is named after the rows and all options.
     """
     unknown = set(models) - set(MODELS)
     if unknown:
         raise ValueError(f"unknown models {sorted(unknown)}")
     spark = dataset.sparkSession
-    work = work or new_folder(spark, "evaluation")
-    writers.write_stage(
-        dataset.select(*keys, SLOT, *ENERGY, *WEATHER), "observed", work, by_day=True
-    )
-    known = readers.read_stage(spark, "observed", work)
-    observed = known
-    writers.write_stage(
-        forest.model_inputs(dataset, horizon_days, keys=keys), "inputs", work, by_day=True
-    )
-    inputs = readers.read_stage(spark, "inputs", work)
-    latest = read_latest(observed)
     arima_options = dict(arima_options or {"p": 2, "d": 0, "q": 1})
     additive_options = dict(additive_options or {"regressors": tuple(WEATHER[:-1])})
+    if store is not None:
+        options = {
+            "horizon_days": horizon_days, "k": k, "window_days": window_days, "step": step,
+            "strategies": list(strategies), "keys": list(keys), "arima": arima_options,
+            "additive": additive_options, "forest": dict(forest_params or {}), "seed": seed, "as_of": as_of,
+        }
+        work = evaluation_folder(dataset, store, options, keys)
+    work = work or new_folder(spark, "evaluation")
+
+    def stored(name: str, rows: Callable[[], DataFrame], by_day: bool = False) -> DataFrame:
+        if not is_whole(spark, readers.stage_path(spark, name, work)):
+            writers.write_stage(rows(), name, work, by_day=by_day)
+        return readers.read_stage(spark, name, work)
+
+    observed = stored("observed", lambda: dataset.select(*keys, SLOT, *ENERGY, *WEATHER), True)
+    inputs = stored("inputs", lambda: forest.model_inputs(dataset, horizon_days, keys=keys), True)
+    ends = stored("ends", lambda: series_ends(observed, keys=keys, as_of=as_of or now()))
+    table = stored("folds", lambda: fold_table(ends, k, horizon_days, strategies, window_days, keys))
     out = f"{work}/predictions"
 
     def run(name: str, fold: Fold) -> None:
+        # A folder for each fit: one that is repeated replaces its own rows only.
+        folder = f"{out}/model={name}/strategy={fold.strategy}/fold={fold.number}"
+        if is_whole(spark, folder):
+            return
         train, test = fold.train(observed), fold.test(observed)
         asked = test.select(*keys, SLOT, F.col(POWER).alias("actual"))
         if name == "arima":
@@ -253,29 +288,14 @@ def evaluate_candidates(
                 rows = _additive_predictions(train, tests, keys, additive_options)
             else:
                 tests = _both_weathers(fold.test(inputs), train, keys)
-                rows = _forest_predictions(
-                    fold.train(inputs), tests, fold.train(known), keys, forest_params, seed
-                )
+                rows = _forest_predictions(fold.train(inputs), tests, train, keys, forest_params, seed)
         # Every test slot has a row for each model, answered or not.
         rows = asked.join(rows, [*keys, SLOT, "clima"], "left")
-        # A folder for each fit: one that is repeated replaces its own rows only.
-        rows.select(
-            "clima",
-            F.lit(fold.origin.isoformat(sep=" ")).cast("timestamp_ntz").alias("origin"),
-            *keys,
-            SLOT,
-            "actual",
-            F.col("prediccion").alias("prediction"),
-        ).write.mode("overwrite").parquet(
-            f"{out}/model={name}/strategy={fold.strategy}/fold={fold.number}"
-        )
+        rows.join(fold.bounds.select(*keys, "origin"), [*keys]).select(
+            "clima", "origin", *keys, SLOT, "actual", F.col("prediccion").alias("prediction")
+        ).write.mode("overwrite").parquet(folder)
 
-    fits = [
-        (name, fold)
-        for strategy in strategies
-        for fold in fold_bounds(latest, k, horizon_days, strategy, window_days)
-        for name in models
-    ]
+    fits = [(name, fold) for fold in read_folds(table, keys) for name in models]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         for done in [pool.submit(run, name, fold) for name, fold in fits]:
             done.result()
@@ -303,10 +323,25 @@ def answered(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
     )
 
 
+def scores(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
+    """Error of each model, strategy and fold on the slots that all models answered (``n``), beside its
+    test slots (``slots``) and those it answered itself (``answered``).
+
+    A model that shares no slot with the others has its counts and NULL errors.
+    """
+    fit = ["model", "strategy", "fold"]
+    judged = metrics(common_slots(under(predictions, clima)), fit)
+    joined = answered(predictions, clima).join(judged, fit, "left")
+    return joined.withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+
+
 def comparison(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
     """Models compared on the slots that all of them answered."""
-    shared = common_slots(under(predictions, clima))
-    return compare_models(metrics(shared, ("model", "strategy", "fold")))
+    counts = scores(predictions, clima)
+    slots = counts.groupBy("model", "strategy").agg(
+        F.sum("n").alias("n"), F.sum("slots").alias("slots"), F.sum("answered").alias("answered")
+    )
+    return compare_models(counts.where("n > 0")).join(slots, ["model", "strategy"])
 
 
 def choose(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
@@ -314,4 +349,10 @@ def choose(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
 
 
 def decay(predictions: DataFrame, clima: str = "reciente") -> DataFrame:
-    return horizon_decay(lead_day(common_slots(under(predictions, clima))))
+    """Errors against the lead in days, beside the test slots of that lead and the answers."""
+    asked = lead_day(under(predictions, clima))
+    by = ["model", "lead_day"]
+    counts = asked.groupBy(*by).agg(F.count(F.lit(1)).alias("slots"), F.count("prediction").alias("answered"))
+    return counts.join(horizon_decay(lead_day(common_slots(under(predictions, clima)))), by, "left").withColumn(
+        "n", F.coalesce("n", F.lit(0).cast("long"))
+    )

@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 PLANT = "plant_id"
 SLOT = "slot"
 FECHA = "fecha"
+#: Column of a series' latest slot.
+END = "_end"
 E_TODAY = "eToday (kWh)"
 E_TOTAL = "eTotal (kWh)"
 POWER = "power (kW)"

@@ -68,3 +68,9 @@ def shared_root(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def is_whole(spark: SparkSession, path: str) -> bool:
+    """Whether a write to ``path`` has run to its end, on whatever file system it lies."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)

@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import json
+import re
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliospark.schema import (
     CORRUPT,
     DEFAULT_PLANT,
+    END,
+    FECHA,
     GENERATION_FILE,
     PLANT,
     RAW_SCALARS,
     RAW_SERIES,
+    SLOT,
     WEATHER,
     WEATHER_FILE,
 )
@@ -21,14 +32,66 @@ SOURCE_COLUMNS = ["_path", "_mtime"]
 
 
 def _read_json(spark, path, schema, plant_id, multi_line) -> DataFrame:
-    raw = (
-        spark.read.schema(schema)
-        .option("multiLine", multi_line)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
-    return with_source(raw, plant_id)
+    def read(files, whole: bool, base: str | None = None) -> DataFrame:
+        reader = spark.read if base is None else spark.read.option("basePath", base)
+        raw = (
+            reader.schema(schema)
+            .option("multiLine", whole)
+            .option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", CORRUPT)
+            .json(files)
+        )
+        return with_source(raw, plant_id)
+
+    if multi_line is not None:
+        return read(path, multi_line)
+    kinds = file_kinds(spark, path)
+    by_line, whole = ([f for f, k in kinds if k == kind] for kind in ("lines", "document"))
+    if not by_line or not whole:
+        return read(path, not by_line)
+    base = path if isinstance(path, str) else None
+    return read(whole, True, base).unionByName(read(by_line, False, base))
+
+
+#: Bytes of a file's head that are looked at; a document that long on one line is a document.
+HEAD_BYTES = 1 << 20
+
+
+def file_kinds(spark: SparkSession, path: str | list[str]) -> list[tuple[str, str]]:
+    """(file, kind) of each JSON file: ``lines`` if its first line is a whole document and others follow, else ``document``.
+
+    Tasks read the files' heads; the driver, which lists the files for Spark
+    anyway, gets a word for each.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [_kind_of(f, n) for f, n in zip(batch["path"].to_pylist(), batch["length"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(kinds, pa.string())], ["path", "kind"])
+
+    tasks = spark.sparkContext.defaultParallelism
+    return [tuple(r) for r in files.repartition(tasks).mapInArrow(run, "path string, kind string").collect()]
+
+
+def _kind_of(uri: str, length: int) -> str:
+    local = uri.startswith("file:")
+    try:
+        files, name = (
+            (pafs.LocalFileSystem(), unquote(re.sub("^file:/+", "/", uri))) if local else pafs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
+        )
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        # A store that only Spark reads: whole documents are right for every file.
+        return "document"
+    with files.open_input_stream(name) as stream:
+        head = stream.read(HEAD_BYTES)
+    first, mark, rest = head.lstrip().partition(b"\n")
+    if not mark or not rest.strip():
+        return "document"
+    try:
+        return "lines" if isinstance(json.loads(first), dict) else "document"
+    except ValueError:
+        return "document"
 
 
 def with_source(raw: DataFrame, plant_id: str) -> DataFrame:
@@ -49,12 +112,12 @@ def read_generation(
     spark: SparkSession,
     path: str | list[str],
     plant_id: str = DEFAULT_PLANT,
-    multi_line: bool = True,
+    multi_line: bool | None = True,
 ) -> DataFrame:
     """Generation exports, one row per document, the series still raw JSON.
 
     ``multi_line=False`` reads compacted files of one document per line, which
-    Spark can split; prefer it once exports are many and small.
+    Spark can split; ``None`` decides it by each file's head (``file_kinds``).
     """
     return _read_json(spark, path, GENERATION_FILE, plant_id, multi_line)
 
@@ -63,7 +126,7 @@ def read_weather(
     spark: SparkSession,
     path: str | list[str],
     plant_id: str = DEFAULT_PLANT,
-    multi_line: bool = True,
+    multi_line: bool | None = True,
 ) -> DataFrame:
     """Weather observations; numbers may be quoted, bad ones become NULL."""
     raw = _read_json(spark, path, WEATHER_FILE, plant_id, multi_line)
@@ -152,6 +215,25 @@ def load_dataset(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def load_ends(
+    spark: SparkSession, path: str, as_of: dt.datetime | None = None, ts: str = SLOT
+) -> DataFrame:
+    """The latest slot of each series stored at ``path``, as ``views.series_ends`` gives it.
+
+    Read from the table that each write keeps beside the rows, a row a series
+    and day; of a day written more than once the latest write counts. With
+    ``as_of``, later slots don't count; only that one day of the rows themselves
+    is looked at.
+    """
+    daily = spark.read.parquet(f"{path.rstrip('/')}_ends")
+    daily = daily.join(daily.groupBy(FECHA).agg(F.max("version").alias("version")), [FECHA, "version"])
+    if as_of is not None:
+        day = F.lit(as_of.date())
+        rows = spark.read.parquet(path).where((F.col(FECHA) == day) & (F.col(ts) <= F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")))
+        daily = daily.where(F.col(FECHA) < day).select(PLANT, ts).unionByName(rows.select(PLANT, ts))
+    return daily.groupBy(PLANT).agg(F.max(ts).alias(END))
+
+
 def stage_path(spark: SparkSession, name: str, root: str | None = None) -> str:
     return f"{root or shared_root(spark)}/stages/{name}"
 

@@ -46,8 +46,7 @@ def stream_generation(
     max_files: int | None = None,
 ) -> DataFrame:
     raw = _stream(spark, path, GENERATION_FILE, plant_id, multi_line, max_files)
-    series = readers.with_scalars(readers.good_rows(raw))
-    return with_fecha(clean.clean(clean.parse_time(series, "time", site_tz)), "ts").drop("time")
+    return _timed(readers.with_scalars(readers.good_rows(raw)), "time", site_tz)
 
 
 def stream_weather(
@@ -60,8 +59,13 @@ def stream_weather(
 ) -> DataFrame:
     raw = _stream(spark, path, WEATHER_FILE, plant_id, multi_line, max_files)
     rows = readers.good_rows(raw).withColumns({c: F.col(c).try_cast("double") for c in WEATHER})
-    timed = clean.clean(clean.parse_time(rows, RAW_PERIOD_END, site_tz))
-    return with_fecha(timed, "ts").drop(RAW_PERIOD_END)
+    return _timed(rows, RAW_PERIOD_END, site_tz)
+
+
+def _timed(rows: DataFrame, text: str, site_tz: str | None) -> DataFrame:
+    """Wall-clock times, and as in batch the offset that tells the instants of a repeated hour apart."""
+    timed = clean.with_offset(clean.clean(clean.parse_time(rows, text, site_tz)), text, site_tz)
+    return with_fecha(timed, "ts").drop(text)
 
 
 def append_rows(rows: DataFrame, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
@@ -81,7 +85,12 @@ def append_rows(rows: DataFrame, out: str, checkpoint: str, once: bool = False)
 
 
 def latest_rows(spark: SparkSession, out: str) -> DataFrame:
-    """The store with one row per plant and time, the latest file's."""
-    rows = spark.read.parquet(out).drop(FECHA)
+    """The store with one row per plant and instant, the latest file's.
+
+    Both readings of an hour that a clock change repeats stay, with the same
+    wall-clock time; rows stored without an offset count by wall clock.
+    """
+    rows = spark.read.option("mergeSchema", "true").parquet(out).drop(FECHA)
+    instant = [PLANT, "ts", *(["_offset"] if "_offset" in rows.columns else [])]
     order = ["_mtime", "_path", *(["pos"] if "pos" in rows.columns else [])]
-    return clean.dedupe(rows, (PLANT, "ts"), order).drop(*order)
+    return clean.dedupe(rows, instant, order).drop(*order, "_offset")

@@ -1,6 +1,7 @@
 """Models on planted series, and forecasts with and without a model."""
 
 import datetime as dt
+import math
 import os
 import subprocess
 import sys
@@ -9,13 +10,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliospark.models import additive, arima, forest
+from heliospark.models import additive, arima, forest, linear
 from heliospark.operators import evaluate, views
 from heliospark.operators import forecast as fc
 from heliospark.operators.fill import fill_inputs
 from heliospark.plans import pipeline
 from heliospark.session import new_folder
 from heliospark.sources import readers, writers
+from tests.conftest import plan
 from tests.planted import arma_11, clear_power, grid, pv_clear, pv_weather
 
 P = "power (kW)"
@@ -98,24 +100,60 @@ def test_arima_forecast_of_a_known_recursion(spark, d):
     assert out[0]["slot"] == dt.datetime(1970, 1, 1) + dt.timedelta(minutes=5 * keep)
 
 
+def test_a_noise_free_series_has_one_defined_fit(spark):
+    """A pure sine: the lags leave the coefficients open. Noise of 1e-9 doesn't sway them, and the forecast goes on."""
+    rows = grid(spark, 30, 60)
+    wave = F.sin(F.col("n") * 2 * math.pi / 24)
+    fits = []
+    for noise in (0.0, 1e-9):
+        df = rows.withColumn(P, wave + F.randn(3) * noise)
+        model = arima.fit_arima(df, 2, 0, 1, long_ar=12, step="1 hour")
+        row = model.first()
+        assert not row["unique"] or noise
+        fits.append([*row["phi"], *row["theta"]])
+        path = arima.forecast_arima(df, model, arima.ArimaOrder(2, 0, 1, 12, "1 hour"), steps=24).orderBy("slot").collect()
+        want = [math.sin((720 + i) * 2 * math.pi / 24) for i in range(24)]
+        assert [r["prediccion"] for r in path] == pytest.approx(want, abs=0.05)
+    assert fits[0][:2] == pytest.approx(fits[1][:2], abs=1e-3)
+
+
+def test_an_unstable_series_is_marked_and_its_forecast_stays_bounded(spark):
+    """A series that grows by a tenth a slot, and one that is stable."""
+    rows = grid(spark, 4, 60, plants=2)
+    growing = F.pow(F.lit(1.1), F.col("n")) * (1 + 0.01 * F.sin(F.col("n") * 1.7))
+    df = rows.withColumn(P, F.when(F.col("plant_id") == "P0", growing).otherwise(F.randn(5)))
+    model = arima.fit_arima(df, 1, 0, 0, long_ar=1, step="1 hour")
+    found = {r["plant_id"]: r for r in model.collect()}
+    assert found["P0"]["stable"] is False and found["P1"]["stable"] is True
+    assert arima.largest_root(np.array(found["P0"]["phi"])) == pytest.approx(arima.STABLE_ROOT)
+    top = df.where("plant_id = 'P0'").agg(F.max(P)).first()[0]
+    path = arima.forecast_arima(df, model, arima.ArimaOrder(1, 0, 0, 1, "1 hour"), steps=500)
+    assert path.where("plant_id = 'P0'").agg(F.max("prediccion")).first()[0] <= top * 1.001
+    assert arima.largest_root(np.array([0.5, 0.3])) < 1 < arima.largest_root(np.array([0.5, 0.6]))
+
+
 def test_arima_order_is_checked():
     for bad in ({"p": 0, "d": 0, "q": 0}, {"p": 1, "d": -1, "q": 0}, {"p": 3, "d": 0, "q": 1, "long_ar": 2}):
         with pytest.raises(ValueError):
             arima.ArimaOrder(**bad)
 
 
+def bounded(rows):
+    """With the bounds of each series' time, as a fit works them out."""
+    ends = rows.groupBy("plant_id").agg(F.min("slot").alias(additive.START), F.max("slot").alias(additive.END))
+    return rows.join(ends, "plant_id")
+
+
 def test_additive_recovers_its_terms(spark):
     rows = grid(spark, 20, 60, plants=2)
-    spec = additive.AdditiveSpec(
-        dt.datetime(2023, 1, 2), dt.datetime(2023, 1, 21, 23), {"day": 2}, 1, ("x",), 0.0
-    )
-    rows = rows.withColumn("x", F.rand(3))
+    spec = additive.AdditiveSpec({"day": 2}, 1, ("x",), 0.0)
+    rows = bounded(rows.withColumn("x", F.rand(3)))
     terms = spec.terms()
     truth = {"const": 3.0, "trend": 2.0, "bend_1": -1.5, "day_sin_1": 0.7, "day_cos_1": -0.4,
              "day_sin_2": 0.2, "day_cos_2": 0.1, "x": 5.0}
     assert list(terms) == list(truth)
     y = sum((terms[k] * v for k, v in truth.items()), F.lit(0.0))
-    rows = rows.withColumn(P, y)
+    rows = rows.withColumn(P, y).drop(additive.START, additive.END)
     model = additive.fit_additive(rows, spec)
     for row in additive.named_coefficients(model, spec).collect():
         assert row["n"] == 480
@@ -125,9 +163,31 @@ def test_additive_recovers_its_terms(spark):
     assert fitted.where(F.abs(F.col("prediccion") - F.col(P)) > 1e-6).isEmpty()
 
 
+def test_a_series_that_starts_late_is_fitted_as_if_alone(spark):
+    rows = grid(spark, 30, 60, plants=2).withColumn(P, clear_power() + F.col("n") * 0.01 + F.rand(4))
+    late = rows.where((F.col("plant_id") == "P0") | (F.col("n") >= 480))
+    spec = additive.AdditiveSpec({"day": 2}, 3)
+    both = {r["plant_id"]: r for r in additive.fit_additive(late, spec).collect()}
+    alone = additive.fit_additive(late.where("plant_id = 'P1'"), spec).first()
+    assert both["P1"]["n"] == alone["n"] == 240 and both["P1"]["coef"] == pytest.approx(alone["coef"], rel=1e-9)
+    assert both["P1"][additive.START] == alone[additive.START] != both["P0"][additive.START]
+
+
+def test_matrices_are_added_in_two_steps(spark):
+    """As many matrices of one series as tasks: no group gets more than its share of them."""
+    n, fan = 300, 8
+    parts = spark.range(0, n, numPartitions=n).select(
+        F.lit("a").alias("k"), F.lit(1).cast("long").alias("n"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("products")
+    )
+    row = linear.combine(parts, ["k"], fan).first()
+    assert row["n"] == n and row["products"] == [n * (n - 1) / 2, float(n)]
+    text = plan(linear.combine(parts, ["k"], fan))
+    assert text.count("FlatMapGroupsInArrow") >= 2 and "_share" in text
+
+
 def test_additive_follows_a_clipped_day(spark):
     df = pv_clear(spark, days=20, step_minutes=30)
-    spec = additive.training_spec(df)
+    spec = additive.AdditiveSpec()
     out = additive.predict_additive(df, additive.fit_additive(df, spec), spec)
     scored = out.select(F.lit("a").alias("model"), F.lit(1).alias("fold"), F.col(P).alias("actual"), F.col("prediccion").alias("prediction"))
     assert evaluate.metrics(scored).first()["r2"] > 0.99
@@ -360,3 +420,56 @@ def test_candidates_are_compared_and_one_is_chosen(spark, weather):
     leads = pipeline.decay(predictions).where("model = 'additive'").collect()
     assert sorted(r["lead_day"] for r in leads) == [1, 2, 3]
     assert predictions.where("slot <= origin").isEmpty()
+
+
+def _fit_times(out):
+    import pathlib
+
+    return {str(p.relative_to(out)): p.stat().st_mtime_ns for p in pathlib.Path(out).rglob("_SUCCESS")}
+
+
+def test_an_evaluation_is_resumed_by_fit(spark, weather, tmp_path):
+    """What is there whole is kept; a fit whose mark is gone is made again, with the same answers."""
+    import os as _os
+
+    options = dict(
+        k=1, step="1 hour", strategies=("holdout",), models=("arima", "additive"),
+        arima_options={"p": 1, "d": 0, "q": 0, "long_ar": 1}, additive_options={"fourier": {"day": 1}, "changepoints": 0, "regressors": ("ghi",)},
+    )
+    path = str(tmp_path / "data")
+    writers.write_dataset(weather, path)
+    data, store = spark.read.parquet(path), str(tmp_path / "store")
+    out = pipeline.evaluate_candidates(data, 3, store=store, **options)
+    first, answers = _fit_times(out), sorted(map(str, spark.read.parquet(out).collect()))
+    assert len(first) == 2
+    again = pipeline.evaluate_candidates(data, 3, store=store, **options)
+    assert again == out and _fit_times(out) == first
+    gone = next(k for k in first if "additive" in k)
+    _os.remove(f"{out}/{gone}")
+    pipeline.evaluate_candidates(data, 3, store=store, **options)
+    now = _fit_times(out)
+    assert now.keys() == first.keys() and [k for k in now if now[k] != first[k]] == [gone]
+    assert sorted(map(str, spark.read.parquet(out).collect())) == answers
+    assert pipeline.evaluate_candidates(data, 2, store=store, **options) != out
+
+
+def test_scores_against_plain_sums(spark):
+    """Errors of each fit on the slots that all answered, recomputed row by row."""
+    rows = []
+    for i in range(60):
+        for model, offset in (("arima", 1.0), ("additive", -0.5), ("random_forest", 0.1 * (i % 7))):
+            fold = 1 + i // 30
+            given = None if (model == "arima" and i % 10 == 3) else float(i) + offset
+            clima = "ninguno" if model == "arima" else "reciente"
+            rows.append((model, "expanding", fold, clima, "P0", dt.datetime(2023, 1, 1 + fold) + dt.timedelta(hours=i % 30), dt.datetime(2023, 1, 1 + fold), float(i), given))
+    df = spark.createDataFrame(rows, "model string, strategy string, fold int, clima string, plant_id string, slot timestamp_ntz, origin timestamp_ntz, actual double, prediction double")
+    for r in pipeline.scores(df).collect():
+        own = [x for x in rows if x[0] == r["model"] and x[2] == r["fold"]]
+        shared = [x for x in own if int(x[7]) % 10 != 3]
+        errors = [x[8] - x[7] for x in shared]
+        assert (r["slots"], r["n"], r["answered"]) == (30, 27, 27 if r["model"] == "arima" else 30)
+        assert r["mae"] == pytest.approx(sum(map(abs, errors)) / 27) and r["bias"] == pytest.approx(sum(errors) / 27)
+        assert r["rmse"] == pytest.approx((sum(e * e for e in errors) / 27) ** 0.5)
+    chosen = pipeline.choose(df).first()
+    assert chosen["model"] == min(("arima", 1.0), ("additive", 0.5), ("random_forest", (sum((0.1 * (i % 7)) ** 2 for i in range(60)) / 60) ** 0.5), key=lambda x: x[1])[0]
+    assert pipeline.decay(df).where("model = 'arima'").agg(F.sum("slots")).first()[0] == 60

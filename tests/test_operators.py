@@ -13,6 +13,7 @@ from heliospark.operators import aggregates, clean, economics, evaluate, splits,
 from heliospark.operators.align import align_generation, align_weather, homogenise
 from heliospark.operators.lags import halo_blocks, lag_days
 from heliospark.schema import FEATURES
+from heliospark.sources import readers, writers
 from tests.conftest import plan
 from tests.planted import pv_clear, pv_weather
 
@@ -211,14 +212,45 @@ def test_folds_never_overlap_in_time(spark, k, h, window, mode):
             assert train["n"] == min(window, 14 - h * (k - fold + 1)) * 24
         if fold > 1:
             assert spans[fold - 1, "test"]["b"] < test["a"]
-    latest = dt.datetime(2023, 1, 15, 23)
-    for fold in splits.fold_bounds(latest, k, h, mode, window):
+    table = splits.fold_table(views.series_ends(df), k, h, (mode,), window)
+    for fold in splits.read_folds(table):
         kept = out.where(F.col("fold") == fold.number)
         for role, rows in (("train", fold.train(df)), ("test", fold.test(df))):
             same = kept.where(F.col("rol") == role).select(df.columns)
             assert same.exceptAll(rows).isEmpty() and rows.exceptAll(same).isEmpty()
 
 
+@pytest.mark.parametrize("mode", ["expanding", "sliding"])
+@pytest.mark.parametrize("stored", [False, True])
+def test_one_wrong_clock_changes_no_fold(spark, tmp_path, mode, stored):
+    """Two plants, one of which ended ten days earlier, and a row of 2099: folds are those without it."""
+    df = pv_clear(spark, days=30, plants=2, step_minutes=60)
+    df = df.where((F.col("plant_id") == "P0") | (F.col("slot") < "2023-01-22"))
+    wrong = df.where("plant_id = 'P1'").limit(1).withColumn("slot", F.lit("2099-01-01 00:00:00").cast("timestamp_ntz"))
+
+    def counts(rows):
+        out = splits.folds(rows, 3, 4, mode, 6).groupBy("plant_id", "fold", "origin", "rol").count()
+        return sorted(map(tuple, out.collect()))
+
+    clean, dirty = df, df.unionByName(wrong)
+    if stored:
+        for name, rows in (("clean", clean), ("dirty", dirty)):
+            writers.write_stage(rows, name, str(tmp_path), by_day=True)
+        clean, dirty = (readers.read_stage(spark, name, str(tmp_path)) for name in ("clean", "dirty"))
+    assert counts(dirty) == counts(clean)
+    tests = {(p, f): (o, n) for p, f, o, r, n in counts(dirty) if r == "test"}
+    assert len(tests) == 6 and {n for _, n in tests.values()} == {96}
+    assert tests["P0", 3][0] - tests["P1", 3][0] == dt.timedelta(days=10)
+    ends = views.series_ends(dirty, as_of=dt.datetime(2030, 1, 1))
+    for fold in splits.read_folds(splits.fold_table(ends, 3, 4, (mode,), 6)):
+        assert fold.test(dirty).count() == 192
+        assert fold.train(dirty).count() == sum(n for _, f, _, r, n in counts(clean) if f == fold.number and r == "train")
+        assert fold.test_day < dt.date(2023, 3, 1)
+    # An earlier as-of bound moves the origins back.
+    early = splits.folds(df, 1, 1, as_of=dt.datetime(2023, 1, 10, 23)).where("rol = 'test'")
+    assert early.agg(F.max("slot")).first()[0] == dt.datetime(2023, 1, 10, 23)
+
+
 def test_holdout(spark):
     df = pv_clear(spark, days=4, step_minutes=60)
     train, test = splits.split_time(df, "2023-01-04 12:00:00")

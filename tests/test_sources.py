@@ -274,6 +274,19 @@ def test_a_repeated_hour_keeps_both_its_readings(spark, tmp_path):
     assert sorted((r["ts"].month, r["ts"].hour) for r in rows) == [(3, 1), (3, 3), (11, 1), (11, 1)]
 
 
+def test_batch_and_stream_agree_on_a_repeated_hour(spark, tmp_path):
+    """An autumn change, with a later file that corrects one of the two readings of 01:30."""
+    first = observations(*[(f"2024-11-03T0{h}:30:00Z", {"ghi": 100 * h}) for h in (4, 5, 6, 7)])
+    put(tmp_path / "w", "a.json", first, mtime=1_700_000_000)
+    put(tmp_path / "w", "b.json", observations(("2024-11-03T06:30:00Z", {"ghi": 1})), mtime=1_700_000_500)
+    zone = "America/New_York"
+    batch = pipeline.weather_rows(readers.read_weather(spark, str(tmp_path / "w")), zone)
+    rows = ingest.stream_weather(spark, str(tmp_path / "w"), zone, max_files=1)
+    ingest.append_rows(rows, str(tmp_path / "o"), str(tmp_path / "c"), once=True).awaitTermination(120)
+    told = [sorted((r["ts"], r["ghi"]) for r in df.collect()) for df in (batch, ingest.latest_rows(spark, str(tmp_path / "o")))]
+    assert told[0] == told[1] and [g for t, g in told[0] if (t.hour, t.minute) == (1, 30)] == [1.0, 500.0]
+
+
 def test_quality_is_stored_beside_the_dataset(spark, tmp_path):
     generation, weather, out = (tmp_path / n for n in ("g", "w", "d"))
     generation.mkdir()
@@ -307,3 +320,71 @@ def test_a_new_day_rewrites_that_day_only(spark, tmp_path):
     assert all(p.stat().st_mtime_ns == t for p, t in before.items())
     # January is summer in the south.
     assert {r["estacion"] for r in stored.select("estacion").distinct().collect()} == {2}
+
+
+def test_a_late_file_is_merged_into_its_days(spark, tmp_path):
+    """Half a day added twice leaves the other half; the new row of a slot wins; ends follow."""
+    path = str(tmp_path / "merged")
+    df = pv_weather(spark, days=3)
+    morning = df.where((F.dayofmonth("slot") == 3) & (F.hour("slot") < 12))
+    writers.write_dataset(df.where((F.dayofmonth("slot") == 2) | ((F.dayofmonth("slot") == 3) & (F.hour("slot") >= 12))), path, touched_days_only=True)
+    for factor in (1, 2):
+        writers.write_dataset(morning.withColumn("power (kW)", F.col("power (kW)") * factor), path, touched_days_only=True)
+    stored = readers.load_dataset(spark, path)
+    assert stored.count() == df.where(F.dayofmonth("slot") <= 3).count() == stored.select("plant_id", "slot").distinct().count()
+    total = lambda rows: rows.agg(F.round(F.sum("power (kW)"), 6)).first()[0]
+    day = F.dayofmonth("slot") == 3
+    assert total(stored.where(day & (F.hour("slot") < 12))) == pytest.approx(2 * total(morning))
+    assert total(stored.where(day & (F.hour("slot") >= 12))) == total(df.where(day & (F.hour("slot") >= 12)))
+    ends = {r.plant_id: r._end for r in readers.load_ends(spark, path).collect()}
+    assert ends == {r.plant_id: r._end for r in views.series_ends(stored).collect()}
+    writers.write_dataset(df.where(F.dayofmonth("slot") == 4), path, touched_days_only=True)
+    stored = readers.load_dataset(spark, path)
+    assert {tuple(r) for r in readers.load_ends(spark, path).collect()} == {tuple(r) for r in views.series_ends(stored).collect()}
+    writers.write_dataset(df.where("false"), path, touched_days_only=True)
+    assert readers.load_dataset(spark, path).count() == df.count()
+
+
+def test_stored_ends_know_an_as_of(spark, tmp_path):
+    path = str(tmp_path / "asof")
+    df = pv_weather(spark, days=4)
+    wrong = df.limit(1).withColumn("slot", F.lit("2099-05-05 10:00:00").cast("timestamp_ntz"))
+    writers.write_dataset(df.unionByName(wrong), path)
+    at = dt.datetime(2023, 1, 3, 9, 30)
+    stored = readers.load_dataset(spark, path)
+    assert {tuple(r) for r in readers.load_ends(spark, path, at).collect()} == {tuple(r) for r in views.series_ends(stored, as_of=at).collect()}
+    assert readers.load_ends(spark, path).first()["_end"].year == 2099
+
+
+def test_an_evaluation_knows_its_data_and_options(spark):
+    df = pv_weather(spark, days=2)
+    name = pipeline.evaluation_folder
+    assert name(df, "s", {"k": 3}) == name(df.repartition(3), "s/", {"k": 3}) != name(df, "s", {"k": 2})
+    other = df.withColumn("ghi", F.when(F.col("slot") == "2023-01-02 03:00:00", 1.0).otherwise(F.col("ghi")))
+    assert len({name(x, "s", {}) for x in (df, other, df.unionByName(df), df.where("ghi > 0"))}) == 4
+
+
+def test_each_file_is_read_as_what_it_is(spark, tmp_path):
+    """Files of many lines are split among tasks, documents of many lines stay whole; broken ones are told in both."""
+    folder = tmp_path / "mixed"
+    put(folder / "plant_id=A", "whole.json", document(MAP))
+    put(folder / "plant_id=A", "one_line.json", json.dumps(document(PAIRS)))
+    line = json.dumps(document({f"2024-01-01 {h:02d}:00": h for h in range(24)}))
+    lines = [line] * 3000
+    lines[7] = "{bad"
+    put(folder / "plant_id=B", "many.json", "\n".join(lines) + "\n")
+    kinds = {os.path.basename(f): k for f, k in readers.file_kinds(spark, str(folder))}
+    assert kinds == {"whole.json": "document", "one_line.json": "document", "many.json": "lines"}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128k")
+    try:
+        raw = readers.read_generation(spark, str(folder), multi_line=None)
+        parts = [r[0] for r in raw.where("plant_id = 'B'").select(F.spark_partition_id(), "eToday").collect()]
+        assert len(set(parts)) > 3 and len(parts) == 3000
+        assert sorted(r.plant_id for r in readers.good_rows(raw).collect()) == ["A"] * 2 + ["B"] * 2999
+        assert len(readers.corrupt_rows(raw).collect()) == 1
+        assert readers.explode_series(readers.good_rows(raw)).where("plant_id = 'B'").count() == 2999 * 24
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    only = readers.read_generation(spark, str(folder / "plant_id=B"), multi_line=None)
+    assert len(only.select("eToday").collect()) == 3000
