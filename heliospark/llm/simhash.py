@@ -11,7 +11,11 @@ Copies by similarity (``keep_one`` with a ``similarity``) lie many more bits
 apart, where segment counts no longer tell pairs apart. They take fingerprints
 of 128 bits over the distinct shingles, cells of equal bits in ``DRAWS`` draws
 of ``DRAWN`` bits, and pairs within ``RADIUS`` bits in a cell as candidates,
-which are verified by the exact Jaccard similarity of their shingles.
+which are verified by the exact Jaccard similarity of their shingles. In a
+crowded cell each fingerprint is paired with its nearest one and with the
+cell's centre only, and once more between the groups that this makes. What then
+is left apart in crowded cells is decided exactly, by a similarity join on the
+rarest shingles.
 """
 
 from __future__ import annotations
@@ -230,13 +234,23 @@ def _drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cell", "node", "hi", "lo"])
 
 
-def _candidates(rooted: bool, whole: bool = False):
+def _candidates(rooted: bool):
     """Sorted (cell, node, hi, lo) to pairs (a, b) within the radius; if ``rooted``, those of different ``root`` only.
 
-    Unless the ``whole`` of it is asked, a cell of many pairs gives each node's
-    nearest one, with the distance ``far``, and its members as (node, NULL, cell).
+    A cell of many pairs gives two for each node at most, with the distance
+    ``far``: with the nearest node before it and with the cell's centre. Its
+    members come as (node, NULL, cell).
     """
 
+    def distances(hi: np.ndarray, lo: np.ndarray, mine: np.ndarray, others: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(hi[mine, None] ^ hi[None, others]) + np.bitwise_count(lo[mine, None] ^ lo[None, others])
+
+    def centre_of(hi: np.ndarray, lo: np.ndarray) -> int:
+        """The node nearest to the bits that most nodes have."""
+        bits = np.unpackbits(np.stack([hi, lo], 1).view(np.uint8), axis=1)
+        most = np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(hi)).view(np.uint64)
+        return int((np.bitwise_count(hi ^ most[0]) + np.bitwise_count(lo ^ most[1])).argmin())
+
     def pairs_of(cell: int, held: list[np.ndarray]) -> list[tuple]:
         node, hi, lo, root = (np.concatenate([h[i] for h in held]) for i in range(4))
         m = len(node)
@@ -244,22 +258,28 @@ def _candidates(rooted: bool, whole: bool = False):
         hi, lo, width = hi.view(np.uint64), lo.view(np.uint64), max(1, (1 << 22) // m)
         for at in range(0, m, width):
             mine = np.arange(at, min(m, at + width))
-            far = np.bitwise_count(hi[mine, None] ^ hi[None, : mine[-1] + 1]) + np.bitwise_count(lo[mine, None] ^ lo[None, : mine[-1] + 1])
+            far = distances(hi, lo, mine, np.arange(mine[-1] + 1))
             far[np.arange(mine[-1] + 1)[None, :] >= mine[:, None]] = 255
             near = far <= RADIUS
             if rooted:
                 near &= root[mine, None] != root[None, : mine[-1] + 1]
                 far[~near] = 255
-            if not whole and not crowd:
-                crowd = sum(len(x) for x, _ in out) + int(near.sum()) > _PAIRS * m
+            if not crowd:
+                crowd = sum(len(x) for x, _, _ in out) + int(near.sum()) > _PAIRS * m
             some = near.any(1)
             nearest.append((mine[some], far[some].argmin(1), far[some].min(1, initial=255).astype(np.int64)))
             if not crowd:
                 i, j = np.nonzero(near)
                 out.append((mine[i], j, np.full(len(i), -1)))
-        chosen = nearest if crowd else out
-        found = [(node[i], node[j], d, np.zeros(len(i), dtype=bool)) for i, j, d in chosen if len(i)]
-        return found + ([(node, np.full(m, cell), np.full(m, -1), np.ones(m, dtype=bool))] if crowd else [])
+        if not crowd:
+            return [(node[i], node[j], d, np.zeros(len(i), dtype=bool)) for i, j, d in out if len(i)]
+        hub = centre_of(hi, lo)
+        far = distances(hi, lo, np.array([hub]), np.arange(m))[0].astype(np.int64)
+        near = np.flatnonzero((far <= RADIUS) & (np.arange(m) != hub) & ((root != root[hub]) if rooted else True))
+        # The centre's distance is marked by adding 128, so that it is a choice of its own.
+        nearest.append((near, np.full(len(near), hub), far[near] + 128))
+        found = [(node[i], node[j], d, np.zeros(len(i), dtype=bool)) for i, j, d in nearest if len(i)]
+        return [*found, (node, np.full(m, cell), np.full(m, -1), np.ones(m, dtype=bool))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
@@ -288,48 +308,127 @@ def _candidates(rooted: bool, whole: bool = False):
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingles' Jaccard similarity is at least ``similarity``; only texts of pairs are read again."""
+def _sets(of: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(node, set): the distinct shingles of the nodes in ``of``; only their texts are read again."""
 
     @F.pandas_udf("array<long>")
     def shingles(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles_of(t or "", words)[:, 0].view("<i8") for t in texts])
 
+    texts = rows.select("at", "said").join(nodes.join(of, "node", "left_semi").select("node", "at"), "at").select("node", "said")
+    return stage(texts.select("node", shingles("said").alias("set")), "shingles")
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingles' Jaccard similarity is at least ``similarity``."""
     pairs = stage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = rows.select("at", "said").join(nodes.join(asked, "node", "left_semi").select("node", "at"), "at").select("node", "said")
-    sets = stage(texts.select("node", shingles("said").alias("set")), "shingles")
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, rows, words)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common, whole = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
     return stage(both.where(common >= F.lit(similarity) * (whole - common)).select("a", "b"), "similar")
 
 
+def _meeting(similarity: float):
+    """Sorted (shingle, node, root, size, place) to the pairs (a, b) of different roots that may be similar.
+
+    ``place`` is the shingle's rank among the node's own, rarest first. Of a
+    pair's first common shingle on, no more than the shorter rest can be common.
+    """
+    share = similarity / (1 + similarity)
+
+    def pairs_of(held: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        node, root, size, place = (np.concatenate([h[i] for h in held]) for i in range(4))
+        rest = size - place
+        # All pairs of different roots have an end outside the group that most are in.
+        _, which, many = np.unique(root, return_inverse=True, return_counts=True)
+        few = np.flatnonzero(which != many.argmax())
+        a, b = [], []
+        for i in few.tolist():
+            other = (np.minimum(rest[i], rest) >= share * (size[i] + size) - 1e-9) & (root != root[i])
+            # Pairs within the few are met twice: from the later end only.
+            other[few[few >= i]] = False
+            j = np.flatnonzero(other)
+            a.append(np.full(len(j), node[i]))
+            b.append(node[j])
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(a + none), np.concatenate(b + none)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, held = None, []
+        for batch in batches:
+            keys = batch["shingle"].to_numpy()
+            columns = [batch[c].to_numpy() for c in ("node", "root", "size", "place")]
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist() if len(keys) else []
+            found = []
+            for start, end in zip(starts, [*starts[1:], len(keys)], strict=False):
+                if keys[start] != shingle:
+                    if sum(len(h[0]) for h in held) > 1:
+                        found.append(pairs_of(held))
+                    shingle, held = keys[start], []
+                held.append([c[start:end] for c in columns])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)])) for i in (0, 1)], ["a", "b"])
+        if sum(len(h[0]) for h in held) > 1:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in pairs_of(held)], ["a", "b"])
+
+    return run
+
+
+def _similar_among(some: DataFrame, nodes: DataFrame, rows: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
+    """All links (a, b) between nodes of ``some`` with different roots, exactly.
+
+    Two sets of this similarity share one of the rarest shingles of each: of
+    all but ``similarity`` of them, and one more. Rarity is counted among these
+    nodes; shingles that one node alone has come first and meet nothing.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = _sets(some, nodes, rows, words)
+    each = sets.select("node", F.size("set").alias("size"), F.explode("set").alias("shingle"))
+    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
+    # A node's own shingles are one group, as large as its text.
+    ranked = each.join(counts, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("by_rarity"))
+    first = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9)) + 1
+    placed = ranked.select("node", F.col("size").cast("long").alias("size"), F.posexplode(F.slice("by_rarity", F.lit(1), first.cast("int"))).alias("place", "own"))
+    rooted = placed.where("own.df > 1").join(roots, "node", "left").select(F.col("own.shingle").alias("shingle"), "node", F.coalesce("root", "node").alias("root"), "size", F.col("place").cast("long").alias("place"))
+    met = rooted.repartition(tasks, "shingle").sortWithinPartitions("shingle", "node").mapInArrow(_meeting(similarity), "a long, b long")
+    return _verified(met, nodes, rows, words, similarity)
+
+
 def _similar(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     """(node, root) of the nodes that similar texts join to smaller ones; ``rows`` (node, hi, lo, at, said)."""
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     nodes = stage(rows.groupBy("node").agg(F.min(F.struct("at", "hi", "lo")).alias("least")).select("node", "least.*").repartition(tasks, "node"), "nodes")
     cells = nodes.mapInArrow(_drawn, "cell long, node long, hi long, lo long")
 
-    def searched(cells: DataFrame, rooted: bool, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    def searched(cells: DataFrame, rooted: bool) -> tuple[DataFrame, DataFrame]:
         """Links among the candidates; the members (cell, node) of the cells that have more candidates."""
-        found = cells.repartition(tasks, "cell").sortWithinPartitions("cell", "node").mapInArrow(_candidates(rooted, whole), "a long, b long, cell long, far long")
+        found = cells.repartition(tasks, "cell").sortWithinPartitions("cell", "node").mapInArrow(_candidates(rooted), "a long, b long, cell long, far long")
         found = stage(found, "candidates")
         pairs = found.where(F.col("b").isNotNull())
-        # Of all crowded cells of a node, one pair: the nearest.
-        best = pairs.where(F.col("far").isNotNull()).groupBy("a").agg(F.min(F.struct("far", "b")).alias("best")).select("a", "best.b")
+        # Of all crowded cells of a node, two pairs: the nearest node and the nearest centre.
+        best = pairs.where(F.col("far").isNotNull()).groupBy("a", F.col("far") >= 128).agg(F.min(F.struct("far", "b")).alias("best")).select("a", "best.b")
         links = _verified(pairs.where(F.col("far").isNull()).select("a", "b").unionByName(best), nodes, rows, words, similarity)
         return links, found.where(F.col("b").isNull()).select("cell", F.col("a").alias("node"))
 
     links, crowded = searched(cells, False)
-    whole = False
-    while not crowded.isEmpty():
-        # What is joined needs no more pairs. While nearest pairs join groups, they go on; then all other pairs are verified.
-        roots = components(links)
-        rest = crowded.join(nodes.drop("at"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        more, crowded = searched(rest.select("cell", "node", "hi", "lo", "root"), True, whole)
-        whole = more.isEmpty()
-        links = links.unionByName(more)
-    return components(links)
+    left = stage(crowded.select("node").distinct(), "crowded")
+    if left.isEmpty():
+        return components(links)
+    # What is joined needs no more pairs. Once more between different groups: few pairs are left to decide then.
+    roots = components(links)
+    rest = crowded.join(nodes.drop("at"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    more, _ = searched(rest.select("cell", "node", "hi", "lo", "root"), True)
+    roots = _joined(roots, more)
+    return _joined(roots, _similar_among(left, nodes, rows, roots, words, similarity))
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after further links: these join whole groups, so only roots are looked at anew."""
+    named = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    between = links.join(named[0], "a", "left").join(named[1], "b", "left")
+    above = components(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+    over = above.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    below = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return stage(below.unionByName(above), "roots")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float | None = None) -> DataFrame:
@@ -339,6 +438,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     a ``similarity``, near-duplicates are not texts whose fingerprints differ
     in ``BITS`` bits, but those whose distinct shingles of so many ``words``
     have this Jaccard similarity or more; a text of fewer words is one shingle.
+    Texts without words (NULL, empty, blank) are all alike: one of them stays.
     """
     if similarity is not None:
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
