@@ -258,9 +258,9 @@ def evaluate_candidates(
         work = evaluation_folder(dataset, store, options, keys)
     work = work or new_folder(spark, "evaluation")
 
-    def stored(name: str, rows: Callable[[], DataFrame], by_day: bool = False) -> DataFrame:
+    def stored(name: str, rows: Callable[[], DataFrame], in_time: bool = False) -> DataFrame:
         if not is_whole(spark, readers.stage_path(spark, name, work)):
-            writers.write_stage(rows(), name, work, by_day=by_day)
+            writers.write_stage(rows(), name, work, in_time=in_time)
         return readers.read_stage(spark, name, work)
 
     observed = stored("observed", lambda: dataset.select(*keys, SLOT, *ENERGY, *WEATHER), True)

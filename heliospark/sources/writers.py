@@ -81,14 +81,23 @@ def _write_by_day(df: DataFrame, path: str, mode: str, touched_days_only: bool =
         ends.hint("rebalance").write.mode("append" if touched_days_only else "overwrite").parquet(ends_path(path))
 
 
-def write_stage(df: DataFrame, name: str, root: str | None = None, by_day: bool = False) -> str:
+def write_stage(
+    df: DataFrame, name: str, root: str | None = None, by_day: bool = False, in_time: bool = False
+) -> str:
     """Store a stage's rows, which also ends their lineage.
 
     ``by_day`` suits stages of which later jobs read a time range each.
+    ``in_time`` does so too where days are small: rows lie in order of time, so
+    that the files' statistics prune, and files follow the size of the rows, not
+    the number of days.
     """
     path = stage_path(df.sparkSession, name, root)
     if by_day:
         _write_by_day(df, path, "overwrite")
+    elif in_time:
+        dated = with_fecha(df)
+        order = [c for c in (FECHA, PLANT, SLOT) if c in dated.columns]
+        dated.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
     return path

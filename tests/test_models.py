@@ -473,3 +473,17 @@ def test_scores_against_plain_sums(spark):
     chosen = pipeline.choose(df).first()
     assert chosen["model"] == min(("arima", 1.0), ("additive", 0.5), ("random_forest", (sum((0.1 * (i % 7)) ** 2 for i in range(60)) / 60) ** 0.5), key=lambda x: x[1])[0]
     assert pipeline.decay(df).where("model = 'arima'").agg(F.sum("slots")).first()[0] == 60
+
+
+def test_an_evaluation_stores_files_by_size_not_by_day(spark, tmp_path):
+    """Small days share files, whose statistics still bound a fold's scan."""
+    rows = pv_weather(spark, days=60, plants=1, step_minutes=360).repartition(3)
+    work = str(tmp_path / "work")
+    pipeline.evaluate_candidates(rows, 2, k=1, step="6 hours", strategies=("sliding",), models=("additive",), work=work, additive_options={"fourier": {"day": 1}, "changepoints": 0})
+    for name in ("observed", "inputs"):
+        files = [str(p) for p in (tmp_path / "work" / "stages" / name).rglob("*.parquet")]
+        assert 0 < len(files) <= 8
+    stored = readers.read_stage(spark, "observed", work)
+    assert stored.count() == rows.count() and "fecha" in stored.columns
+    spans = [tuple(map(str, spark.read.parquet(f).agg(F.min("slot"), F.max("slot")).first())) for f in files]
+    assert all(a[1] <= b[0] for a, b in zip(sorted(spans), sorted(spans)[1:]))
