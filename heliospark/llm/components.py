@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from heliospark.llm.common import stage
 
+#: Edges of a file that a round writes; a round's files follow its edges, not the number of partitions.
+EDGES = 1 << 18
+
 
 def _to_least(nodes: DataFrame) -> DataFrame:
     """(u, v) with the least id m of u and its v."""
@@ -33,9 +36,10 @@ def _small(edges: DataFrame) -> DataFrame:
     return tied.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
 
 
-def _round(edges: DataFrame) -> DataFrame:
+def _round(edges: DataFrame, n: int) -> DataFrame:
+    """The next round of ``n`` edges, which gives twice as many at most."""
     done = _small(_large(edges).where("a <> b").distinct())
-    return stage(done.where("a <> b").distinct(), "star")
+    return stage(done.where("a <> b").distinct().coalesce(1 + n // EDGES), "star")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -51,7 +55,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stage(edges, "star")
     seen = mark(now)
     while seen[0]:
-        now = _round(now)
+        now = _round(now, seen[0])
         was, seen = seen, mark(now)
         if was == seen:
             break

@@ -7,19 +7,22 @@ bits lie within 2 of each other, and some grid cell is within 1 of both. Each
 fingerprint goes to the cells within 1 of its point (33 at most); those that
 meet in a cell are verified by their exact bit distance.
 
-Copies by similarity (``keep_one`` with a ``similarity``) lie many more bits
-apart, where segment counts no longer tell pairs apart. They take fingerprints
-of 128 bits over the distinct shingles, cells of equal bits in ``DRAWS`` draws
-of ``DRAWN`` bits, and pairs within ``RADIUS`` bits in a cell as candidates,
-which are verified by the exact Jaccard similarity of their shingles. In a
-crowded cell each fingerprint is paired with its nearest one and with the
-cell's centre only, and once more between the groups that this makes. What then
-is left apart in crowded cells is decided exactly, by a similarity join on the
-rarest shingles.
+Copies by similarity (``keep_one`` with a ``similarity``) are first sought the
+same way: the grid's links, and equal fingerprints, are candidates. Others lie
+many more bits apart, where segment counts no longer tell pairs apart. These
+take fingerprints of 128 bits over the distinct shingles (the grid takes the
+last 64 of them), cells of equal bits in ``DRAWS`` draws of ``DRAWN`` bits, and
+pairs within ``RADIUS`` bits in a cell as further candidates. All candidates are
+verified by the exact Jaccard similarity of their shingles. In a crowded cell
+each fingerprint is paired with its nearest one and with the cell's centre only,
+and once more between the groups that this makes. What then is left apart of
+those that lie near others in crowded cells is decided exactly, by a similarity
+join on the rarest shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import islice
 
@@ -41,8 +44,10 @@ CHUNK, SMALL = 1 << 16, 64
 #: Of 128 bits, two texts of Jaccard similarity 0.8 differ in 19 on average, in more than RADIUS once in 30,000 times;
 #: one of 48 draws of 14 bits is equal in 99.5 % of such pairs, in 99.95 % at 0.85.
 DRAWS, DRAWN, RADIUS = 48, 14, 36
-#: Pairs a member up to which a cell gives all of its pairs at once.
-_PAIRS = 4
+#: Pairs a member up to which a cell gives all of its pairs at once, and pairs of a stored file.
+_PAIRS, _FILE_PAIRS = 4, 1 << 18
+#: Frequent shingles whose numbers are broadcast, and shingles that a task holds while it counts.
+COMMON, _HELD = 1 << 16, 1 << 20
 
 
 def fingerprint_of(text: str, words: int = WORDS) -> int:
@@ -183,7 +188,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 def label(marked: DataFrame) -> DataFrame:
     """``marked`` (key, fp, ...) with the column component."""
-    nodes = stage(marked.groupBy("fp").agg(F.min("key").alias("least")), "nodes")
+    nodes = marked.groupBy("fp").agg(F.min("key").alias("least"))
     roots = components(link_fingerprints(nodes)).select(F.col("node").alias("fp"), "root")
     rooted = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
@@ -239,7 +244,7 @@ def _candidates(rooted: bool):
 
     A cell of many pairs gives two for each node at most, with the distance
     ``far``: with the nearest node before it and with the cell's centre. Its
-    members come as (node, NULL, cell).
+    members that are within the radius of others come as (node, NULL, cell).
     """
 
     def distances(hi: np.ndarray, lo: np.ndarray, mine: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -254,7 +259,7 @@ def _candidates(rooted: bool):
     def pairs_of(cell: int, held: list[np.ndarray]) -> list[tuple]:
         node, hi, lo, root = (np.concatenate([h[i] for h in held]) for i in range(4))
         m = len(node)
-        out, nearest, crowd = [], [], False
+        out, nearest, crowd, met = [], [], False, np.zeros(m, dtype=bool)
         hi, lo, width = hi.view(np.uint64), lo.view(np.uint64), max(1, (1 << 22) // m)
         for at in range(0, m, width):
             mine = np.arange(at, min(m, at + width))
@@ -267,6 +272,8 @@ def _candidates(rooted: bool):
             if not crowd:
                 crowd = sum(len(x) for x, _, _ in out) + int(near.sum()) > _PAIRS * m
             some = near.any(1)
+            met[mine] |= some
+            met[: mine[-1] + 1] |= near.any(0)
             nearest.append((mine[some], far[some].argmin(1), far[some].min(1, initial=255).astype(np.int64)))
             if not crowd:
                 i, j = np.nonzero(near)
@@ -279,7 +286,8 @@ def _candidates(rooted: bool):
         # The centre's distance is marked by adding 128, so that it is a choice of its own.
         nearest.append((near, np.full(len(near), hub), far[near] + 128))
         found = [(node[i], node[j], d, np.zeros(len(i), dtype=bool)) for i, j, d in nearest if len(i)]
-        return [*found, (node, np.full(m, cell), np.full(m, -1), np.ones(m, dtype=bool))]
+        m = int(met.sum())
+        return [*found, (node[met], np.full(m, cell), np.full(m, -1), np.ones(m, dtype=bool))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held = None, []
@@ -325,7 +333,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, s
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, rows, words)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
     common, whole = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    return stage(both.where(common >= F.lit(similarity) * (whole - common)).select("a", "b"), "similar")
+    alike = both.where(common >= F.lit(similarity) * (whole - common)).select("a", "b")
+    # No more rows than pairs, whose number tells how many files they need.
+    return stage(alike.repartition(1 + pairs.count() // _FILE_PAIRS), "similar")
+
+
+def _grid_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, lo): those that the grid of segment bit counts links, and each node with the least one of its fingerprint."""
+    marked = nodes.select("node", F.col("lo").alias("fp"))
+    least = marked.groupBy("fp").agg(F.min("node").alias("least"))
+    equal = marked.join(least, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    linked = link_fingerprints(marked)
+    for c in ("a", "b"):
+        linked = linked.join(least.select(F.col("fp").alias(c), F.col("least").alias(f"node_{c}")), c)
+    return equal.unionByName(linked.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
 def _meeting(similarity: float):
@@ -373,22 +394,59 @@ def _meeting(similarity: float):
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, set) to (shingle, n), added up within a task as far as ``_HELD`` shingles go: copies share most of theirs."""
+    held, size = [np.zeros(0, np.int64)], 0
+
+    def passed_on() -> pa.RecordBatch:
+        shingles, n = np.unique(np.concatenate(held), return_counts=True)
+        held[:] = [np.zeros(0, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(shingles), pa.array(n.astype(np.int64))], ["shingle", "n"])
+
+    for batch in batches:
+        held.append(batch["set"].flatten().to_numpy())
+        size += len(held[-1])
+        if size > _HELD:
+            yield passed_on()
+            size = 0
+    yield passed_on()
+
+
 def _similar_among(some: DataFrame, nodes: DataFrame, rows: DataFrame, roots: DataFrame, words: int, similarity: float) -> DataFrame:
     """All links (a, b) between nodes of ``some`` with different roots, exactly.
 
     Two sets of this similarity share one of the rarest shingles of each: of
-    all but ``similarity`` of them, and one more. Rarity is counted among these
-    nodes; shingles that one node alone has come first and meet nothing.
+    all but ``similarity`` of them, and one more. That holds in any order of the
+    shingles that all sets share; here the ``COMMON`` most frequent ones of these
+    nodes come last, by their number, and all others first, by their hash.
     """
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = rows.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sets = _sets(some, nodes, rows, words)
-    each = sets.select("node", F.size("set").alias("size"), F.explode("set").alias("shingle"))
-    counts = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    # A node's own shingles are one group, as large as its text.
-    ranked = each.join(counts, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("by_rarity"))
-    first = F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - F.lit(1e-9)) + 1
-    placed = ranked.select("node", F.col("size").cast("long").alias("size"), F.posexplode(F.slice("by_rarity", F.lit(1), first.cast("int"))).alias("place", "own"))
-    rooted = placed.where("own.df > 1").join(roots, "node", "left").select(F.col("own.shingle").alias("shingle"), "node", F.coalesce("root", "node").alias("root"), "size", F.col("place").cast("long").alias("place"))
+    counts = stage(sets.mapInArrow(_counted, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("df")).where("df > 1"), "counts")
+    # At most about the root of twice the number of shingles.
+    histogram = sorted(counts.groupBy("df").count().collect(), reverse=True)
+    cut = max((r.df + 1 for r, n in zip(histogram, np.cumsum([r["count"] for r in histogram]), strict=True) if n > COMMON), default=0)
+    common = sorted((r.shingle, r.df) for r in counts.where(F.col("df") >= cut).collect())
+    shared = spark.sparkContext.broadcast(np.array(common, dtype=np.int64).reshape(-1, 2))
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df = shared.value.T
+        for batch in batches:
+            out = []
+            for node, root, own in zip(batch["node"].to_pylist(), batch["root"].to_pylist(), batch["set"], strict=True):
+                own = own.values.to_numpy()
+                size = len(own)
+                at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+                often = np.where(known[at] == own, df[at], 0) if len(known) else np.zeros(size, np.int64)
+                first = np.lexsort((own, often))[: size - math.ceil(similarity * size - 1e-9) + 1]
+                n = len(first)
+                out.append((own[first], np.full(n, node), np.full(n, root), np.full(n, size), np.arange(n)))
+            columns = [np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "node", "root", "size", "place"])
+
+    placed = sets.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "set")
+    rooted = placed.mapInArrow(rarest, "shingle long, node long, root long, size long, place long")
     met = rooted.repartition(tasks, "shingle").sortWithinPartitions("shingle", "node").mapInArrow(_meeting(similarity), "a long, b long")
     return _verified(met, nodes, rows, words, similarity)
 
@@ -399,17 +457,18 @@ def _similar(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     nodes = stage(rows.groupBy("node").agg(F.min(F.struct("at", "hi", "lo")).alias("least")).select("node", "least.*").repartition(tasks, "node"), "nodes")
     cells = nodes.mapInArrow(_drawn, "cell long, node long, hi long, lo long")
 
-    def searched(cells: DataFrame, rooted: bool) -> tuple[DataFrame, DataFrame]:
-        """Links among the candidates; the members (cell, node) of the cells that have more candidates."""
+    def searched(cells: DataFrame, rooted: bool, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """Links among the candidates and the pairs ``near``; the members (cell, node) of the cells that have more candidates."""
         found = cells.repartition(tasks, "cell").sortWithinPartitions("cell", "node").mapInArrow(_candidates(rooted), "a long, b long, cell long, far long")
         found = stage(found, "candidates")
         pairs = found.where(F.col("b").isNotNull())
         # Of all crowded cells of a node, two pairs: the nearest node and the nearest centre.
         best = pairs.where(F.col("far").isNotNull()).groupBy("a", F.col("far") >= 128).agg(F.min(F.struct("far", "b")).alias("best")).select("a", "best.b")
-        links = _verified(pairs.where(F.col("far").isNull()).select("a", "b").unionByName(best), nodes, rows, words, similarity)
+        pairs = pairs.where(F.col("far").isNull()).select("a", "b").unionByName(best)
+        links = _verified(pairs if near is None else pairs.unionByName(near), nodes, rows, words, similarity)
         return links, found.where(F.col("b").isNull()).select("cell", F.col("a").alias("node"))
 
-    links, crowded = searched(cells, False)
+    links, crowded = searched(cells, False, _grid_pairs(nodes))
     left = stage(crowded.select("node").distinct(), "crowded")
     if left.isEmpty():
         return components(links)

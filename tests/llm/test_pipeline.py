@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from heliospark.llm import simhash
@@ -108,6 +109,20 @@ def test_recall_of_lone_pairs(spark, similarity, least):
     assert found >= least
 
 
+def test_near_stage_asks_the_grid_of_segment_counts(spark, sf_dir, monkeypatch):
+    """Its links are candidates of their own: they are found without any draw of bits."""
+    words = [f"w{i}" for i in range(402)]
+    changed = [*words[:401], "other"]
+    docs = documents(spark, [(1, " ".join(words)), (2, " ".join(changed)), (3, "five words of its own")])
+    nodes = docs.select("doc_id", simhash._sketches(5)(F.col("text")).alias("s")).select("doc_id", "s.*")
+    marks = {r.doc_id: r for r in nodes.collect()}
+    assert 0 < (marks[1].lo ^ marks[2].lo).bit_count() <= simhash.BITS
+    pairs = {frozenset((r.a, r.b)) for r in simhash._grid_pairs(nodes).collect()}
+    assert pairs == {frozenset((marks[1].node, marks[2].node))}
+    monkeypatch.setattr(simhash, "_drawn", lambda batches: iter(()))
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == {1, 3}
+
+
 def test_blank_documents_are_one_group(spark, sf_dir):
     docs = documents(spark, [(1, None), (2, ""), (3, " \t\n"), (4, "one word"), (5, "another word")])
     assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()} == {1, 4, 5}
