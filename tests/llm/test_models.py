@@ -121,6 +121,16 @@ def test_style_tree_removes_what_all_pages_of_a_host_share(spark):
     assert found[100] == "Shared notice of the site\nTitle 100\nStory number 100\nCall us now"
 
 
+def test_style_tree_judges_what_stands_in_an_article_too(spark):
+    """The host's boilerplate goes though markup calls it main; a copy of one of the pages changes nothing."""
+    def page(i):
+        return f"<body><nav>menu</nav><article><h2>Title {i}</h2><p>Story number {i}</p><div class=line><p>Read it on paper, too</p></div></article><div class=end><p>Call us now</p></div></body>"
+
+    rows = [(i, f"https://host.example/{i}", page(i)) for i in range(20)] + [(20 + i, "https://host.example/3", page(3)) for i in range(40)]
+    found = {r.row.page_id: r.text for r in site_style_tree.extract(pages(spark, rows)).collect()}
+    assert found == {i: f"Title {i if i < 20 else 3}\nStory number {i if i < 20 else 3}" for i in range(60)}
+
+
 def test_copies_of_an_article_keep_their_text(spark):
     rows = [(i, "https://copies.example/x", "<body><nav>n</nav><article><p>Same story</p></article></body>") for i in range(50)]
     assert {r.text for r in site_style_tree.extract(pages(spark, rows)).collect()} == {"Same story"}
