@@ -202,6 +202,57 @@ def test_words_beyond_the_broadcast_counts(spark, tiny, monkeypatch):
     assert np.allclose([r[2] for r in whole], [r[2] for r in parted])
 
 
+def test_every_word_is_a_context_with_dishes_of_its_own(spark, monkeypatch):
+    """However many contexts there are and however rare their words: each has learned what follows it."""
+    monkeypatch.setattr(pitman_yor, "DISHES", 8)
+    texts = [f"a{i} b{i}" for i in range(700) for _ in range(3)]
+    model, learned = pitman_yor.fit(documents(spark, list(enumerate(texts))).select("text"))
+    asked = [f"a{i} b{(i + j) % 700}" for j in (0, 1) for i in range(700)]
+    found = {r.row.doc_id: r.score for r in pitman_yor.score(documents(spark, list(enumerate(asked))), model, learned).collect()}
+    assert all(found[i] > found[700 + i] + 1.5 for i in range(700))
+
+
+@pytest.mark.parametrize(("counted", "grain", "block"), [(1 << 18, 1 << 20, 5 << 20), (15, 300, 100), (40, 100, 50)])
+def test_language_model_against_its_restaurants(spark, tiny, monkeypatch, counted, grain, block):
+    """Buckets, parts of contexts, blocks and joins give what plain sums over the restaurants give, and chances add up."""
+    for name, value in (("DISHES", 20), ("COUNTED", counted), ("GRAIN", grain), ("BLOCK", block)):
+        monkeypatch.setattr(pitman_yor, name, value)
+    model, learned = pitman_yor.fit(tiny.select("text"))
+    pairs, unigrams = Counter(), Counter()
+    for r in tiny.collect():
+        words = [b"\n", *r.text.encode().split(), b"\n"]
+        pairs.update(zip(words, words[1:]))
+        unigrams.update(words[1:])
+    names = dict(zip(model.vocab.ids(list(unigrams)).tolist(), unigrams))
+    guests, tables = Counter(), Counter()
+    for r in learned.restaurants.collect():
+        mean, contexts = iter(r["mean"]), [c for c, n in zip(r.contexts, r.runs) for _ in range(n)]
+        for c, w, n in zip(contexts, pitman_yor._spread(bytes(r.words), np.int64).tolist(), r.guests):
+            pair = names[c], names[w]
+            guests[pair] += n
+            tables[pair] += next(mean) if n > 1 else 1
+    assert guests == pairs and all(1 <= tables[p] <= n for p, n in pairs.items())
+    assert any(n > 1 for n in model.vocab.parts.tolist()) == (grain == 100 or grain == 300)
+    words = [*unigrams, b"never"]
+    parent = dict(zip(words, model.parent(model.vocab.ids(words), np.array([unigrams[w] for w in words])).tolist()))
+    assert sum(parent.values()) == pytest.approx(1)
+    seated = Counter()
+    for (c, _), t in tables.items():
+        seated[c] += t
+
+    def chance(c, w):
+        s, d = model.strength, model.discount
+        return (max(guests[c, w] - d * tables[c, w], 0) + (s + d * seated[c]) * parent[w]) / (s + unigrams[c])
+
+    for c in words:
+        assert sum(chance(c, w) for w in words) == pytest.approx(1, abs=1e-6)
+    asked = [*(r.text for r in tiny.collect()), "never w1 never", "", None, "w3 never", "W1 w2"]
+    found = {r.row.doc_id: r.score for r in pitman_yor.score(documents(spark, list(enumerate(asked))), model, learned).collect()}
+    for i, text in enumerate(asked):
+        said = [b"\n", *(text or "").lower().encode().split(), b"\n"]
+        assert found[i] == pytest.approx(sum(math.log10(chance(c, w)) for c, w in zip(said, said[1:])), abs=1e-4)
+
+
 def test_seating_keeps_its_guests():
     rng = np.random.default_rng(4)
     guests = rng.integers(1, 50, 40)
