@@ -253,6 +253,29 @@ def test_language_model_against_its_restaurants(spark, tiny, monkeypatch, counte
         assert found[i] == pytest.approx(sum(math.log10(chance(c, w)) for c, w in zip(said, said[1:])), abs=1e-4)
 
 
+def test_rounds_of_seating_take_little_memory(spark, tiny, monkeypatch):
+    """A bucket's dishes are packed bytes to the JVM, and a task has one Python worker, the first round's as well."""
+    staged, stage = [], pitman_yor.stage
+
+    def seen(df, name, **options):
+        if name == "seating":
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            staged.append((df.schema, plan.split("Exchange")[0].count("MapInArrow")))
+        return stage(df, name, **options)
+
+    monkeypatch.setattr(pitman_yor, "stage", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pitman_yor.fit(tiny.select("text"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(staged) == pitman_yor.BURN_IN + pitman_yor.SAMPLES
+    for schema, workers in staged:
+        assert workers == 1
+        assert {f.name for f in schema if f.dataType.typeName() == "array"} <= {"parted"}
+
+
 def test_seating_keeps_its_guests():
     rng = np.random.default_rng(4)
     guests = rng.integers(1, 50, 40)
