@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import __spark_entry__ as registry
 from heliospark.llm import pitman_yor, site_style_tree, topk, toxicity
@@ -276,6 +277,26 @@ def test_rounds_of_seating_take_little_memory(spark, tiny, monkeypatch):
         assert {f.name for f in schema if f.dataType.typeName() == "array"} <= {"parted"}
 
 
+def test_texts_are_coded_without_strings_for_the_jvm(spark, monkeypatch):
+    """Blocks reach the JVM as packed bytes, and hold the contract's words of every text, whatever its slice."""
+    monkeypatch.setattr(pitman_yor, "BLOCK", 40)
+    monkeypatch.setattr(pitman_yor, "_SPLIT", 30)
+    rng = random.Random(5)
+    texts = [None, "", " \n", *("".join(rng.choices(" \t\n\x0b\x0c\raBÉé\x1c\xa0 \u2003K", k=rng.randrange(60))) for _ in range(300))]
+    coded = pitman_yor.code(documents(spark, list(enumerate(texts))).select("doc_id", "text").coalesce(1))
+    assert not any(isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType) for f in coded.schema)
+    blocks, found = coded.toArrow(), {}
+    assert blocks.num_rows > 10
+    for i in range(blocks.num_rows):
+        words, (codes, n) = pitman_yor._said(blocks, i), pitman_yor._read(blocks, i, "codes", "n")
+        assert words[0] == b"\n" and n.tolist() == np.bincount(codes, minlength=len(words)).tolist()
+        ends = np.cumsum(blocks["lengths"][i].as_py())
+        assert all(e >= 40 for e in ends[-1:]) or i == blocks.num_rows - 1
+        for row, part in zip(blocks["row"][i].as_py(), np.split(codes, ends[:-1]), strict=True):
+            found[row["doc_id"]] = [words[c] for c in part.tolist()]
+    assert found == {i: [*pitman_yor.words_of(t), b"\n"] for i, t in enumerate(texts)}
+
+
 def test_seating_keeps_its_guests():
     rng = np.random.default_rng(4)
     guests = rng.integers(1, 50, 40)
