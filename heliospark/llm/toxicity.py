@@ -18,12 +18,15 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heliospark.llm.common import stage
+
 #: Bounds of the fit: labelled rows read (in expectation), terms, examples kept. They bound what is broadcast.
 LABELLED, TERMS, EXAMPLES = 200_000, 20_000, 20_000
 #: A term needs this many positive rows, and log odds that stay above LEAST_ODDS when SIGMAS standard errors are taken off.
@@ -37,14 +40,40 @@ _words = re.compile(r"[^\W\d_]+").findall
 _HELD_TERMS = 400_000
 
 
+#: Bytes of words stay; what is ASCII and no letter parts them.
+_LETTERS = bytes(c if chr(c).isalpha() or c > 127 else 32 for c in range(256))
+#: Words whose terms a task keeps for the next text.
+_HELD_WORDS = 200_000
+
+
+def words_of(text: str | None) -> list[str]:
+    """The words, in any order; the pattern is asked only where a piece is not ASCII alone, as it is several times slower."""
+    pieces = (text or "").lower().encode().translate(_LETTERS).decode().split()
+    words = list(filter(str.isascii, pieces))
+    if len(words) < len(pieces):
+        words += chain.from_iterable(map(_words, filterfalse(str.isascii, pieces)))
+    return words
+
+
+def _terms(word: str) -> tuple[str, ...]:
+    """The word and its prefixes, which are marked by a star."""
+    return word, *(word[:size] + "*" for size in _PREFIXES if len(word) > size)
+
+
+class _Terms(dict):
+    """Terms by word, reckoned once for each word."""
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        found = self[word] = _terms(word)
+        return found
+
+
 def terms_of(text: str | None) -> Counter:
     """How often each term is in the text; prefixes are marked by a star."""
-    words = Counter(_words((text or "").lower()))
-    out = Counter(words)
-    for word, n in words.items():
-        for size in _PREFIXES:
-            if len(word) > size:
-                out[word[:size] + "*"] += n
+    out: Counter = Counter()
+    for word, n in Counter(words_of(text)).items():
+        for term in _terms(word):
+            out[term] += n
     return out
 
 
@@ -65,7 +94,9 @@ class Neighbours:
     prior: float = 1.0
     rate: float = 0.0
     postings: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
-    _seen: dict = field(default_factory=dict)
+    #: Places of the terms of the words that have any; the first letters of all terms.
+    _hits: dict = field(default_factory=dict)
+    _heads: set = field(default_factory=set)
 
     def build(self) -> None:
         """For each term: its examples, their weights, its blocks, the largest weight in each block."""
@@ -80,17 +111,19 @@ class Neighbours:
             self.postings.append((who, w, blocks, np.maximum.reduceat(w, at) if len(w) else w))
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Terms of the space and their weights, of length one; the lookup of a word is kept for the next text."""
-        if len(self._seen) > 200_000:
-            self._seen.clear()
-        seen, counts = self._seen, Counter()
-        for word, n in Counter(_words((text or "").lower())).items():
-            hits = seen.get(word)
-            if hits is None:
-                tried = [word, *(word[:s] + "*" for s in _PREFIXES if len(word) > s)]
-                hits = seen[word] = tuple(self.terms[t] for t in tried if t in self.terms)
-            for t in hits:
-                counts[t] += n
+        """Terms of the space and their weights, of length one; only words that begin as a term does are looked up, once for many texts."""
+        if len(self._hits) > _HELD_WORDS:
+            self._hits.clear()
+        if not self._heads:
+            self._heads = {t[: _PREFIXES[0]] for t in self.terms}
+        words, hits, heads, head, counts = words_of(text), self._hits, self._heads, _PREFIXES[0], Counter()
+        near = {w for w in set(words) if w[:head] in heads}
+        for word in near.difference(hits):
+            hits[word] = tuple(self.terms[t] for t in _terms(word) if t in self.terms)
+        if near:
+            for word, n in Counter(filter(near.__contains__, words)).items():
+                for t in hits[word]:
+                    counts[t] += n
         return self.weigh(counts)
 
     def weigh(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +192,7 @@ class Neighbours:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: tuple[Counter, Counter] = (Counter(), Counter())
-    rows = [0, 0]
+    rows, terms_by_word = [0, 0], _Terms()
 
     def passed_on() -> pa.RecordBatch:
         terms = list(held[0].keys() | held[1].keys())
@@ -171,7 +204,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, label in zip(batch["text"].to_pylist(), batch["label"].to_pylist(), strict=True):
-            held[label].update(terms_of(text).keys())
+            if len(terms_by_word) > _HELD_WORDS:
+                terms_by_word.clear()
+            held[label].update(set().union(*map(terms_by_word.__getitem__, set(words_of(text)))))
             rows[label] += 1
             if len(held[0]) + len(held[1]) > _HELD_TERMS:
                 yield passed_on()
@@ -191,7 +226,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key")
 
     counts = rows.select("text", "label").mapInArrow(_counted, "term string, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    counts = counts.where((F.col("pos") >= SUPPORT) | (F.col("term") == ""))
+    # Written out, as the placed rows below: they are read twice, and the texts behind them once.
+    counts = stage(counts.where((F.col("pos") >= SUPPORT) | (F.col("term") == "")), "terms")
     total = counts.where("term = ''").first()
     n_pos, n_neg = (total.pos or 0, total.neg or 0) if total else (0, 0)
 
@@ -215,7 +251,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch["key"], batch["label"], columns, pa.array([w.tolist() for _, w in found], pa.list_(pa.float64()))], ["key", "label", "columns", "weights"])
 
     placed = rows.select(F.col("key").cast("long").alias("key"), "label", "text").mapInArrow(vectors, "key long, label int, columns array<long>, weights array<double>")
-    placed = placed.withColumn("some", F.size("columns") > 0)
+    placed = stage(placed, "placed").withColumn("some", F.size("columns") > 0)
     # At most max_examples rows, and one row of counts.
     sample = placed.where("some").orderBy(F.xxhash64("key"), "key").limit(max_examples).collect()
     none = placed.where("not some").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("pos")).first()

@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -277,6 +278,32 @@ def test_rounds_of_seating_take_little_memory(spark, tiny, monkeypatch):
         assert {f.name for f in schema if f.dataType.typeName() == "array"} <= {"parted"}
 
 
+def test_toxicity_counts_the_training_texts_once(spark, tmp_path, monkeypatch):
+    """What is read twice of the counts is written out, not reckoned twice from the texts."""
+    counted, folder = toxicity._counted, str(tmp_path)
+
+    def noted(batches):
+        for batch in batches:
+            with open(f"{folder}/{batch['text'][0].as_py()}", "a") as out:
+                out.write(f"{batch.num_rows}\n")
+            yield batch
+
+    monkeypatch.setattr(toxicity, "_counted", lambda batches: counted(noted(batches)))
+    docs = documents(spark, [(i, f"w{i % 7} {'vile' if i % 3 == 0 else 'kind'} things") for i in range(60)])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.fit(docs.select("doc_id", "text"), labels)
+    assert sum(int(n) for f in tmp_path.iterdir() for n in f.read_text().split()) == 60
+    assert "vile" in model.terms and "kind" not in model.terms
+
+
+def test_toxicity_words_are_the_runs_of_letters():
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choices("aBzÉé_09 -Kİß٣²\t\n\x1c\u2003abcdefgh", k=rng.randrange(60)))
+        assert sorted(toxicity.words_of(text)) == sorted(re.findall(r"[^\W\d_]+", text.lower()))
+    assert toxicity.words_of(None) == []
+
+
 def test_texts_are_coded_without_strings_for_the_jvm(spark, monkeypatch):
     """Blocks reach the JVM as packed bytes, and hold the contract's words of every text, whatever its slice."""
     monkeypatch.setattr(pitman_yor, "BLOCK", 40)
