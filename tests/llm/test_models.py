@@ -343,3 +343,99 @@ def test_language_model_awkward_rows(spark, tiny):
     rows = pitman_yor.score(docs, model, counts).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 and math.isfinite(r.score) for r in rows)
     assert pitman_yor.score(docs.where("false"), model, counts).collect() == []
+
+
+def table_chances(c, p, discount, strength, most):
+    """How likely a restaurant's only dish of c guests has 1, 2, ... tables: all orders of seating added up, guest by guest."""
+    t, logs = np.arange(1, most + 1), np.full(most, -np.inf)
+    logs[0] = math.log(p * strength)
+    for n in range(1, c):
+        joined = logs + np.log(np.maximum(n - discount * t, 1e-300))
+        opened = np.append(-np.inf, (logs + np.log(p * (strength + discount * t)))[:-1])
+        logs = np.logaddexp(np.where(t <= n, joined, -np.inf), opened)
+    chances = np.exp(logs - logs.max())
+    return chances / chances.sum()
+
+
+@pytest.mark.parametrize(("c", "p", "discount"), [(40, 0.3, 0.6), (900, 0.05, 0.8), (10_000, 0.02, 0.6), (10_000, 0.1, 0.6), (5_000, 0.9, 0.3)])
+def test_a_round_seats_all_guests_of_a_dish(c, p, discount):
+    """Five rounds forget the first guess, however many guests there are, and go on to the exact distribution."""
+    chances = table_chances(c, p, discount, 1.0, min(c, 3000))
+    tables = np.arange(1, len(chances) + 1)
+    mean = chances @ tables
+    spread = math.sqrt(chances @ (tables - mean) ** 2)
+    rng, guests, found = np.random.default_rng(8), np.full(300, c), []
+    seats = pitman_yor.Seating(guests, discount)
+    for round_ in range(9):
+        seats.gibbs(rng, np.full(300, p), discount, 1.0, 6, np.arange(300), np.zeros(300))
+        if round_ >= 4:
+            found.append(seats.tables().copy())
+    assert np.mean(found) == pytest.approx(mean, abs=0.15 * spread)
+    assert np.std(found) == pytest.approx(spread, rel=0.1)
+
+
+def test_dishes_of_one_restaurant_against_all_seatings():
+    """Two dishes share the restaurant's tables: their joint distribution, summed over all numbers of tables."""
+    (a, b), discount, strength = ([table_chances(n, p, 0.7, 1.0, n) for n, p in ((12, 0.5), (5, 0.1))], 0.7, 1.0)
+
+    def openings(t):  # the factor of t tables in one restaurant
+        return math.lgamma(strength / discount + t) - math.lgamma(strength / discount)
+
+    joint = np.array([[x * y * math.exp(openings(i + j) - openings(i) - openings(j)) for j, y in enumerate(b, 1)] for i, x in enumerate(a, 1)])
+    joint /= joint.sum()
+    rng, house = np.random.default_rng(1), np.repeat(np.arange(4000), 2)
+    seats = pitman_yor.Seating(np.tile([12, 5], 4000), discount)
+    seats.gibbs(rng, np.tile([0.5, 0.1], 4000), discount, strength, 40, house, np.zeros(4000))
+    found = seats.tables().reshape(-1, 2).mean(0)
+    assert found == pytest.approx([joint.sum(1) @ np.arange(1, 13), joint.sum(0) @ np.arange(1, 6)], rel=0.03)
+
+
+def test_tables_of_many_guests_by_integral():
+    """Beyond the list the weights are those of the same recurrence."""
+    n = pitman_yor._LISTED
+    for discount in (0.05, 0.5, 0.95):
+        for rate in (1e-9, 0.3, 5.0, 200.0, 1e4):
+            logs = pitman_yor._listed(discount)[n, 1:] + np.arange(1, n + 1) * math.log(rate * discount)
+            want = np.exp(logs - logs.max())
+            saddle = pitman_yor._saddles(np.array([n]), np.array([rate]), discount)[0]
+            first, weights = pitman_yor._weighed(n, rate, discount, saddle)
+            found = np.zeros(n)
+            found[first - 1 : first - 1 + len(weights)] = weights
+            assert np.allclose(found / found.sum(), want / want.sum(), atol=1e-6)
+    big = np.array([5_000_000] * 50)
+    tables = pitman_yor._drawn(big, np.full(50, 2000.0), 0.7, np.linspace(0.01, 0.99, 50))
+    assert (np.diff(tables) >= 0).all() and 1850 < tables[0] < 2000 < tables[-1] < 2150
+
+
+@pytest.mark.parametrize(("dishes", "counted"), [(4, 4), (4, 1 << 18), (1 << 18, 1 << 18)])
+def test_rare_words_are_dishes_of_the_root(spark, monkeypatch, dishes, counted):
+    """Of two words as frequent as each other, that which follows many others is likelier after a word never seen."""
+    monkeypatch.setattr(pitman_yor, "DISHES", dishes)
+    monkeypatch.setattr(pitman_yor, "COUNTED", counted)
+    texts = [f"c{i % 3} c{i % 2}" for i in range(300)] + [f"x{i} v" for i in range(40)] + ["y w" for _ in range(40)] + [f"x{i} z{i % 11}" for i in range(40)]
+    model, learned = pitman_yor.fit(documents(spark, list(enumerate(texts))).select("text"))
+    found = {r.row.doc_id: r.score for r in pitman_yor.score(documents(spark, [(1, "never v"), (2, "never w")]), model, learned).collect()}
+    assert found[1] > found[2] + 0.3
+    counts = Counter(w for t in texts for w in [*t.encode().split(), b"\n"])
+    words = [*counts, b"never"]
+    shares = dict(zip(words, model.parent(model.vocab.ids(words), np.array([counts[w] for w in words])).tolist()))
+    assert sum(shares.values()) == pytest.approx(1) and shares[b"v"] > 2 * shares[b"w"]
+
+
+def test_a_frequent_pair_is_seated_whole(spark):
+    """The tables of a pair seen 4,000 times are those that its guests and the root ask for."""
+    texts = ["a b"] * 4000 + [f"p{i} b q{i} s{i}" for i in (*range(500), *range(150))]
+    model, learned = pitman_yor.fit(documents(spark, list(enumerate(texts))).select("text"))
+    a, b = model.vocab.ids([b"a", b"b"]).tolist()
+    tables = None
+    for r in learned.restaurants.collect():
+        mean = iter(r["mean"])
+        contexts = [c for c, n in zip(r.contexts, r.runs) for _ in range(n)]
+        for c, w, n in zip(contexts, pitman_yor._spread(bytes(r.words), np.int64).tolist(), r.guests):
+            here = next(mean) if n > 1 else 1
+            if (c, w) == (a, b):
+                tables = here
+    chances = table_chances(4000, model.held(np.array([b]))[0], model.discount, model.strength, 1500)
+    want = chances @ np.arange(1, 1501)
+    assert tables == pytest.approx(want, abs=2)
+    assert 4000**model.discount > 10 * want
